@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import packing, secret_scan, sharding, url_filter
+from vitrine.llm import ngram_join, packing, secret_scan, sharding, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_read(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +70,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
