@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import slices
 
-#: Words whose ids a Python worker keeps; beyond it the store starts anew, which changes speed and no result.
-WORDS_KEPT = 400_000
+#: Words whose ids a Python worker keeps, at least; it keeps twice as many at most. This changes speed and no result.
+WORDS_KEPT = 120_000
 #: Documents of a group on average. Groups are independent, so their number alone grows with the corpus.
 GROUP_DOCS = 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -25,39 +26,59 @@ _tokenizers: dict = {}
 
 class _Words:
     """Ids of white-space separated words. The tokenizer drops white space and no token spans it, so the ids of a
-    text are those of its words in turn."""
+    text are those of its words in turn. Of a plain ASCII word the case is dropped as the tokenizer does, and stops
+    after a letter or digit are a token run of their own, so they are looked up apart."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.code, self.ids, self.at = Tokenizer.from_file(path), {}, [], [0]
+        self.tok, self.new, self.old = Tokenizer.from_file(path), {}, {}
+
+    def lookup(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Words that were not used for long are forgotten."""
+        if len(self.new) > WORDS_KEPT:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        for w in words:
+            if w not in new and w in old:
+                new[w] = old[w]
+        missing = [w for w in words if w not in new]
+        for k in range(0, len(missing), 2000):
+            some = missing[k : k + 2000]
+            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
+                new[w] = np.array(e.ids, np.uint32).tobytes()
+        return [new[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and the offsets of each text's ids."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.code) > WORDS_KEPT:
-            self.code, self.ids, self.at = {}, [], [0]
-        new = [w for w in words if w not in self.code]
-        for k in range(0, len(new), 20_000):
-            for w, e in zip(new[k : k + 20_000], self.tok.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False)):
-                self.code[w] = len(self.code)
-                self.ids.extend(e.ids)
-                self.at.append(len(self.ids))
-        ids, at = np.array(self.ids, np.uint32), np.array(self.at, np.int64)
-        which = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        which = which[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else which
-        n = at[which + 1] - at[which] if len(which) else np.zeros(0, np.int64)
+        words = coded.dictionary
+        plain = pc.and_(pc.string_is_ascii(words), pc.equal(pc.count_substring(words, "<|"), 0))
+        words = pc.if_else(plain, pc.ascii_lower(words), words)
+        stopped = pc.and_(plain, pc.match_substring_regex(words, "[a-z0-9][.,!?]+$"))
+        core = pc.if_else(stopped, pc.ascii_rtrim(words, ".,!?"), words).dictionary_encode()
+        tail = pc.if_else(stopped, pc.replace_substring_regex(words, r"^.*[a-z0-9]([.,!?]+)$", r"\1"), "").dictionary_encode()
+        ids = [*self.lookup(core.dictionary.to_pylist()), *self.lookup(tail.dictionary.to_pylist())]
+        n_ids = np.array([len(x) // 4 for x in ids], np.int64)
+        first = np.concatenate(([0], np.cumsum(n_ids)))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        parts = np.empty(2 * len(at), np.int64)
+        if len(at):
+            parts[::2] = core.indices.to_numpy(zero_copy_only=False)[at]
+            parts[1::2] = tail.indices.to_numpy(zero_copy_only=False)[at] + len(core.dictionary)
+        n = n_ids[parts]
         ends = np.concatenate(([0], np.cumsum(n)))
-        flat = ids[np.repeat(at[which] - ends[:-1], n) + np.arange(ends[-1])] if len(which) else np.zeros(0, np.uint32)
-        return flat, ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(texts) else np.zeros(1, np.int64)
+        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(first[parts] - ends[:-1], n) + np.arange(ends[-1])]
+        texts_at = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(texts) else np.zeros(1, np.int64)
+        return flat, ends[2 * texts_at]
 
 
 def _pieces(path: str, size: int, end_id: int):
     """mapInArrow over (doc_id, text): the pieces of each document, cut only where a sequence is full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         words = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
         for batch in batches:
             for part in slices(batch, "text"):
@@ -111,9 +132,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 2
     An empty table gives no rows; further columns are ignored. Only piece sizes and checksums are shuffled, never
     ids or texts."""
     n_groups = max(1, -(-docs.count() // group_docs))
-    # rows that repeat a doc_id get distinct groups only by chance; packing doesn't need it
     pieces = docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer_path, size, end_id), PIECES)
-    # a long document's full sequences are spread by start, its last piece goes with its document
+    # drawn by all columns, so that rows without an id are spread as well
     pieces = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(n_groups)))
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
