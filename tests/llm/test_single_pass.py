@@ -18,6 +18,7 @@ TOKENS = public_tokenizers.path("word_bpe_49k.json")
 def odd(spark):
     long = "Some words, 'tis so\u00a0odd e\u0301 " * 3000
     rows = [(1, None), (2, ""), (3, "\n \t"), (4, long), (5, "one two"), (5, "one two"), (None, "no id"), (6, "<|endoftext|> x<|startoftext|>"), (7, "ǅ İstanbul ΣΑΣ K 't's 12")]
+    rows += [(8, "The, the. THE!? a.b. h\u0331 H\u0331. 3,4, don't. x's, it's! ... ,. (a), \u00e9. \u00e9t\u00e9, a\u0301. <|ENDOFTEXT|>. i\u0307I\u0307. _a_. b_, 9.")]
     return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS length", "1 AS grp", "2 AS spans", "3 AS shard")
 
 
@@ -94,8 +95,8 @@ def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     import xxhash
 
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda s: 5)
-    url_filter.DigestArray.write([("a.com/x", "block"), ("b.com/", "allow")], str(tmp_path))
-    array = url_filter.DigestArray(str(tmp_path))
+    url_filter.DigestArray.write([("a.com/x", "block"), ("b.com/", "allow")], str(tmp_path / "d"))
+    array = url_filter.DigestArray(str(tmp_path / "d"))
     assert [i >= 0 for i in array.find(["a.com/x", "b.com/", "c.com/"])] == [True, True, False]
 
 

@@ -31,31 +31,34 @@ def split_rule(rule: str) -> tuple[str, str]:
 
 
 class DigestArray:
-    """Sorted keys, their verdicts and full strings, in one folder of files that tasks memory-map.
+    """Sorted keys, their verdicts and full strings, in one file that tasks memory-map.
 
-    An entry ``host/path`` covers the host, its subdomains and every path that starts with its path."""
-
-    FILES = ("keys.npy", "allow.npy", "at.npy", "text.bin", "lengths.npy")
+    An entry ``host/path`` covers the host, its subdomains and every path that starts with its path. The file holds
+    64-bit numbers: three counts, the keys, the ends of the strings, the verdicts and the distinct path lengths; then the strings."""
 
     @staticmethod
-    def write(entries: Iterable[tuple[str, str]], folder: str) -> None:
+    def write(entries: Iterable[tuple[str, str]], file: str) -> None:
         import xxhash
 
         split = {"".join(split_rule(r)): (v, len(split_rule(r)[1])) for r, v in entries}
         if len(split) > MAX_ENTRIES:
             raise ValueError(f"{len(split)} entries; the array holds {MAX_ENTRIES}: use judge_by_join")
         rows = sorted((xxhash.xxh64_intdigest(r), r.encode(), v == "allow") for r, (v, _) in split.items())
-        np.save(f"{folder}/keys.npy", np.array([r[0] for r in rows], np.uint64))
-        np.save(f"{folder}/allow.npy", np.array([r[2] for r in rows], bool))
-        np.save(f"{folder}/at.npy", np.concatenate(([0], np.cumsum([len(r[1]) for r in rows]))).astype(np.int64))
-        np.save(f"{folder}/lengths.npy", np.array(sorted({n for _, n in split.values()}), np.int64))
-        with open(f"{folder}/text.bin", "wb") as out:
-            out.write(b"".join(r[1] for r in rows))
-
-    def __init__(self, folder: str):
-        self.keys, self.allow, self.at, self.lengths = (np.load(f"{folder}/{f}", mmap_mode="r") for f in ("keys.npy", "allow.npy", "at.npy", "lengths.npy"))
-        size = os.path.getsize(f"{folder}/text.bin")
-        self.text = np.memmap(f"{folder}/text.bin", np.uint8, "r") if size else np.zeros(0, np.uint8)
+        lengths = sorted({n for _, n in split.values()})
+        text = b"".join(r[1] for r in rows)
+        parts = ([len(rows), len(lengths), len(text)], [r[0] for r in rows], np.cumsum([len(r[1]) for r in rows]), [r[2] for r in rows], lengths)
+        with open(file, "wb") as out:
+            out.write(b"".join(np.array(p, np.uint64).tobytes() for p in parts) + text)
+
+    def __init__(self, file: str):
+        numbers = np.memmap(file, np.uint8, "r")
+        n, m, _ = numbers[:24].view(np.uint64).tolist()
+        cut = lambda a, k: numbers[8 * a : 8 * (a + k)].view(np.uint64)
+        self.keys, self.ends, self.allow, self.lengths = cut(3, n), cut(3 + n, n), cut(3 + 2 * n, n), cut(3 + 3 * n, m)
+        self.text = numbers[8 * (3 + 3 * n + m) :]
+
+    def entry(self, k: int) -> bytes:
+        return self.text[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])].tobytes()
 
     def find(self, probes: list[str]) -> np.ndarray:
         """Position of each string, -1 where it isn't listed. Equal digests are told apart by their strings."""
@@ -68,7 +71,7 @@ class DigestArray:
             k, text = int(at[i]), None
             while k < len(self.keys) and self.keys[k] == want[i]:
                 text = text if text is not None else probes[i].encode()
-                if self.text[self.at[k] : self.at[k + 1]].tobytes() == text:
+                if self.entry(k) == text:
                     out[i] = k
                     break
                 k += 1
@@ -95,11 +98,12 @@ class DigestArray:
 
 
 def publish(spark: SparkSession, entries: Iterable[tuple[str, str]]) -> str:
-    """Build the array on the driver and hand it to every executor as job files; returns the folder's name there."""
-    folder = tempfile.mkdtemp(prefix="digests-")
-    DigestArray.write(entries, folder)
-    spark.sparkContext.addFile(folder, recursive=True)
-    return os.path.basename(folder)
+    """Build the array on the driver and hand it to every executor as a job file; returns the file's name there."""
+    handle, file = tempfile.mkstemp(prefix="digests-")
+    os.close(handle)
+    DigestArray.write(entries, file)
+    spark.sparkContext.addFile(file)
+    return os.path.basename(file)
 
 
 _open: dict[str, DigestArray] = {}
