@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import embedding_join, ngram_join, packing, secret_scan, sharding, url_filter
+from vitrine.llm import embedding_join, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,38 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+_OP3_SQL = """
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+b AS (SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 8),
+d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.bare IS NOT NULL) AS hit, sum(length(line)) AS chars,
+             coalesce(sum(length(line)) FILTER (WHERE b.bare IS NULL), 0) AS rest, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.bare IS NULL) AS cut
+      FROM k LEFT JOIN b USING (bare) GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN rest >= 0.5 * chars THEN hit ELSE 0 END AS n_removed,
+       CASE WHEN hit > 0 AND rest >= 0.5 * chars THEN cut ELSE text END AS text
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+#: Target shares of the tokens by domain; the budget keeps the clean domain at its present size.
+SHARES = {"clean": 0.97, "low": 0.03, "toxic": 0.0}
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.mix(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), SHARES, anchor="clean")
+    p = [F.round(F.col("p")[i], 6).alias(f"p_{k}") for i, k in enumerate(SHARES)]
+    return rates.select("doc_id", "n_words", *p, F.round("rate", 6).alias("rate"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    rules = quality_rules.learn(docs, _read(spark, sf_dir, "labels"))
+    return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.STATISTICS, "base_failed", "kept", "rule")
+
+
 def op6_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
@@ -88,8 +120,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_join": _OP6_SQL, "op8_url_filter": _op8_sql()}
+    return {"op3_line_dedup": _OP3_SQL, "op6_embedding_join": _OP6_SQL, "op8_url_filter": _op8_sql()}
