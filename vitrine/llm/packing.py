@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import slices
 
 #: Words whose ids a Python worker keeps, at least; it keeps twice as many at most. This changes speed and no result.
-WORDS_KEPT = 120_000
+WORDS_KEPT = 250_000
 #: Documents of a group on average. Groups are independent, so their number alone grows with the corpus.
 GROUP_DOCS = 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
