@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import embedding_join, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, url_filter
+from vitrine.llm import embedding_join, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_read(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -120,7 +124,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
