@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import components, local_forest, mix, rolled, slices, word_hashes, written
+from vitrine.llm.common import components, forget, local_forest, mix, rolled, slices, word_hashes, written
 
 #: Length of the list of frequent n-grams that come last in the order: 128 KB.
 FREQUENT = 16_384
@@ -34,7 +34,9 @@ FREQUENT_DOCS = 32
 #: Columns shared by more classes than this link families instead of pairs.
 WIDE = 32
 #: Classes of a block.
-BLOCK = 256
+BLOCK = 512
+#: log2 of the bits of the filter that keeps texts of no family out of a shuffle, at most: 16 MB.
+FILTER_LG = 27
 #: Low hashes that a task gathers before it counts them.
 GATHER = 2_000_000
 
@@ -151,6 +153,35 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _bitmap(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """log2 of the size, and the bits, of a filter of hashed ids; its size is bounded whatever their number."""
+    lg = min(FILTER_LG, max(15, (16 * ids.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << lg))
+    rows = ids.select(F.bitmap_bucket_number(bit + 1).alias("k"), F.bitmap_bit_position(bit + 1).alias("b")).groupBy("k").agg(F.bitmap_construct_agg("b").alias("bits")).collect()
+    out = np.zeros(1 << lg, bool)
+    for r in rows:
+        at = (r["k"] - 1) * 32768
+        bits = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        out[at : at + len(bits)] = bits
+    return lg, np.packbits(out)
+
+
+def _packed(lg: int, bits: np.ndarray):
+    """mapInArrow over (doc_id, text, bit): compressed texts of the rows that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            at = np.flatnonzero(bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+            text = batch.column("text").take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array([squeeze(x.encode()) for x in text.to_pylist()], pa.binary())], ["doc_id", "text"])
+
+    return run
+
+
 KEYS = ["family", "lband", "lpart", "rband", "rpart"]
 
 
@@ -174,21 +205,28 @@ def _products(k: int, percent: int):
         return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(count)], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, side, ids, weight, sets = None, [], [], [], []
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        key, side, ids, weight, texts = None, [], [], [], []
+
+        def sets() -> list[np.ndarray]:
+            return [s for text in texts for s in sets_of(pa.array([expand(text).decode()]), k)]
+
         for batch in batches:
-            for part in slices(batch, "text"):
-                columns = [part.column(c).to_pylist() for c in (*KEYS, "side", "rep", "copies")]
-                for row, s in zip(zip(*columns), sets_of(part.column("text"), k)):
-                    if row[:5] != key:
-                        if len(ids) > 1:
-                            yield links(side, np.array(ids), np.array(weight), sets)
-                        key, side, ids, weight, sets = row[:5], [], [], [], []
-                    side.append(row[5])
-                    ids.append(row[6])
-                    weight.append(row[7])
-                    sets.append(s)
+            for row in zip(*(batch.column(c).to_pylist() for c in (*KEYS, "side", "rep", "copies", "text"))):
+                if row[:5] != key:
+                    if len(ids) > 1:
+                        yield links(side, np.array(ids), np.array(weight), sets())
+                    key, side, ids, weight, texts = row[:5], [], [], [], []
+                if ids and row[6] == ids[-1]:  # a row that repeats its id
+                    continue
+                side.append(row[5])
+                ids.append(row[6])
+                weight.append(row[7])
+                texts.append(row[8])
         if len(ids) > 1:
-            yield links(side, np.array(ids), np.array(weight), sets)
+            yield links(side, np.array(ids), np.array(weight), sets())
 
     return run
 
@@ -224,20 +262,21 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Two documents link when ``100 * intersection >= percent * union``. Returns one row per input row: ``doc_id``,
     ``n_shingles``, ``n_links`` (other documents linked directly) and ``component_id`` (smallest doc_id reachable by links, itself
     included). Words are runs of non-white-space, A-Z lower-cased; a text with fewer than k words is one shingle; a
-    null or empty one has none and links with nothing. Ids should be unique: rows that repeat one are one document of
-    several texts. A null id keeps its row, with a null or its class's component. Further columns are ignored; an empty table
+    null or empty one has none and links with nothing. Ids should be unique: equal rows count as
+    copies, and of one id's different texts some links may be missed. A null id keeps its row, with a null or its class's component. Further columns are ignored; an empty table
     gives no rows."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counted = text.select("text").mapInArrow(_frequent(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counted.where(F.col("c") >= FREQUENT_DOCS).orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     late = np.sort(np.array([r["h"] for r in top], np.int64).view(np.uint64))
     made = written(text.mapInArrow(_prefixes(k, percent, late), "doc_id long, n_shingles long, sig binary, prefix array<long>, hist binary"), "prefixes")
+    docs = written(made.select("doc_id", "n_shingles", "sig"), "documents")
 
-    classes = made.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig")
-    classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("hist").alias("hist"))
+    classes = docs.where("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
 
-    entries = classes.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+    one = lambda c: made.groupBy("sig", "doc_id").agg(F.first(c).alias(c)).join(classes.select("sig", F.col("rep").alias("doc_id"), "n"), ["sig", "doc_id"])
+    entries = one("prefix").select(F.col("doc_id").alias("rep"), "n", F.posexplode("prefix").alias("pos", "h"))
     column = Window.partitionBy("h")
     entries = entries.withColumns({"df": F.count("*").over(column), "low": F.min("rep").over(column)}).where("df > 1")
     entries = written(entries, "entries")
@@ -250,8 +289,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     fits &= F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1) >= need()
     pairs = left.join(right, "h").where(fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     wide = entries.where(F.col("df") > WIDE)
-    per = classes.select("rep", "hist").join(wide.groupBy("rep").agg(F.count("*").alias("w")), "rep", "left").fillna(0, ["w"])
+    per = one("hist").select(F.col("doc_id").alias("rep"), "hist").join(wide.groupBy("rep").agg(F.count("*").alias("w")), "rep", "left").fillna(0, ["w"])
     per = written(per, "histograms")
+    forget(made)
     pairs = pairs.join(per.select(F.col("rep").alias("a"), F.col("hist").alias("ha"), F.col("w").alias("wa")), "a")
     pairs = pairs.join(per.select(F.col("rep").alias("b"), F.col("hist").alias("hb"), F.col("w").alias("wb")), "b")
     rest = F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
@@ -260,9 +300,13 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     family = components(likely.unionByName(wide.select(F.col("rep").alias("a"), F.col("low").alias("b"))))
 
     members = family.select(F.col("node").alias("rep"), F.col("component").alias("family")).join(classes.select("rep", "n", "copies"), "rep")
+    members = written(members.dropDuplicates(["rep"]), "family-members")
     rows = written(_block_pairs(members), "blocks")
-    rows = text.where("doc_id IS NOT NULL").join(rows, F.col("doc_id") == F.col("rep")).dropDuplicates(["rep", *KEYS])
-    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).select(*KEYS, "side", "rep", "copies", "text")
+    lg, bits = _bitmap(members.select("rep"), "rep")
+    packed = text.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << lg)))
+    packed = packed.mapInArrow(_packed(lg, bits), "doc_id long, text binary")
+    rows = packed.join(rows, F.col("doc_id") == F.col("rep")).select(*KEYS, "side", "rep", "copies", "text")
+    rows = rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "rep")
     found = written(rows.mapInArrow(_products(k, percent), "a long, b long, links long"), "links")
 
     component = components(found.where("b IS NOT NULL"))
@@ -270,5 +314,5 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     of = classes.select("sig", "rep", "copies").join(linked, "rep", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     of = written(of.select("sig", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "class-components")
     out = ["doc_id", "n_shingles", "n_links", "component_id"]
-    empty = made.where("sig IS NULL").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
-    return made.where("sig IS NOT NULL").select("doc_id", "n_shingles", "sig").join(of, "sig", "left").select(out).unionByName(empty)
+    empty = docs.where("sig IS NULL").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
+    return docs.where("sig IS NOT NULL").join(of, "sig", "left").select(out).unionByName(empty)
