@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import written
 from vitrine.llm.quality_rules import labelled_sample
 
-#: Labelled documents that the classifier is fitted on, and words that it knows, at most (about 0.2 MB sent out).
-SAMPLE_ROWS, VOCABULARY = 10_000, 2000
-#: A word must stand in so many sample documents, and in a class so many standard deviations more or less often than by
-#: chance: of tens of thousands of unrelated words hardly any does, while long texts would sum up their noise.
+#: Labelled documents that the classifier is fitted on, at most.
+SAMPLE_ROWS = 10_000
+#: A token must stand in so many sample documents, and in a domain so many standard deviations more often than by chance.
 MIN_DOCS, MIN_Z = 5, 5.0
-ITERATIONS, PULL = 40, 0.02
+#: Candidate tokens, and tokens chosen for a domain, at most: what is sent out stays under 20 KB.
+CANDIDATES, CHOSEN = 4000, 40
+ITERATIONS, PULL = 24, 0.02
 #: Iterations folded into one expression before the rates are written.
 FOLD = 8
 
@@ -39,28 +40,51 @@ def tokens(docs: DataFrame) -> DataFrame:
     d = d.withColumn("_n", F.expr(f"size(array_remove(split(_t, '{_SPACE}'), ''))"))
     share = lambda pattern: F.expr(f"floor(20 * length(regexp_replace(_t, '{pattern}', '')) / greatest(1, length(_t)))").cast("int").cast("string")
     style = F.array(F.concat(F.lit("#upper"), share("[^A-Z]+")), F.concat(F.lit("#symbol"), share("[^#*$%&|<>]+")), F.concat(F.lit("#mark"), share("[^!?]+")), F.concat(F.lit("#digit"), share("[^0-9]+")))
+    distinct = F.expr(f"concat('#distinct', floor(10 * size(array_distinct(split(_t, '{_SPACE}'))) / size(split(_t, '{_SPACE}'))))")
     words = F.expr(r"array_distinct(split(lower(_t), '[\\x20-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E\\x09-\\x0D]+'))")
-    return d.select("doc_id", F.xxhash64("_t").alias("_h"), F.col("_n").cast("long").alias("n_words"), F.concat(words, style).alias("_tokens"))
+    return d.select("doc_id", F.xxhash64("_t").alias("_h"), F.col("_n").cast("long").alias("n_words"), F.concat(words, style, F.array(distinct)).alias("_tokens"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str, ...] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], DataFrame]:
-    """Log priors and a table ``token, weights`` of at most VOCABULARY rows: the log likelihoods of the tokens whose
-    classes differ most. Domains without labelled rows get the smallest smoothed prior."""
+    """Log scores of a document without any chosen token, and a table ``token, weights`` of what each one adds.
+
+    For every domain but the most frequent, tokens are chosen one by one: the one that stands out most among the documents
+    that hold none chosen before. So the many words of a copied document don't each count as evidence. Domains without
+    labelled rows get the smallest smoothed prior."""
     spark = docs.sparkSession
     sample = written(labelled_sample(docs, labels, domain, sample_rows), "labelled")
     size = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     total = sum(size.values())
-    prior = [math.log((size.get(k, 0) + 1) / (total + len(domains))) for k in domains]
-    words = tokens(sample).join(F.broadcast(sample.select("doc_id", "_y").distinct()), "doc_id")
-    counts = words.select("_y", F.explode("_tokens").alias("token")).where("token <> ''").groupBy("token").agg(*[F.count_if(F.col("_y") == k).alias(f"_{i}") for i, k in enumerate(domains)])
-    seen = sum((F.col(f"_{i}") for i in range(len(domains))), F.lit(0))
-    weights = F.array(*[F.log((F.col(f"_{i}") + F.lit(0.5)) / F.lit(size.get(k, 0) + 1.0)) for i, k in enumerate(domains)])
+    log_p = lambda n, k: math.log((n + 0.5) / (size.get(k, 0) + 1.0))
+    score = [math.log((size.get(k, 0) + 1) / (total + len(domains))) for k in domains]
+    held = tokens(sample).join(F.broadcast(sample.select("doc_id", "_y").distinct()), "doc_id")
+    held = held.select("doc_id", "_h", "_y", F.explode(F.array_distinct("_tokens")).alias("token")).where("token <> ''")
+    counts = held.groupBy("token").agg(F.count("*").alias("n"), *[F.count_if(F.col("_y") == k).alias(f"_{i}") for i, k in enumerate(domains)]).where(F.col("n") >= MIN_DOCS)
     share = [size.get(k, 0) / max(1, total) for k in domains]
-    z = [F.abs(F.col(f"_{i}") - F.col("seen") * q) / F.sqrt(F.col("seen") * q * (1 - q)) for i, q in enumerate(share) if 0 < q < 1]
-    worth = F.greatest(*z, F.lit(0.0), F.lit(0.0))
-    table = counts.withColumns({"seen": seen, "weights": weights}).where((F.col("seen") >= MIN_DOCS) & (worth >= MIN_Z))
-    rows = table.orderBy(F.desc(worth), "token").limit(VOCABULARY).select("token", "weights").collect()
-    return prior, spark.createDataFrame([(r["token"], r["weights"]) for r in rows], "token string, weights array<double>")
+    z = {i: (F.col(f"_{i}") - F.col("n") * q) / F.sqrt(F.col("n") * q * (1 - q)) for i, q in enumerate(share) if 0 < q < max(share)}
+    if not z:
+        return score, spark.createDataFrame([], "token string, weights array<double>")
+    some = counts.where(F.greatest(*z.values(), F.lit(0.0)) >= MIN_Z).orderBy(F.desc(F.greatest(*z.values(), F.lit(0.0))), "token").limit(CANDIDATES)
+    some = written(some, "candidates")
+    held = written(held.join(F.broadcast(some.select("token")), "token").groupBy("doc_id", "_h", "_y").agg(F.collect_set("token").alias("has")), "held")
+    chosen: list[str] = []
+    for i in z:
+        mine: list[str] = []
+        while len(mine) < CHOSEN:
+            rest = held.where(~F.arrays_overlap("has", F.array(*[F.lit(t) for t in mine]))) if mine else held
+            left = rest.select("_y", F.explode("has").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("_y") == domains[i]).alias(f"_{i}"))
+            best = left.where((F.col(f"_{i}") >= MIN_DOCS) & (z[i] >= MIN_Z)).orderBy(F.desc(z[i]), "token").first()
+            if best is None:
+                break
+            mine.append(best["token"])
+        chosen += [t for t in mine if t not in chosen]
+    rows = []
+    for r in some.where(F.col("token").isin(chosen)).collect():
+        p = [min(log_p(r[f"_{i}"], k), -1e-3) for i, k in enumerate(domains)]
+        absent = [math.log1p(-math.exp(x)) for x in p]
+        score = [s + x for s, x in zip(score, absent)]
+        rows.append((r["token"], [x - y for x, y in zip(p, absent)]))
+    return score, spark.createDataFrame(sorted(rows), "token string, weights array<double>")
 
 
 def posteriors(docs: DataFrame, prior: list[float], table: DataFrame) -> DataFrame:

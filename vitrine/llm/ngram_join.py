@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import components, forget, local_forest, mix, rolled, slices, word_hashes, written
+from vitrine.llm.common import SLICE_BYTES, components, forget, local_forest, mix, rolled, slices, word_hashes, written
 
 #: Length of the list of frequent n-grams that come last in the order: 128 KB.
 FREQUENT = 16_384
@@ -34,7 +34,7 @@ FREQUENT_DOCS = 32
 #: Columns shared by more classes than this link families instead of pairs.
 WIDE = 32
 #: Classes of a block.
-BLOCK = 512
+BLOCK = 1024
 #: log2 of the bits of the filter that keeps texts of no family out of a shuffle, at most: 16 MB.
 FILTER_LG = 27
 #: Low hashes that a task gathers before it counts them.
@@ -211,7 +211,13 @@ def _products(k: int, percent: int):
         key, side, ids, weight, texts = None, [], [], [], []
 
         def sets() -> list[np.ndarray]:
-            return [s for text in texts for s in sets_of(pa.array([expand(text).decode()]), k)]
+            out, some, size = [], [], 0
+            for text in texts:
+                some.append(expand(text))
+                size += len(some[-1])
+                if size > SLICE_BYTES:
+                    out, some, size = [*out, *sets_of(pa.array(some, pa.binary()).cast(pa.string()), k)], [], 0
+            return [*out, *sets_of(pa.array(some, pa.binary()).cast(pa.string()), k)]
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in (*KEYS, "side", "rep", "copies", "text"))):

@@ -18,11 +18,13 @@ from vitrine.llm.common import written
 SAMPLE_ROWS = 20_000
 #: Candidate thresholds of a feature.
 THRESHOLDS = 24
-MAX_RULES = 12
+MAX_RULES = 8
+#: Rules that may fail on the pruning rows before the list ends.
+MAX_FAILED = 3
 MAX_CONDITIONS = 3
-#: A rule must reject with this precision on the pruning rows, and cover so many of them.
+#: A rule must reject with this precision on the growing and on the pruning rows, and cover so many of the latter.
 MIN_PRECISION = 0.98
-MIN_COVERED = 5
+MIN_COVERED = 2
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SPACE = r"[\\x20\\x09-\\x0D]+"
@@ -137,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: Column | None = None, sampl
     bucket = [F.expr(f"size(filter(array({', '.join(f'{float(x)!r}D' for x in cuts[f])}), x -> x < {f}))") for f in names]
     sample = written(sample.select("bad", "grow", *names, F.array(*bucket).alias("_b")), "buckets")
 
-    def grown(rest: Column) -> Rule:
+    def grown(rest: Column, banned: set[str]) -> Rule:
         rule: Rule = ()
         while len(rule) < MAX_CONDITIONS:
             at = sample.where(F.col("grow") & rest & _holds(rule, plain)).select("bad", F.posexplode("_b").alias("f", "b"))
@@ -147,6 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: Column | None = None, sampl
                 break
             best = (0.0, None)
             for i, f in enumerate(names):
+                if not rule and f in banned:
+                    continue
                 below = {r["b"]: (r["p"], r["n"]) for r in counts if r["f"] == i}
                 p = n = 0
                 for k, cut in enumerate(cuts[f]):
@@ -168,18 +172,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: Column | None = None, sampl
             worth = [(got[f"p{i}"] - got[f"n{i}"]) / max(1, got[f"p{i}"] + got[f"n{i}"]) for i in range(len(options))]
             top = max(range(len(options)), key=lambda i: (worth[i], -len(options[i]), -i))
             if not top:
-                p, n = got["p0"], got["n0"]
-                return rule, p / max(1, p + n), p
+                seen = sample.where(F.col("grow") & rest & _holds(rule, plain)).agg(F.count_if("bad").alias("p"), F.count("*").alias("n")).first()
+                return rule, min(got["p0"] / max(1, got["p0"] + got["n0"]), seen["p"] / max(1, seen["n"])), got["p0"]
             rule = options[top]
 
-    rules, rest = [], F.lit(True)
-    while len(rules) < MAX_RULES:
-        rule = grown(rest)
+    rules, rest, banned = [], F.lit(True), set()
+    while len(rules) < MAX_RULES and len(banned) < MAX_FAILED:
+        rule = grown(rest, banned)
         if not rule:
             break
+        first = rule[0].feature
         rule, precision, covered = pruned(rule, rest)
         if precision < MIN_PRECISION or covered < MIN_COVERED:
-            break
+            banned.add(first)  # the next try starts from another feature
+            continue
         rules.append(rule)
         rest = rest & ~_holds(rule, plain)
     return rules
