@@ -33,8 +33,8 @@ FREQUENT = 16_384
 FREQUENT_DOCS = 32
 #: Columns shared by more classes than this link families instead of pairs.
 WIDE = 32
-#: Classes of a block.
-BLOCK = 1024
+#: Classes of a block; a family of up to twice as many is not cut.
+BLOCK = 512
 #: log2 of the bits of the filter that keeps texts of no family out of a shuffle, at most: 16 MB.
 FILTER_LG = 27
 #: Low hashes that a task gathers before it counts them.
@@ -134,7 +134,7 @@ def _near_histograms(percent: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
     """Sizes of all intersections: the product of the incidence matrix with its transpose, in slices of columns."""
     n = len(sets)
     flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
@@ -150,7 +150,7 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
         x = np.zeros((n, min(width, int(column[j - 1]) - a + 1)), np.float32)
         x[row[i:j], column[i:j] - a] = 1
         out += x @ x.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def _bitmap(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
@@ -240,13 +240,14 @@ def _products(k: int, percent: int):
 def _block_pairs(members: DataFrame) -> DataFrame:
     """Rows of (rep, copies, block pair, side) for classes with ``family`` and ``n``.
 
-    Families of up to BLOCK classes are one block. Larger ones are cut by size, in bands of a quarter, and by hash;
+    Families of up to 2 BLOCK classes are one block. Larger ones are cut by size, in bands of a quarter, and by hash;
     blocks of the same and of neighbouring bands meet."""
     total = members.groupBy("family").agg(F.count("*").alias("_total"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    m = members.join(total, "family").withColumn("band", F.when(F.col("_total") > BLOCK, band).otherwise(F.lit(0)))
+    m = members.join(total, "family").withColumn("band", F.when(F.col("_total") > 2 * BLOCK, band).otherwise(F.lit(0)))
     m = written(m, "members")
-    parts = m.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    whole = F.max("_total") <= 2 * BLOCK
+    parts = m.groupBy("family", "band").agg(F.when(whole, 1).otherwise(F.ceil(F.count("*") / BLOCK)).cast("int").alias("parts"))
     parts = written(parts, "parts")
     near = lambda d, name: parts.select("family", (F.col("band") - d).alias("band"), F.col("parts").alias(name))
     m = m.join(parts, ["family", "band"]).join(near(-1, "below"), ["family", "band"], "left").join(near(1, "above"), ["family", "band"], "left")
