@@ -14,6 +14,7 @@ from vitrine.functions import sizes as S
 from vitrine.functions import text as T
 from vitrine.functions import vector as V
 from vitrine.operators import curate, ingest, profiles, recommend, search
+from vitrine.sources import files
 from vitrine.streaming import jobs
 
 _Q, _SQL = {}, {}
@@ -476,6 +477,39 @@ def profile_fold(spark, d):
     return jobs.fold(_log(spark, d))
 
 
+@query(_SQL["profile_fold"])
+def stream_profile_fold(spark, d):
+    """The same fold as a stream."""
+    raw = spark.readStream.schema(_t(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    e = raw.select("event_id", F.col("user_id").alias("pid"), "ts", F.col("event_type").alias("kind"), (F.col("event_id") % 40).alias("key"))
+    return jobs.run_to_table(jobs.fold(e), files.scratch(spark, "fold"), files.scratch(spark, "fold-state"))
+
+
+@query(f"""WITH {_ITEMS}, sv AS (SELECT DISTINCT event_id % 40 AS id FROM events WHERE event_type = 'purchase') SELECT i.id, sv.id IS NOT NULL AS saved FROM i LEFT JOIN sv ON sv.id = i.id WHERE brand = (SELECT max(brand) FROM i)""")
+def saved_marks(spark, d):
+    items = _items(spark, d)
+    last = items.agg(F.max("brand").alias("_b"))
+    page = items.crossJoin(F.broadcast(last)).where("brand = _b").select("id")
+    return search.marked(page, _log(spark, d).where("kind = 'purchase'").select(F.col("key").alias("id")))
+
+
+_WANT = "['XXS', 'XS', 'S', 'M', 'L', 'XL', 'XXL', 'ONE'][id % 8 + 1]"
+
+
+@query(f"WITH {_CAT} SELECT id FROM ct WHERE CASE WHEN ct.category IN ('dress', 'jumpsuit', 'set') THEN {_WANT} IN ('M', 'ONE') WHEN ct.category IN ('trousers', 'jeans', 'skirt', 'shorts') THEN {_WANT} IN ('L', 'ONE') ELSE TRUE END")
+def size_facet(spark, d):
+    items = _items(spark, d)
+    letter = F.element_at(F.array(*[F.lit(x) for x in [*K.LETTERS, "ONE"]]), (F.col("id") % 8 + 1).cast("int"))
+    c = recommend.categorise(items, _prompts(spark, d)).withColumn("sizes_in_stock", F.array(letter))
+    return c.where(search.size_ok({"dresses": "M", "bottoms": "L"}, True)).select("id")
+
+
+@query("""SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^[-*•]\s*', '')), lambda x: x <> '')) AS n FROM conversations WHERE NOT contains(text, '[')""")
+def json_reply_parse(spark, d):
+    c = _t(spark, d, "conversations").where("NOT contains(text, '[')")
+    return c.select("conv_id", "turn", F.size(T.json_list("text")).cast("long").alias("n"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

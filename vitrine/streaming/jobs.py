@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from vitrine.operators import profiles
-
 
 def fold(events: DataFrame) -> DataFrame:
     """Per profile and key: events, first and last time, and the last kind; batch or stream."""
@@ -50,4 +48,9 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataF
     return stream.sparkSession.table(name)
 
 
-latest = profiles.latest
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregation over all that is there; each batch replaces the table at ``path``, so the result never passes the
+    driver."""
+    query = stream.writeStream.foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).outputMode("complete")
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
