@@ -34,7 +34,7 @@ FREQUENT_DOCS = 32
 #: Columns shared by more classes than this link families instead of pairs.
 WIDE = 32
 #: Classes of a block; a family of up to twice as many is not cut.
-BLOCK = 512
+BLOCK = 1024
 #: log2 of the bits of the filter that keeps texts of no family out of a shuffle, at most: 16 MB.
 FILTER_LG = 27
 #: Low hashes that a task gathers before it counts them.
@@ -134,23 +134,30 @@ def _near_histograms(percent: int):
     return run
 
 
-def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """Sizes of all intersections: the product of the incidence matrix with its transpose, in slices of columns."""
+def overlaps(sets: list[np.ndarray], width: int = 2048, parts: int = 8) -> np.ndarray:
+    """Sizes of all intersections: the product of the incidence matrix with its transpose, in slices of columns.
+
+    Columns are taken by ranges of their hashes, which bounds the memory beside the result; counts up to 2^24 are exact."""
     n = len(sets)
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    shared = count[column] > 1
-    column, row = number[column[shared]], row[shared]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
     out = np.zeros((n, n), np.float32)
-    for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-        i, j = np.searchsorted(column, (a, a + width))
-        x = np.zeros((n, min(width, int(column[j - 1]) - a + 1)), np.float32)
-        x[row[i:j], column[i:j] - a] = 1
-        out += x @ x.T
-    return out.astype(np.int32)
+    bounds = [np.uint64(i * (2**64 // parts)) for i in range(1, parts)]
+    cut = np.array([[0, *np.searchsorted(s, bounds), len(s)] for s in sets])
+    for p in range(parts):
+        some = [s[c[p] : c[p + 1]] for s, c in zip(sets, cut)]
+        flat, row = np.concatenate(some), np.repeat(np.arange(n, dtype=np.int32), cut[:, p + 1] - cut[:, p])
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        first = np.concatenate(([True], flat[1:] != flat[:-1])) if len(flat) else np.zeros(0, bool)
+        size = np.diff(np.append(np.flatnonzero(first), len(flat)))
+        shared = np.repeat(size > 1, size)
+        column = np.repeat(np.cumsum(size > 1) - 1, size)[shared]
+        row = row[shared]
+        for a in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            i, j = np.searchsorted(column, (a, a + width))
+            x = np.zeros((n, int(column[j - 1]) - a + 1), np.float32)
+            x[row[i:j], column[i:j] - a] = 1
+            out += x @ x.T
+    return out
 
 
 def _bitmap(ids: DataFrame, column: str) -> tuple[int, np.ndarray]:
@@ -192,12 +199,16 @@ def _products(k: int, percent: int):
 
     def links(side: list[int], ids: np.ndarray, weight: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
         o, n, side = overlaps(sets), np.array([len(s) for s in sets]), np.array(side)
-        linked = o * (100 + percent) >= percent * (n[:, None] + n[None, :])
+        linked = np.zeros(o.shape, bool)
+        for a in range(0, len(n), 256):
+            rows = slice(a, a + 256)
+            near = o[rows].astype(np.int64) * (100 + percent) >= percent * (n[rows, None] + n[None, :])
+            linked[rows] = near & ((side[rows, None] == 2) | (side[rows, None] != side[None, :]))
+        del o
         np.fill_diagonal(linked, False)
-        linked &= (side[:, None] == 2) | (side[:, None] != side[None, :])
         i, j = np.nonzero(np.triu(linked))
         forest = local_forest(ids[i], ids[j])
-        docs = (linked * weight[None, :]).sum(1)
+        docs = np.array([weight[r].sum() for r in linked], np.int64)
         some = np.flatnonzero(docs)
         a = np.array([*(x for x, _ in forest), *ids[some]], np.int64)
         b = pa.array([*(y for _, y in forest), *[None] * len(some)], pa.int64())
