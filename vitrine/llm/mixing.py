@@ -26,7 +26,6 @@ ITERATIONS, PULL = 24, 0.02
 FOLD = 8
 
 DOMAINS = ("clean", "low", "toxic")
-_SPACE = r"[\\x20\\x09-\\x0D]+"
 
 
 def domain_label() -> Column:
@@ -35,23 +34,28 @@ def domain_label() -> Column:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
-    """(doc_id, _h, n_words, _tokens): the distinct lower-case words without outer punctuation, and marks of style."""
+    """(doc_id, _h, n_words, _tokens): the distinct lower-case words without ASCII punctuation, and marks of style."""
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
-    d = d.withColumn("_n", F.expr(f"size(array_remove(split(_t, '{_SPACE}'), ''))"))
     share = lambda pattern: F.expr(f"floor(20 * length(regexp_replace(_t, '{pattern}', '')) / greatest(1, length(_t)))").cast("int").cast("string")
-    style = F.array(F.concat(F.lit("#upper"), share("[^A-Z]+")), F.concat(F.lit("#symbol"), share("[^#*$%&|<>]+")), F.concat(F.lit("#mark"), share("[^!?]+")), F.concat(F.lit("#digit"), share("[^0-9]+")))
-    distinct = F.expr(f"concat('#distinct', floor(10 * size(array_distinct(split(_t, '{_SPACE}'))) / size(split(_t, '{_SPACE}'))))")
-    words = F.expr(r"array_distinct(split(lower(_t), '[\\x20-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E\\x09-\\x0D]+'))")
-    return d.select("doc_id", F.xxhash64("_t").alias("_h"), F.col("_n").cast("long").alias("n_words"), F.concat(words, style, F.array(distinct)).alias("_tokens"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str, ...] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], DataFrame]:
-    """Log scores of a document without any chosen token, and a table ``token, weights`` of what each one adds.
+    style = F.array(
+        F.concat(F.lit("#upper"), share("[^A-Z]+")),
+        F.concat(F.lit("#symbol"), share("[^#*$%&|<>]+")),
+        F.concat(F.lit("#mark"), share("[^!?]+")),
+        F.concat(F.lit("#digit"), share("[^0-9]+")),
+        F.expr("concat('#distinct', floor(10 * size(_d) / size(_w)))"),
+    )
+    words = F.expr(r"split(lower(_t), '[\\x20-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E\\x09-\\x0D]+')")
+    n = F.expr(r"regexp_count(_t, '[^\\x20\\x09-\\x0D]+')").cast("long")
+    d = d.withColumns({"_w": words, "n_words": n}).withColumn("_d", F.array_distinct("_w"))
+    return d.select("doc_id", F.xxhash64("_t").alias("_h"), "n_words", F.concat("_d", style).alias("_tokens"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str, ...] = DOMAINS, sample_rows: int = SAMPLE_ROWS) -> tuple[list[float], list]:
+    """Log scores of a document without any chosen token, and a list of (token, weights): what each one adds.
 
     For every domain but the most frequent, tokens are chosen one by one: the one that stands out most among the documents
     that hold none chosen before. So the many words of a copied document don't each count as evidence. Domains without
     labelled rows get the smallest smoothed prior."""
-    spark = docs.sparkSession
     sample = written(labelled_sample(docs, labels, domain, sample_rows), "labelled")
     size = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
     total = sum(size.values())
@@ -63,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str,
     share = [size.get(k, 0) / max(1, total) for k in domains]
     z = {i: (F.col(f"_{i}") - F.col("n") * q) / F.sqrt(F.col("n") * q * (1 - q)) for i, q in enumerate(share) if 0 < q < max(share)}
     if not z:
-        return score, spark.createDataFrame([], "token string, weights array<double>")
+        return score, []
     some = counts.where(F.greatest(*z.values(), F.lit(0.0)) >= MIN_Z).orderBy(F.desc(F.greatest(*z.values(), F.lit(0.0))), "token").limit(CANDIDATES)
     some = written(some, "candidates")
     held = written(held.join(F.broadcast(some.select("token")), "token").groupBy("doc_id", "_h", "_y").agg(F.collect_set("token").alias("has")), "held")
@@ -84,24 +88,26 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str,
         absent = [math.log1p(-math.exp(x)) for x in p]
         score = [s + x for s, x in zip(score, absent)]
         rows.append((r["token"], [x - y for x, y in zip(p, absent)]))
-    return score, spark.createDataFrame(sorted(rows), "token string, weights array<double>")
-
-
-def posteriors(docs: DataFrame, prior: list[float], table: DataFrame) -> DataFrame:
-    """(doc_id, _h, n_words, copies, p): posterior per domain. Rows of equal id and text are one row with ``copies``."""
-    k = len(prior)
-    hit = tokens(docs).select("doc_id", "_h", "n_words", F.explode("_tokens").alias("token")).join(F.broadcast(table), "token")
-    sums = [F.sum(F.col("weights")[i]).alias(f"_s{i}") for i in range(k)]
-    hit = hit.groupBy("doc_id", "_h").agg(*sums)
-    text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", F.xxhash64(text).alias("_h"), F.expr(f"size(array_remove(split(coalesce(text, ''), '{_SPACE}'), ''))").cast("long").alias("n_words"))
-    plain = plain.groupBy("doc_id", "_h", "n_words").agg(F.count("*").alias("copies"))
-    h = hit.withColumnsRenamed({"doc_id": "_d", "_h": "_g"})
-    d = plain.join(h, plain["doc_id"].eqNullSafe(h["_d"]) & (plain["_h"] == h["_g"]), "left")
-    # repeated rows have summed their evidence together
-    score = F.array(*[F.lit(prior[i]) + F.coalesce(F.col(f"_s{i}") / F.col("copies"), F.lit(0.0)) for i in range(k)])
-    d = d.withColumn("_s", score).withColumn("_e", F.expr("transform(_s, x -> exp(x - array_max(_s)))"))
-    return d.select("doc_id", "_h", "n_words", "copies", F.expr("transform(_e, x -> x / aggregate(_e, 0D, (a, y) -> a + y))").alias("p"))
+    return score, sorted(rows)
+
+
+def posteriors(docs: DataFrame, prior: list[float], table: list[tuple[str, list[float]]]) -> DataFrame:
+    """(doc_id, _h, n_words, copies, p): posterior per domain, computed row by row. Rows of equal id and text are one row
+    with ``copies``."""
+    d = tokens(docs)
+    score = [F.lit(x) for x in prior]
+    if table:
+        d = d.withColumn("_has", F.array_intersect("_tokens", F.array(*[F.lit(t) for t, _ in table])))
+        adds = F.create_map(*[x for t, w in table for x in (F.lit(t), F.array(*[F.lit(v) for v in w]))])
+        d = d.withColumn("_add", F.transform("_has", lambda t: F.element_at(adds, t)))
+        score = [x + F.aggregate(_nth("_add", i), F.lit(0.0), lambda a, y: a + y) for i, x in enumerate(score)]
+    d = d.withColumn("_s", F.array(*score)).withColumn("_e", F.expr("transform(_s, x -> exp(x - array_max(_s)))"))
+    d = d.select("doc_id", "_h", "n_words", F.expr("transform(_e, x -> x / aggregate(_e, 0D, (a, y) -> a + y))").alias("p"))
+    return d.groupBy("doc_id", "_h", "n_words").agg(F.count("*").alias("copies"), F.first("p").alias("p"))
+
+
+def _nth(column: str, i: int) -> Column:
+    return F.transform(column, lambda a: a[i])
 
 
 def solve(soft: DataFrame, targets: list[float], iterations: int = ITERATIONS, pull: float = PULL) -> DataFrame:
@@ -153,9 +159,9 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float], budget: fl
 def apply_rates(docs: DataFrame, rates: DataFrame, band: float = 0.1, seed: int = 23) -> DataFrame:
     """Repeat or leave out each row of ``docs`` by its rate: the whole part, and one more with the rest's chance, drawn by a
     hash of the id. Rates within ``band`` of 1 count as 1, so that documents of a domain that is on target all stay once."""
-    r = rates.select(F.col("doc_id").alias("_d"), F.col("_h"), "rate")
+    r = rates.select(F.col("doc_id").alias("_d"), F.col("_h"), F.col("rate").alias("_rate"))
     d = docs.withColumn("_g", F.xxhash64(F.coalesce("text", F.lit(""))))
     u = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_g"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    n = F.when(F.abs(F.col("rate") - 1) <= band, 1).otherwise(F.floor(F.col("rate") + u)).cast("int")
+    n = F.when(F.abs(F.col("_rate") - 1) <= band, 1).otherwise(F.floor(F.col("_rate") + u)).cast("int")
     d = d.join(r, d["doc_id"].eqNullSafe(r["_d"]) & (d["_g"] == r["_h"]))
     return d.withColumn("_n", F.explode(F.array_repeat(F.lit(0), n))).select(docs.columns)
