@@ -44,23 +44,25 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         aggregate(transform(array(sort_array(transform(_h, (h, i) -> struct(h, i)))), s ->
           aggregate(transform(array(sort_array(transform(filter(s, (x, k) -> x.h <=> get(s, k - 1).h OR x.h <=> get(s, k + 1).h), x -> x.i))), p ->
             aggregate(transform(p, (x, k) -> least(5, coalesce(get(p, k + 1) - x, 5))), 0L, (a, x) -> a + x)), 0L, (a, x) -> a + x)), 0L, (a, x) -> a + x)"""
-    n = lambda c: F.expr(c).cast("long")
-    d = d.withColumns(
-        {
-            "n_words": n("size(_w)"),
-            "word_chars": n(f"length(regexp_replace(_t, '{_SPACE}', ''))"),
-            "n_symbols": n("length(regexp_replace(_t, '[^#*$%&|<>]+', ''))"),
-            "n_dup_lines": n("size(_l) - size(array_distinct(_l))"),
-            "n_repeat_words": n(f"CASE WHEN size(array_distinct(_h)) = size(_h) THEN 0L ELSE {covered} END"),
-            "_more": F.struct(
-                n("size(_l)").alias("n_lines"),
-                n("length(regexp_replace(_t, '[^A-Z]+', ''))").alias("n_upper"),
-                n("length(regexp_replace(_t, '[^!?]+', ''))").alias("n_marks"),
-                n("length(regexp_replace(_t, '[^0-9]+', ''))").alias("n_digits"),
-            ),
-        }
+    n = lambda c, name: F.expr(c).cast("long").alias(name)
+    made = F.struct(
+        n("size(_w)", "n_words"),
+        n(f"length(regexp_replace(_t, '{_SPACE}', ''))", "word_chars"),
+        n("length(regexp_replace(_t, '[^#*$%&|<>]+', ''))", "n_symbols"),
+        n("size(_l) - size(array_distinct(_l))", "n_dup_lines"),
+        n(f"CASE WHEN size(array_distinct(_h)) = size(_h) THEN 0L ELSE {covered} END", "n_repeat_words"),
+        F.struct(
+            n("size(_l)", "n_lines"),
+            n("length(regexp_replace(_t, '[^A-Z]+', ''))", "n_upper"),
+            n("length(regexp_replace(_t, '[^!?]+', ''))", "n_marks"),
+            n("length(regexp_replace(_t, '[^0-9]+', ''))", "n_digits"),
+        ).alias("_more"),
     )
-    return d.drop("_t", "_w", "_l", "_h")
+    # A generator of one row. A later filter on a statistic would else be pushed below the columns that it is made of,
+    # and these written out again at each place where they are used.
+    d = d.withColumn("_s", F.explode(F.array(made)))
+    keep = [c for c in docs.columns if c not in (*STATISTICS, "_more")]
+    return d.select(*keep, "_s.*")
 
 
 def base_failed() -> Column:
