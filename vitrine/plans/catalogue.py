@@ -504,7 +504,7 @@ def size_facet(spark, d):
     return c.where(search.size_ok({"dresses": "M", "bottoms": "L"}, True)).select("id")
 
 
-@query("""SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^[-*•]\s*', '')), lambda x: x <> '')) AS n FROM conversations WHERE NOT contains(text, '[')""")
+@query(r"""SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^[-*•]\s*', '')), lambda x: x <> '')) AS n FROM conversations WHERE NOT contains(text, '[')""")
 def json_reply_parse(spark, d):
     c = _t(spark, d, "conversations").where("NOT contains(text, '[')")
     return c.select("conv_id", "turn", F.size(T.json_list("text")).cast("long").alias("n"))
