@@ -20,6 +20,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_read(spark, sf_dir, "documents"))
 
 
+def op2_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(_read(spark, sf_dir, "documents"), own=True)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
@@ -124,7 +128,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op2_paragraph_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
