@@ -61,7 +61,7 @@ def made(seed: int, n: int) -> dict:
 @pytest.mark.parametrize("small", [False, True])
 def test_all_pairs(spark, monkeypatch, small):
     if small:
-        for name, n in (("WIDE", 3), ("BLOCK", 4), ("FREQUENT_DOCS", 2), ("GATHER", 500)):
+        for name, n in (("WIDE", 3), ("BLOCK", 4), ("BLOCK_NGRAMS", 400), ("LATE", 300), ("GATHER", 500)):
             monkeypatch.setattr(ngram_join, name, n)
     docs = made(4 + small, 500)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").selectExpr("*", "1 AS n_shingles", "'x' AS rep", "2 AS sig")
@@ -82,6 +82,28 @@ def test_odd_rows(spark):
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_one_id_with_two_texts(spark):
+    """Each text of an id has its own links; the class of both is told by its smallest id."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, one), (5, two), (7, one + " x"), (9, two + " x"), (9, two + " x"), (11, "c d e f g")]
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["n_shingles"], r["n_links"], r["component_id"]) for r in out)
+    assert got == [(5, 56, 1, 5), (5, 56, 2, 5), (7, 57, 1, 5), (9, 57, 2, 5), (9, 57, 2, 5), (11, 1, 0, 11)]
+
+
+def test_long_texts_and_shared_passages(spark):
+    """Long texts of one vocabulary that share passages, with a near copy of each: only the copies link."""
+    rng = random.Random(8)
+    shared = [" ".join(f"s{rng.randrange(400)}" for _ in range(80)) for _ in range(6)]
+    docs = {}
+    for i in range(60):
+        w = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((300, 1500)))]
+        docs[2 * i] = " ".join([*w, *rng.sample(shared, 3)])
+        docs[2 * i + 1] = " ".join(["new", *w, *rng.sample(shared, 1)]) if i % 2 else docs[2 * i] + " end"
+    got = ngram_join.join(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in got} == brute(docs)
+
+
 def test_overlaps():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(20)]
