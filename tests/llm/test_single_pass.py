@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -19,12 +20,17 @@ def odd(spark):
     long = "Some words, 'tis so\u00a0odd e\u0301 " * 3000
     rows = [(1, None), (2, ""), (3, "\n \t"), (4, long), (5, "one two"), (5, "one two"), (None, "no id"), (6, "<|endoftext|> x<|startoftext|>"), (7, "ǅ İstanbul ΣΑΣ K 't's 12")]
     rows += [(8, "The, the. THE!? a.b. h\u0331 H\u0331. 3,4, don't. x's, it's! ... ,. (a), \u00e9. \u00e9t\u00e9, a\u0301. <|ENDOFTEXT|>. i\u0307I\u0307. _a_. b_, 9.")]
+    rows += [(9, "GRÖSSE. größe!! ẞ. ﬁ, ªº ʰ. ǆ Ĳ. ΟΔΟΣ. j\u030c J\u030c. \u2160. \u00b2. ٣. हिन्दी। 漢字. ſ. \u212a. \u0130. x\u2028y. \u00a0.")]
     return spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS length", "1 AS grp", "2 AS spans", "3 AS shard")
 
 
-def test_packing_round_trip(spark, odd):
-    out = packing.pack(odd, TOKENS, group_docs=3).toPandas()
-    tok = Tokenizer.from_file(TOKENS)
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_packing_round_trip(spark, odd, name):
+    """Word by word where the tokenizer's file allows it, by whole texts elsewhere."""
+    file = public_tokenizers.path(name)
+    assert packing.is_wordwise(file) == (name == "word_bpe_49k.json")
+    out = packing.pack(odd, file, group_docs=3).toPandas()
+    tok = Tokenizer.from_file(file)
     left = [(r["doc_id"], r["text"]) for r in odd.collect()]
     for doc, text in left:
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -37,6 +43,17 @@ def test_packing_round_trip(spark, odd):
         assert seq.offset.tolist() == [0, *seq.length.cumsum().tolist()[:-1]] and seq.length.sum() <= 4096
 
 
+def test_packed_ids_of_all_documents(spark, sf):
+    """Every document's ids, kept words started afresh in between."""
+    tok = Tokenizer.from_file(TOKENS)
+    words = packing._Words(TOKENS)
+    for batch in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).to_batches(200):
+        words._clear()
+        flat, at = words.encode(batch.column("text"))
+        want = [e.ids for e in tok.encode_batch([t or "" for t in batch.column("text").to_pylist()], add_special_tokens=False)]
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == want
+
+
 def test_packing_is_tight_and_first_fit(spark, sf):
     out = queries.op7_packing(spark, sf).toPandas()
     assert out.length.sum() / (4096 * out.sequence_id.nunique()) > 0.97

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,10 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import slices
 
-#: Words whose ids a Python worker keeps, at least; it keeps twice as many at most. This changes speed and no result.
-WORDS_KEPT = 250_000
+#: Words whose ids a Python worker keeps, at most, before it starts afresh. This changes speed and no result.
+WORDS_KEPT = 600_000
+#: Letter words that are encoded in one call.
+JOINED = 200
 #: Documents of a group on average. Groups are independent, so their number alone grows with the corpus.
 GROUP_DOCS = 4000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -24,54 +28,132 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _tokenizers: dict = {}
 
 
-class _Words:
-    """Ids of white-space separated words. The tokenizer drops white space and no token spans it, so the ids of a
-    text are those of its words in turn. Of a plain ASCII word the case is dropped as the tokenizer does, and stops
-    after a letter or digit are a token run of their own, so they are looked up apart."""
+#: The settings under which a text's ids are those of its white-space separated words in turn, and a run of stops after
+#: a letter or digit is a token run of its own.
+_WORDWISE = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+#: Letters and digits that end in a letter or digit in lower case and composed form too.
+_STABLE = "a-zA-Z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+
+
+def is_wordwise(path: str) -> bool:
+    """Whether the tokenizer file drops white space, lower-cases and splits as _WORDWISE says, and marks word ends."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    first, *rest = pre.get("pretokenizers") or [{}]
+    split = first.get("type") == "Split" and first.get("pattern") == {"Regex": _WORDWISE["split"]} and first.get("behavior") == "Removed" and first.get("invert") is True
+    plain = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+    ends = spec.get("model", {}).get("type") == "BPE" and spec["model"].get("end_of_word_suffix") and not spec["model"].get("dropout")
+    special = all(t["content"].startswith("<|") and not t.get("lstrip") and not t.get("rstrip") for t in spec.get("added_tokens", []))
+    return bool(norm.get("normalizers") == _WORDWISE["normalizer"] and split and plain and ends and special and not spec.get("truncation") and not spec.get("padding"))
+
+
+class _Texts:
+    """Ids of whole texts, for any tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tok, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        self.tok = Tokenizer.from_file(path)
 
-    def lookup(self, words: list[str]) -> list[bytes]:
-        """The ids of each word. Words that were not used for long are forgotten."""
-        if len(self.new) > WORDS_KEPT:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        for w in words:
-            if w not in new and w in old:
-                new[w] = old[w]
-        missing = [w for w in words if w not in new]
-        for k in range(0, len(missing), 2000):
-            some = missing[k : k + 2000]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False)):
-                new[w] = np.array(e.ids, np.uint32).tobytes()
-        return [new[w] for w in words]
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for k in range(0, len(texts), 500):
+            out += [e.ids for e in self.tok.encode_batch_fast(texts[k : k + 500], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and the offsets of each text's ids."""
+        ids = [np.array(x, np.uint32) for x in self.ids_of(pc.fill_null(texts, "").to_pylist())]
+        return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+
+
+class _Words(_Texts):
+    """For a word-wise tokenizer: each different word is encoded once and its ids kept.
+
+    Of a plain ASCII word the case is dropped as the tokenizer does; stops after a letter or digit are looked up apart."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        end = self.tok.model.end_of_word_suffix
+        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(end)]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number, self.n, self.flat = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Letter words are encoded many at a time: each is one run that ends with an end of word."""
+        letters, rest, runs, sizes = [], [], [], []
+        for w in words:
+            (letters if w.isalpha() else rest).append(w)
+        for k in range(0, len(letters), JOINED):
+            some = letters[k : k + JOINED]
+            ids = np.array(self.ids_of([" ".join(some)])[0], np.int64)
+            at = np.flatnonzero(self.ends[ids])
+            if len(at) == len(some) and at[-1] == len(ids) - 1:
+                runs.append(ids)
+                sizes.append(np.diff(at, prepend=-1))
+            else:  # a letter whose lower case is none, say
+                one = self.ids_of(some)
+                runs.append(np.array([i for x in one for i in x], np.int64))
+                sizes.append(np.array([len(x) for x in one]))
+        one = self.ids_of(rest)
+        runs.append(np.array([i for x in one for i in x], np.int64))
+        sizes.append(np.array([len(x) for x in one], np.int64))
+        self.number.update(zip([*letters, *rest], range(len(self.n), len(self.n) + len(words))))
+        self.n = np.concatenate([self.n, *sizes])
+        self.flat = np.concatenate([self.flat, *(r.astype(np.uint32) for r in runs)])
+
+    def lookup(self, words: list[str]) -> np.ndarray:
+        """The number of each word among those kept; new ones are encoded."""
+        at = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._learn([words[i] for i in new])
+            at[new] = [self.number[words[i]] for i in new]
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > WORDS_KEPT:
+            self._clear()
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
-        plain = pc.and_(pc.string_is_ascii(words), pc.equal(pc.count_substring(words, "<|"), 0))
-        words = pc.if_else(plain, pc.ascii_lower(words), words)
-        stopped = pc.and_(plain, pc.match_substring_regex(words, "[a-z0-9][.,!?]+$"))
+        open_ = pc.equal(pc.count_substring(words, "<|"), 0)  # no special token
+        words = pc.if_else(pc.and_(open_, pc.string_is_ascii(words)), pc.ascii_lower(words), words)
+        stopped = pc.and_(open_, pc.match_substring_regex(words, f"[{_STABLE}][.,!?]+$"))
         core = pc.if_else(stopped, pc.ascii_rtrim(words, ".,!?"), words).dictionary_encode()
-        tail = pc.if_else(stopped, pc.replace_substring_regex(words, r"^.*[a-z0-9]([.,!?]+)$", r"\1"), "").dictionary_encode()
-        ids = [*self.lookup(core.dictionary.to_pylist()), *self.lookup(tail.dictionary.to_pylist())]
-        n_ids = np.array([len(x) // 4 for x in ids], np.int64)
-        first = np.concatenate(([0], np.cumsum(n_ids)))
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        parts = np.empty(2 * len(at), np.int64)
-        if len(at):
-            parts[::2] = core.indices.to_numpy(zero_copy_only=False)[at]
-            parts[1::2] = tail.indices.to_numpy(zero_copy_only=False)[at] + len(core.dictionary)
-        n = n_ids[parts]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        flat = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(first[parts] - ends[:-1], n) + np.arange(ends[-1])]
+        # what is left of a stopped word behind its stem: stops only
+        tail = pc.replace_substring_regex(words.filter(stopped), f"^.*[{_STABLE}]([.,!?]+)$", r"\1").dictionary_encode()
+        cores, tails = self.lookup(core.dictionary.to_pylist()), self.lookup(["", *tail.dictionary.to_pylist()])
+        parts = np.full((len(words), 2), tails[0])
+        parts[:, 0] = cores[core.indices.to_numpy(zero_copy_only=False)]
+        parts[stopped.to_numpy(zero_copy_only=False), 1] = tails[1:][tail.indices.to_numpy(zero_copy_only=False)]
+        flat, ends = _gather(self.flat, self.n, parts.ravel())
+        flat, ends = _gather(flat, np.diff(ends[::2]), coded.indices.to_numpy(zero_copy_only=False))
         texts_at = lists.offsets.to_numpy() - lists.offsets[0].as_py() if len(texts) else np.zeros(1, np.int64)
-        return flat, ends[2 * texts_at]
+        return flat, ends[texts_at]
+
+
+def _gather(flat: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` in turn, of runs of lengths ``n`` in ``flat``, and the ends of each."""
+    first = np.concatenate(([0], np.cumsum(n)))
+    n = n[at]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    return flat[np.repeat(first[at] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
+def _tokenizer(path: str) -> _Texts:
+    if path not in _tokenizers:
+        _tokenizers[path] = _Words(path) if is_wordwise(path) else _Texts(path)
+    return _tokenizers[path]
 
 
 def _pieces(path: str, size: int, end_id: int):
@@ -79,7 +161,7 @@ def _pieces(path: str, size: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        words = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
+        words = _tokenizer(path)
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, at = words.encode(part.column("text"))
