@@ -38,6 +38,8 @@ RANGES = 512
 BLOCK, BLOCK_NGRAMS = 1024, 2_000_000
 #: log2 of the bits of the filter that keeps texts of no family out of a shuffle, at most: 16 MB.
 FILTER_LG = 27
+#: Parts over which the classes of a component are dealt.
+SALT = 8
 #: Hashes that a task gathers before it counts them.
 GATHER = 2_000_000
 #: Frequent n-grams are told by the upper 32 bits of hashes below this one.
@@ -410,8 +412,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     linked = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     of = classes.select("node", "doc_id", "copies").join(linked, "node", "left").join(component, "node", "left")
     of = written(of.select("node", "doc_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component"), "class-links")
-    least = of.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
-    of = written(of.join(least, "component", "left").select("node", "n_links", F.coalesce("least", "doc_id").alias("component_id")), "class-components")
+    # classes without links need no join; a large component is dealt over SALT parts
+    linked = of.where("component IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)))
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    alone = of.where("component IS NULL").select("node", "n_links", F.col("doc_id").alias("component_id"))
+    of = written(linked.join(least, ["component", "salt"]).select("node", "n_links", "component_id").unionByName(alone), "class-components")
     out = ["doc_id", "n_shingles", "n_links", "component_id"]
     empty = docs.where("sig IS NULL").select("doc_id", "n_shingles", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("component_id"))
     return docs.where("sig IS NOT NULL").join(of, "node", "left").select(out).unionByName(empty)
