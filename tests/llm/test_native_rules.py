@@ -109,15 +109,80 @@ def test_rates_meet_targets_and_the_descent(spark):
 
 def test_classifier_on_held_out_labels(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    prior, table = mixing.fit(docs, labels.where("doc_id % 4 <> 0"), mixing.domain_label())
+    model = mixing.fit(docs, labels.where("doc_id % 4 <> 0"), mixing.domain_label())
     held = labels.where("doc_id % 4 = 0").withColumn("y", mixing.domain_label())
-    got = mixing.posteriors(docs, prior, table).join(held, "doc_id").collect()
+    got = mixing.posteriors(docs, model).join(held, "doc_id").collect()
     assert all(abs(sum(r["p"]) - 1) < 1e-9 for r in got)
     top = [(mixing.DOMAINS[int(np.argmax(r["p"]))], r["y"]) for r in got]
     assert np.mean([a == "clean" for a, b in top if b == "clean"]) > 0.95
     assert np.mean([a == b for a, b in top]) > 0.85
 
 
+def test_posteriors_and_rates_by_hand(spark):
+    """Counts, shrunken weights, posteriors, labels and rates against plain Python, over the whole vocabulary."""
+    rng = np.random.default_rng(2)
+    rows, labels = [], []
+    for i in range(260):
+        y = ("clean", "clean", "clean", "toxic", "low")[i % 5]
+        words = [f"w{k}" for k in rng.integers(0, 80, 25)]
+        words += {"toxic": ["Vile", "rotten"], "low": ["Spam!"]}.get(y, []) if i % 7 else []
+        rows.append((i, " ".join(words)))
+        if i < 240:
+            labels.append((i, 0 if y == "low" else 1, int(y == "toxic")))
+    rows += [(300, rows[3][1]), (301, None), (3, rows[3][1])]
+    labels += [(300, 1, 0), (3, 1, 1), (None, 1, 1), (9999, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS p", "1 AS _row", "2 AS _d")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    domain = {r["doc_id"]: r["y"] for r in labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(mixing.domain_label()).alias("y")).collect()}
+    split = lambda t: {w for w in re.split(r"[\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\x09-\x0D]+", (t or "").lower()) if w} | {
+        f"#{n}{20 * sum(c in s for c in t or '') // max(1, len(t or ''))}"
+        for n, s in (("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("symbol", "#*$%&|<>"), ("mark", "!?"), ("digit", "0123456789"))
+    }
+    by_text = {}
+    for i, t in rows:
+        if i in domain:
+            by_text[t or ""] = min(by_text.get(t or "", "z"), domain[i])
+    size, n, mine = Counter(by_text.values()), Counter(), defaultdict(Counter)
+    for t, y in by_text.items():
+        n.update(split(t))
+        mine[y].update(split(t))
+    model, total = mixing.fit(docs, labels, mixing.domain_label()), sum(size.values())
+    assert model["base"] == "clean"
+    for k in ("low", "toxic"):
+        weights = {}
+        for w in n:
+            a, b = mine[k][w] + 0.5, n[w] - mine[k][w] + 0.5
+            c, d = size[k] + 1 - a, total - size[k] + 1 - b
+            x = np.log(a / c) - np.log(b / d) - mixing.ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - mixing.DEAD
+            if x > 0:
+                weights[w] = x
+        assert model["of"][k]["words"].keys() == weights.keys() and all(abs(model["of"][k]["words"][w] - x) < 1e-9 for w, x in weights.items())
+        none = Counter(y for t, y in by_text.items() if not split(t) & weights.keys())
+        assert abs(model["of"][k]["none"] - np.log((none[k] + 0.5) / (none["clean"] + 0.5))) < 1e-9
+    assert {"vile", "rotten"} <= model["of"]["toxic"]["words"].keys() and "spam" in model["of"]["low"]["words"]
+    out = {(r["doc_id"], r["_h"]): r for r in mixing.mix(docs, labels, queries.SHARES, anchor="clean").collect()}
+    assert len(out) == 262
+    t, p, rate = [], [], []
+    for (i, _), r in out.items():
+        text = dict(rows)[i]
+        if i in domain:
+            want = [float(k == domain[i]) for k in queries.SHARES]
+        else:
+            odds = []
+            for k in queries.SHARES:
+                of = model["of"].get(k)
+                has = [of["words"][w] for w in split(text) if w in of["words"]] if of else []
+                odds.append(np.exp(0 if not of else of["prior"] + sum(has) if has else of["none"]))
+            want = np.array(odds) / sum(odds)
+        assert np.allclose(r["p"], want)
+        t.append(r["n_words"] * r["copies"])
+        p.append(r["p"])
+        rate.append(r["rate"])
+    t, p, rate = map(np.array, (t, p, rate))
+    assert np.isclose((t * rate) @ p[:, 0], t @ p[:, 0]) and (t * rate) @ p[:, 2] < 0.1 * (t @ p[:, 2])
+    assert mixing.apply_rates(docs, mixing.mix(docs, labels, queries.SHARES, anchor="clean")).columns == docs.columns
+
+
 def test_mixing_odd_rows(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "some words"), (3, "a b c " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rate", "2 AS p", "3 AS copies")
