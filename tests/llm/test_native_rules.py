@@ -71,24 +71,42 @@ def test_line_dedup(spark, sites):
         lines = [f"own {i} {k} and some longer words here" for k in range(6)] + [f"shared {k}" for k in rng.integers(0, 12, 4)] + [" shared 0\t", "", "  "]
         rows.append((i if i % 9 else None, "\n".join(rng.permutation(lines)), f"s{int(i ** 0.5) if i % 2 else 0}" if i % 5 else None))
     rows += [rows[3], (500, None, "s1"), (501, "", "s2"), (502, "shared 1", "s3"), (503, "shared 1\nshared 2\nx", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS k1", "'p' AS pos", "2 AS sites")
-    spread = defaultdict(set)
-    for _, text, s in rows:
-        for line in (text or "").split("\n"):
-            if line.strip(" \t\r") and s:
-                spread[line.strip(" \t\r")].add(s)
+    copy = "\n".join(f"copied line {k}" for k in range(9))
+    rows += [(600 + i, f"{copy}\nversion {i}", f"s{i}") for i in range(14)] + [(700, "shared 3", "s0"), (701, "shared 1\nlong\n" * 20_000, "s4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS k1", "'p' AS pos", "2 AS sites", "3 AS _gone", "4 AS _d", "5 AS n_removed", "6 AS _row", "7 AS salt")
+    lines_of = lambda text: [x.strip(" \t\r") for x in (text or "").split("\n") if x.strip(" \t\r")]
+
+    def spread_of(rows):
+        spread = defaultdict(set)
+        for _, text, s in rows:
+            for line in lines_of(text):
+                if s:
+                    spread[line].add(s)
+        return {x for x, on in spread.items() if len(on) >= sites}
+
+    candidates = spread_of(rows)
+    testify = [r for r in rows if 2 * sum(x in candidates for x in lines_of(r[1])) <= len(lines_of(r[1]))]
+    common = spread_of(testify) & candidates
     want = []
     for i, text, s in rows:
         lines = text.split("\n") if text is not None else []
-        left = [x for x in lines if len(spread.get(x.strip(" \t\r"), ())) < sites]
-        if sum(map(len, left)) < 0.5 * sum(map(len, lines)) or len(left) == len(lines):
-            left = None
-        want.append((i, text if left is None else "\n".join(left), len(lines), 0 if left is None else len(lines) - len(left)))
-    got = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.remove_boilerplate(df, sites).collect()]
+        left = [x for x in lines if x.strip(" \t\r") not in common]
+        want.append((i, "\n".join(left) if text is not None else None, len(lines), len(lines) - len(left)))
+    out = line_dedup.remove_boilerplate(df, sites)
+    assert set(df.columns) | {"n_lines"} == set(out.columns)
+    got = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()]
     assert Counter(got) == Counter(want)
+    assert all("copied line 8" in t for i, t, *_ in got if i and 600 <= i < 614)
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
 
 
+def test_short_pages_lose_their_boilerplate(spark):
+    """One shared and one own line each: the shared one goes."""
+    rows = [(i, f"All rights reserved by the same people everywhere\nown {i}", f"s{i}") for i in range(10)]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed"]) for r in got) == [(i, f"own {i}", 1) for i in range(10)]
+
+
 def test_rates_meet_targets_and_the_descent(spark):
     rng = np.random.default_rng(8)
     p = rng.dirichlet([0.3, 0.2, 0.1], 400)

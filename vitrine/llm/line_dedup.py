@@ -1,73 +1,87 @@
 """Line dedup by distinct-site spread: lines that stand on many sites are boilerplate.
 
 HyperLogLog sketches of the sites merge per line hash by aggregation; lines whose estimate lies near the threshold get
-an exact distinct count. DataFrame code throughout."""
+an exact distinct count. Copies of a document on many sites spread all of its lines, so the spread is taken twice: lines
+that pass the first time are candidates, and the second time only documents testify of which at least half of the lines
+are no candidates. What spreads through copies alone is left for near-duplicate removal. DataFrame code throughout."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import written
+from vitrine.llm.common import forget, written
 
 #: Sites on which a line must stand to be boilerplate.
 MIN_SITES = 8
 #: log2 of a sketch's registers, and the relative error (about five standard deviations) within which lines are counted.
 LG_K, NEAR = 12, 0.08
-#: A document that would lose more than this share of its line characters is a copy, not a page with boilerplate; it is left
-#: whole for near-duplicate removal.
-MAX_LOSS = 0.5
+#: Parts over which the rows of a line are dealt.
+SALT = 16
+_KEY = ["k1", "k2"]
 
 
 def line_keys(line: Column) -> list[Column]:
-    """96 hash bits of the line without outer blanks."""
+    """128 hash bits of the line without outer blanks."""
     bare = F.btrim(line, F.lit(" \t\r"))
-    return [F.xxhash64(bare).alias("k1"), F.hash(bare).alias("k2")]
+    return [F.xxhash64(bare).alias("k1"), F.xxhash64(F.lit(1), bare).alias("k2")]
+
+
+def _held(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose line is one of ``keys`` (distinct). A line that many rows hold is dealt over SALT tasks."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in _KEY]), F.lit(SALT)))
+    every = keys.select(*_KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    return salted.join(every, [*_KEY, "salt"], "left_semi").drop("salt")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys (``k1``, ``k2``) of the lines on at least ``min_sites`` distinct sites, from rows of (``k1``, ``k2``, ``site``).
+    """Keys (``k1``, ``k2``) of the lines on at least ``min_sites`` distinct sites, from rows of (``k1``, ``k2``, ``site``, ...).
 
     Null sites count for nothing. Lines on too few rows, or on one site, are dropped by plain counts before any sketch
     is made."""
-    often = lines.where("site IS NOT NULL").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
-    often = often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select("k1", "k2")
-    # one row for each line and site of a task is enough for a sketch
-    seen = written(lines.where("site IS NOT NULL").join(often, ["k1", "k2"]).select("k1", "k2", "site"), "line-sites")
-    spread = seen.groupBy("k1", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
+    often = lines.where("site IS NOT NULL").groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
+    often = often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select(*_KEY)
+    seen = written(_held(lines.where("site IS NOT NULL"), often).select(*_KEY, "site"), "line-sites")
+    spread = seen.groupBy(*_KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     spread = written(spread.where(F.col("sites") >= min_sites * (1 - NEAR) - 1), "line-spread")
     sure = F.col("sites") > min_sites * (1 + NEAR) + 1
-    close = seen.join(spread.where(~sure).select("k1", "k2"), ["k1", "k2"]).groupBy("k1", "k2", "site").count()
-    exact = close.groupBy("k1", "k2").count().where(F.col("count") >= min_sites)
-    return spread.where(sure).select("k1", "k2").unionByName(exact.select("k1", "k2"))
+    close = _held(seen, spread.where(~sure)).groupBy(*_KEY, "site").count()
+    exact = close.groupBy(*_KEY).count().where(F.col("count") >= min_sites)
+    return spread.where(sure).select(*_KEY).unionByName(exact.select(*_KEY))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_loss: float = MAX_LOSS, site: str = "source") -> DataFrame:
-    """Remove boilerplate lines from ``docs`` (``doc_id``, ``text``, ``site``); other columns pass through.
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
+    """Remove boilerplate lines from ``docs`` (``doc_id``, ``text``, ``site``); other columns pass through, whatever their names.
 
-    Lines are split at ``\\n``; blank ones are never boilerplate. ``text`` becomes the remaining lines; ``n_lines`` and
-    ``n_removed`` are added. Null texts stay null with 0 and 0. A document that would lose more than ``max_loss`` of its line
-    characters stays as it is. Rows with equal id and text are one for the removal and stay as many; null ids are
-    ordinary. An empty table gives no rows."""
-    key = [F.col("doc_id"), F.xxhash64("text").alias("_h"), F.crc32(F.col("text").cast("binary")).alias("_c")]
-    lines = docs.where("text IS NOT NULL").select(*key, F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.btrim("line", F.lit(" \t\r")) != "").select("doc_id", "_h", "_c", "site", "pos", *line_keys(F.col("line")))
-    lines = written(lines, "lines")
-    common = written(boilerplate(lines, min_sites), "boilerplate")
-    hit = lines.join(common, ["k1", "k2"]).groupBy("doc_id", "_h", "_c").agg(F.collect_set("pos").alias("_gone"))
-    hit = written(hit.withColumnRenamed("doc_id", "_d"), "hits")
-    own = docs.withColumns({"_h0": key[1], "_c0": key[2]})
-    d = own.join(hit, own["doc_id"].eqNullSafe(hit["_d"]) & (own["_h0"] == hit["_h"]) & (own["_c0"] == hit["_c"]), "left")
-    d = d.withColumn("_all", F.split("text", "\n"))
-    # a map gives the lookup of a removed line in place; array_except would lose repeated lines
-    d = d.withColumn("_left", F.expr("CASE WHEN _gone IS NULL THEN _all ELSE filter(_all, (l, i) -> NOT array_contains(_gone, i)) END"))
-    chars = lambda a: F.length(F.array_join(a, ""))
-    loses = F.col("_gone").isNotNull() & (chars(F.col("_left")) >= F.lit(1 - max_loss) * chars(F.col("_all")))
-    d = d.withColumn("_does", F.coalesce(loses, F.lit(False)))
-    return d.withColumns(
-        {
-            "text": F.when(F.col("_does"), F.array_join("_left", "\n")).otherwise(F.col("text")),
-            "n_lines": F.coalesce(F.size("_all"), F.lit(0)).cast("long"),
-            "n_removed": F.when(F.col("_does"), F.size("_all") - F.size("_left")).otherwise(F.lit(0)).cast("long"),
-        }
-    ).drop("_h0", "_c0", "_d", "_h", "_c", "_gone", "_all", "_left", "_does")
+    Lines are split at ``\\n``; blank ones are never boilerplate and count for nothing. A line that stands on ``min_sites``
+    sites is a candidate; it is boilerplate if it stands on as many in documents of which at most half of the lines are
+    candidates, and then goes from every document. ``text`` becomes the remaining lines; ``n_lines`` and ``n_removed``
+    are added, in the place of columns of these names. Null texts stay null with 0 and 0. Rows with equal id and text are
+    one for the removal and stay as many; null ids are ordinary. An empty table gives no rows."""
+    text = F.col("_row.text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    key = {"_h": F.xxhash64(text), "_c": F.crc32(text.cast("binary"))}
+    lines = rows.where(text.isNotNull()).select(F.col("_row.doc_id").alias("_d"), *[c.alias(n) for n, c in key.items()], F.col(f"_row.{site}").cast("string").alias("site"), F.split(text, "\n").alias("all"))
+    bare = lambda line: F.btrim(line, F.lit(" \t\r"))
+    lines = lines.withColumn("n", F.size(F.filter("all", lambda x: bare(x) != "")))
+    lines = lines.select("_d", "_h", "_c", "site", "n", F.posexplode("all").alias("pos", "line")).where(bare(F.col("line")) != "")
+    lines = written(lines.select("_d", "_h", "_c", "site", "n", "pos", *line_keys(F.col("line"))), "lines")
+    candidates = written(boilerplate(lines, min_sites), "candidates")
+    hit = written(_held(lines, candidates), "candidate-lines")
+    forget(lines)
+    doc = ["_d", "_h", "_c"]
+    # rows of one id and text repeat their lines
+    own = hit.groupBy(*doc).agg(F.countDistinct("pos").alias("hits"), F.max("n").alias("n")).where("2 * hits <= n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in doc]
+    testify = hit.alias("a").join(own.alias("b"), same, "left_semi")
+    common = written(boilerplate(testify, min_sites), "boilerplate")
+    gone = written(_held(hit, common).groupBy(*doc).agg(F.collect_set("pos").alias("_gone")), "gone")
+    same = [F.col("a._row.doc_id").eqNullSafe(F.col("b._d")), *[F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_h", "_c")]]
+    d = rows.withColumns(key).alias("a").join(gone.alias("b"), same, "left").select("_row", "_gone")
+    d = d.withColumn("_all", F.split(text, "\n"))
+    left = F.expr("array_except(sequence(0, size(_all) - 1), _gone)")
+    d = d.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.transform(left, lambda i: F.element_at("_all", i + 1))))
+    made = {"text": F.when(F.col("_left").isNotNull(), F.array_join("_left", "\n")).otherwise(text)}
+    added = {"n_lines": F.coalesce(F.size("_all"), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")}
+    kept = [made.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns if c not in added]
+    return d.select(*kept, *[c.alias(n) for n, c in added.items()])
