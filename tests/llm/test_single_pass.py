@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -90,7 +91,7 @@ URLS = [
 
 def test_url_rules(spark):
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS)] + [(5, URLS[5], "h")], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in url_filter.judge(pages, queries.URL_RULES, queries.URL_LISTED).collect()}
+    got = {r["page_id"]: r for r in url_filter.judge(pages, queries.URL_RULES, queries.url_listed()).collect()}
     rules = [(*url_filter.split_rule(r), v) for r, v in queries.URL_RULES]
     for i, url in enumerate(URLS):
         host, path = "", ""
@@ -104,8 +105,12 @@ def test_url_rules(spark):
         else:
             assert got[i]["rule"] is None
     assert got[15]["verdict"] == got[16]["verdict"] == "block" and got[0]["verdict"] == "allow"
-    joined = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_by_join(pages.dropDuplicates(["page_id"]), spark.createDataFrame(queries.URL_RULES, "entry string, verdict string")).collect()}
-    assert joined == {i: (r["rule"], r["verdict"]) for i, r in got.items() if r["rule"]}
+    rules = spark.createDataFrame(queries.URL_RULES, "entry string, verdict string")
+    listed = spark.createDataFrame([(x,) for x in queries.url_listed()], "entry string")
+    joined = url_filter.judge_by_join(pages, rules, listed).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, url_filter.judge(pages, queries.URL_RULES, queries.url_listed()).collect()))
+    assert any(r["listed"] and not r["rule"] for r in joined) and any(r["rule"] and r["verdict"] == "allow" for r in joined)
+
 
 
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
@@ -179,3 +184,62 @@ def test_secret_scan(spark, tmp_path, sf):
             rest = {(k, m.start(), m.end()) for rule in secret_scan.MORE for m in rule.regex.finditer(texts[r["doc_id"]] or "") for k in [rule.kind]}
             assert {(k, int(a), int(b)) for k, a, b in spans if k not in ("assign", "access", "hex")} == rest
     assert secret_scan.masked("token=abcdef!", [{"kind": "assign", "start": 0, "end": 12}]) == "[assign]!"
+
+
+def test_trigram_queries_follow_from_the_regexes():
+    q = {r.kind: r.trigrams() for r in (*secret_scan.BASE, *secret_scan.MORE)}
+    tri = lambda *words: [{w[i : i + 3] for i in range(len(w) - 2)} for w in sorted(words)]
+    assert q["assign"] == [tri("password", "passwd", "secret", "token", "apikey", "api_key")]
+    assert q["access"] == [tri("akia")] and q["hex"] == [] and q["url_password"] == [tri("://")]
+    assert q["github"] == [tri(*(f"gh{c}_" for c in "pousr"))] and q["private_key"] == [tri("-----begin "), tri("private key-----")]
+    assert q["jwt"] == [tri("eyj"), tri(".eyj")] and q["stripe"] == [tri("sk_live_", "rk_live_")]
+    assert secret_scan.mandatory("a(?:bcd|e)?fgh[xy]zz.*(?:klm|nop)+q") == [{f"a{x}fgh{y}zz" for x in ("", "e", "bcd") for y in "xy"}, {"klm", "nop"}]
+
+
+def test_candidates_against_full_scans():
+    """For every rule, the texts that its query leaves out hold no match, and it leaves some out."""
+    rules = (*secret_scan.BASE, *secret_scan.MORE)
+    texts = [*TEXTS, "xoxb-12345678901-a", "ghs_" + "a1B2" * 10, "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghijk", "rk_live_abcdefgh12345678", "ftp://me:pass@host", "Api Key = abcdefgh", "API_KEY = abcdefgh", "apikey:abcdefgh", "AKIA", None, ""]
+    column = pa.array([t for t in texts], pa.string())
+    for rule, rows in zip(rules, secret_scan.BlockIndex(rules).candidates(column)):
+        hits = {i for i, t in enumerate(texts) if t and rule.spans(t)}
+        assert hits <= set(rows.tolist()) and (len(rows) < len(texts) or rule.kind == "hex"), rule.kind
+        assert hits, rule.kind
+
+
+def test_long_texts_scan_in_linear_time():
+    import time
+
+    for text in ("a" * 1_000_000 + "://", "eyJ" * 333_000, "http" * 250_000 + "://x:y", "password " * 100_000, "0123456789abcdef0123 " * 50_000, "-----BEGIN " + "A " * 400_000, "xoxb-" * 200_000, "ghp_" * 250_000):
+        for rule in (*secret_scan.BASE, *secret_scan.MORE):
+            began = time.process_time()
+            rule.spans(text)
+            assert time.process_time() - began < 2, rule.kind
+
+
+def test_large_hypergeometric_law():
+    """The rejection draw has the law of numpy's where both apply, and exact bounds and moments beyond."""
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((40, 60, 30), (5000, 200_000, 9000), (3, 10_000, 5000), (7, 2, 8)):
+        mine = np.array([sharding._large_hypergeometric(rng, good, bad, n) for _ in range(20_000)])
+        other = rng.hypergeometric(good, bad, n, 20_000)
+        cuts = np.unique(np.quantile(other, np.linspace(0.05, 0.95, 15)))
+        x, y = (np.bincount(np.searchsorted(cuts, v), minlength=len(cuts) + 1) for v in (mine, other))
+        some = x + y > 0
+        assert ((x - y) ** 2 / np.maximum(x + y, 1))[some].sum() < 45 and mine.min() >= max(0, n - bad) and mine.max() <= min(good, n)
+    good, bad, n = 5 * 10**11, 2 * 10**13, 10**9
+    draws = np.array([sharding._large_hypergeometric(rng, good, bad, n) for _ in range(4000)], float)
+    p = good / (good + bad)
+    sd = (n * p * (1 - p)) ** 0.5
+    assert abs(draws.mean() - n * p) < 5 * sd / 4000**0.5 and abs(draws.std() / sd - 1) < 0.06
+
+
+def test_sharding_odd_rows(spark, tmp_path):
+    """Null, empty, repeated and very long texts and repeated ids: a row each, sizes at most one apart, gapless slots."""
+    rows = [(1, None), (2, ""), (3, "same"), (4, "same"), (4, "same"), (None, "x"), (5, "é" * 300_000)] + [(i, "t") for i in range(10, 95)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    out = queries.op9_sharding(spark, path).toPandas()
+    assert len(out) == len(rows) and set(out.law) == {"rows"} and out[out.doc_id == 5]["size"].tolist() == [600_016] and out[out.doc_id == 1].text_crc32.tolist() == [0]
+    counts = out.groupby("shard").slot
+    assert counts.count().max() - counts.count().min() <= 1 and all(sorted(s) == list(range(len(s))) for _, s in counts)

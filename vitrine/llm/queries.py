@@ -83,19 +83,26 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: host/path rules; the longest that fits decides.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
-#: Blocked where no rule fits.
-URL_LISTED = ("tionsh.example.net", "m.example.org", "example.com/fr/1", "example.com/de/2", "example.org/en/9")
+#: Blocked where no rule fits: a list of hosts, and one page path in each language and domain for every multiple of seven.
+URL_HOSTS = ("tionsh.example.net", "m.example.org")
+URL_STEP, URL_PAGES = 7, 2000
+
+
+def url_listed() -> list[str]:
+    return [*URL_HOSTS, *(f"example.{d}/{lang}/{URL_STEP * k}" for d in ("com", "net", "org") for lang in ("de", "en", "es", "fr") for k in range(1, URL_PAGES + 1))]
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES, URL_LISTED).drop("listed")
+    return url_filter.judge(_read(spark, sf_dir, "pages"), URL_RULES, url_listed()).drop("listed")
 
 
 def _op8_sql() -> str:
-    rows = [(*url_filter.split_rule(r), v, 1) for r, v in URL_RULES] + [(*url_filter.split_rule(r), "block", 0) for r in URL_LISTED]
+    rows = [(*url_filter.split_rule(r), v, 1) for r, v in URL_RULES] + [(r, "", "block", 0) for r in URL_HOSTS]
     values = ", ".join(f"('{h}', '{p}', '{v}', {k})" for h, p, v, k in rows)
     return f"""
-WITH r(h, p, v, k) AS (VALUES {values}),
+WITH r(h, p, v, k) AS (VALUES {values} UNION ALL
+  SELECT 'example.' || d, '/' || lang || '/' || {URL_STEP} * n, 'block', 0
+  FROM unnest(['com', 'net', 'org']) a(d), unnest(['de', 'en', 'es', 'fr']) b(lang), range(1, {URL_PAGES} + 1) c(n)),
 u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*', 0), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),

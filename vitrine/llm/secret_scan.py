@@ -6,6 +6,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import product
+from re import _constants as op
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,10 @@ from vitrine.llm.common import slices
 
 @dataclass(frozen=True)
 class Rule:
-    """``literals``: alternatives, each a tuple of strings that every match must hold (letter case aside); they are the
-    mandatory parts of the regex. Without any the rule scans whole texts. ``group`` must have ``least`` characters."""
+    """A kind of secret: its regex, of whose ``group`` a match must have ``least`` characters. The regex must not ignore case."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     least: int = 0
     group: int = 0
     regex: re.Pattern = field(init=False, compare=False, repr=False)
@@ -30,15 +31,83 @@ class Rule:
     def __post_init__(self):
         object.__setattr__(self, "regex", re.compile(self.pattern))
 
-    def trigrams(self) -> list[set[str]]:
-        """The Boolean query: an OR of ANDs of lower-case trigrams; empty if some alternative has none."""
-        found = [{s.lower()[i : i + 3] for s in alt for i in range(len(s) - 2)} for alt in self.literals]
-        return found if found and all(found) else []
+    def trigrams(self) -> list[list[set[str]]]:
+        """The Boolean query: an AND of ORs of ANDs of lower-case trigrams, one OR for each run of literals that every match
+        holds; empty where there is none, and the rule scans whole texts."""
+        runs = [[{s[i : i + 3] for i in range(len(s) - 2)} for s in sorted(run)] for run in mandatory(self.pattern)]
+        return [run for run in runs if all(run)]
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         return [m.span() for m in self.regex.finditer(text) if len(m[self.group]) >= self.least]
 
 
+#: Strings that a part of a regex may stand for, at most, before it counts as open.
+MAX_STRINGS = 16
+
+
+def _strings(node: tuple) -> set[str] | None:
+    """The lower-case strings that a parsed regex node matches, or None if they are too many or not all ASCII."""
+    what, arg = node
+    if what is op.LITERAL:
+        return {chr(arg).lower()} if arg < 128 else None
+    if what is op.IN:
+        out = set()
+        for kind, x in arg:
+            if kind is op.LITERAL:
+                out.add(x)
+            elif kind is op.RANGE and x[1] - x[0] < 2 * MAX_STRINGS:
+                out.update(range(x[0], x[1] + 1))
+            else:
+                return None
+        out = {chr(x).lower() for x in out} if all(x < 128 for x in out) else set()
+        return out if 0 < len(out) <= MAX_STRINGS else None
+    if what is op.SUBPATTERN:
+        return _joined(arg[-1])
+    if what is op.BRANCH:
+        parts = [_joined(x) for x in arg[1]]
+        out = set().union(*parts) if all(p is not None for p in parts) else set()
+        return out if 0 < len(out) <= MAX_STRINGS else None
+    if what in (op.MAX_REPEAT, op.MIN_REPEAT) and arg[1] <= 3:
+        one, out = _joined(arg[2]), set()
+        for n in range(arg[0], arg[1] + 1):
+            out |= {"".join(p) for p in product(one or (), repeat=n)} if one is not None and len(one) ** n <= MAX_STRINGS else set()
+        return out if one is not None and 0 < len(out) <= MAX_STRINGS and len(one) ** arg[1] <= MAX_STRINGS else None
+    return {""} if what in (op.AT, op.ASSERT, op.ASSERT_NOT) else None
+
+
+def _joined(nodes) -> set[str] | None:
+    out = {""}
+    for node in nodes:
+        more = _strings(node)
+        if more is None or len(out) * len(more) > MAX_STRINGS:
+            return None
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def mandatory(pattern: str) -> list[set[str]]:
+    """Runs of the regex that stand for few strings: every match holds, letter case aside, one of each set's strings."""
+    runs: list[set[str]] = []
+
+    def walk(nodes) -> None:
+        now = {""}
+        for node in nodes:
+            more = _strings(node)
+            if more is not None and len(now) * len(more) <= MAX_STRINGS:
+                now = {a + b for a in now for b in more}
+                continue
+            runs.append(now)
+            now = more if more is not None else {""}
+            if more is None and node[0] is op.SUBPATTERN:
+                walk(node[1][-1])
+            elif more is None and node[0] in (op.MAX_REPEAT, op.MIN_REPEAT) and node[1][0] > 0:
+                walk(node[1][2])
+        runs.append(now)
+
+    walk(_parser.parse(pattern))
+    return [r for r in runs if min(map(len, r)) >= 3]
+
+
 def either(word: str) -> str:
     """A pattern for the word in either case of A-Z; the flag would match a few letters beyond ASCII too."""
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
@@ -49,21 +118,21 @@ BASE = (
     Rule(
         "assign",
         "(" + "|".join(either(w) for w in ("password", "passwd", "secret", "token")) + "|" + either("api") + "_?" + either("key") + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        (("password",), ("passwd",), ("secret",), ("token",), ("api", "key")),
         6,
         2,
     ),
-    Rule("access", "AKIA[A-Z0-9]+", (("AKIA",),), 20),
-    Rule("hex", "[0-9a-f]{24,}", (), 24),
+    Rule("access", "AKIA[A-Z0-9]+", 20),
+    Rule("hex", "[0-9a-f]{24,}", 24),
 )
 #: Rules beside them: well-known shapes of keys.
 MORE = (
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", tuple((f"gh{c}_",) for c in "pousr")),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", tuple((f"xox{c}-",) for c in "abprs")),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", (("-----begin ", "private key-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyj", ".eyj"),)),
-    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}", (("k_live_",),)),
-    Rule("url_password", r"[a-z][a-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/@]{3,64}@", (("://",),)),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # a token starts where no such run goes before, and a scheme has a bounded length: both scan in linear time
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("url_password", r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"),
 )
 
 
@@ -72,7 +141,7 @@ class BlockIndex:
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.queries = [r.trigrams() for r in rules]
-        asked = sorted({t for q in self.queries for alt in q for t in alt})
+        asked = sorted({t for q in self.queries for run in q for alt in run for t in alt})
         self.number = {t: i for i, t in enumerate(asked)}
         self.table = np.full(1 << 24, -1, np.int16)
         for t, i in self.number.items():
@@ -95,10 +164,10 @@ class BlockIndex:
             held[asked[at[inside]], text[inside]] = True
         out = []
         for q in self.queries:
-            some = np.zeros(len(texts), bool)
-            for alt in q:
-                some |= np.logical_and.reduce([held[self.number[t]] for t in sorted(alt)])
-            out.append(np.flatnonzero(some) if q else np.arange(len(texts)))
+            every = np.ones(len(texts), bool)
+            for run in q:
+                every &= np.logical_or.reduce([np.logical_and.reduce([held[self.number[t]] for t in sorted(alt)]) for alt in run])
+            out.append(np.flatnonzero(every))
         return out
 
 
@@ -114,7 +183,7 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     rules = (*base, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = tuple((r.kind, r.pattern) for r in rules)
+        key = tuple(r.pattern for r in rules)
         index = _index.get(key) or _index.setdefault(key, BlockIndex(rules))
         kind_of = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])
         for batch in batches:

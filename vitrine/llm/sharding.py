@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +26,6 @@ def communication_matrix(block_sizes: list[int], shard_sizes: list[int], seed: i
         rest, pool = n, int(left.sum())
         for j, places in enumerate(left.tolist()):
             pool -= places
-            # numpy draws from populations below 1e9 only; beyond that a part of the places stands for all
             row[j] = got = _hypergeometric(rng, places, pool, rest)
             rest -= got
         left -= row
@@ -36,12 +37,42 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     """Good ones among n drawn without replacement."""
     if not n or not good:
         return 0
+    if n >= good + bad:
+        return good
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    # Populations that numpy refuses: the normal law with the exact mean and variance, within the exact bounds.
-    total, p = good + bad, good / (good + bad)
-    sd = (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5
-    return int(min(good, n, max(0, n - bad, round(rng.normal(n * p, sd)))))
+    return _large_hypergeometric(rng, good, bad, n)
+
+
+def _factorials(a: int, x: int) -> float:
+    """log((a + x)! / a!) - x log(max(a, 1)) + x, without the loss of digits that a difference of large logarithms has."""
+    if min(a, a + x) < 1000:
+        return math.lgamma(a + x + 1) - math.lgamma(a + 1) - x * math.log(max(a, 1)) + x
+    b = a + x
+    return (b + 0.5) * math.log1p(x / a) + (1 / b - 1 / a) / 12 - (1 / b**3 - 1 / a**3) / 360
+
+
+def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """As numpy's, which takes populations below 1e9 only: exact rejection for a law whose logarithm is concave.
+
+    With the mode m and q at most its chance, p(m + x) is at most p(m) min(1, exp(1 - q |x|)); a draw from that envelope is
+    accepted with the ratio of the two."""
+    mode = (n + 1) * (good + 1) // (good + bad + 2)
+    a = (mode, good - mode, n - mode, bad - n + mode)
+    lean = math.log(max(a[1], 1) / max(a[0], 1)) + math.log(max(a[2], 1) / max(a[3], 1))
+    # the chance of the mode is at least about 1 / (1 + sqrt(2 pi) sd)
+    total = good + bad
+    sd = math.sqrt(n / total * good * (bad / total) * ((total - n) / max(1, total - 1)))
+    q = 0.9 / (1 + math.sqrt(2 * math.pi) * sd)
+    w = 1 + q / 2
+    while True:
+        y = rng.random() * w / q if rng.random() <= w / (1 + w) else (w + rng.exponential()) / q
+        x = int(round(y)) * (1 if rng.random() < 0.5 else -1)
+        if not (0 <= a[0] + x and 0 <= a[1] - x and 0 <= a[2] - x and 0 <= a[3] + x):
+            continue
+        log_ratio = x * lean - sum(_factorials(k, s * x) for k, s in zip(a, (1, -1, -1, 1)))
+        if math.log(max(rng.random(), 1e-300)) + min(0.0, w - q * y) <= log_ratio:
+            return mode + x
 
 
 def shard(rows: DataFrame, n_shards: int, key: str = "doc_id", tie: tuple[str, ...] = (), seed: int = 11) -> DataFrame:

@@ -67,7 +67,9 @@ class DigestArray:
         want = np.fromiter(map(xxhash.xxh64_intdigest, probes), np.uint64, len(probes))
         at = np.searchsorted(self.keys, want)
         out = np.full(len(probes), -1, np.int64)
-        for i in np.flatnonzero(at < len(self.keys)).tolist() if len(self.keys) else ():
+        if not len(self.keys):
+            return out
+        for i in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == want).tolist():
             k, text = int(at[i]), None
             while k < len(self.keys) and self.keys[k] == want[i]:
                 text = text if text is not None else probes[i].encode()
@@ -138,18 +140,24 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], listed: Iterable[s
     return rows.mapInArrow(run, f"{key} {kind}, host string, path string, rule string, verdict string, listed string")
 
 
-def judge_by_join(pages: DataFrame, entries: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
-    """For lists of any size: the same probes as rows, joined to ``entries`` (``entry``, ``verdict``) by string.
-
-    Returns ``key, rule, verdict`` of the pages for which some entry fits. ``key`` must be unique."""
-    parts = entries.select(F.regexp_replace(F.lower(F.split_part("entry", F.lit("/"), F.lit(1))), "$", "").alias("h"), F.regexp_extract("entry", "/.*", 0).alias("p"), "verdict")
-    lengths = parts.select(F.length("p").alias("n")).distinct().limit(10_000).agg(F.collect_set("n")).first()[0]
+def judge_by_join(pages: DataFrame, rules: DataFrame, listed: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
+    """As ``judge``, for lists of any size: the same probes as rows, joined by string to ``rules`` (``entry``, ``verdict``)
+    and ``listed`` (``entry``). Each different host and path is probed once."""
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    every = rules.select("entry", "verdict", F.lit(1).alias("rank")).unionByName(listed.select("entry", F.lit("block").alias("verdict"), F.lit(0).alias("rank")))
+    parts = every.select(lower(F.split_part("entry", F.lit("/"), F.lit(1))).alias("s"), F.regexp_extract("entry", "(?s)/.*", 0).alias("q"), "verdict", "rank")
+    # an entry that stands twice: the last verdict by name, allow before block, as in the array's order of ranks
+    parts = parts.groupBy("s", "q", "rank").agg(F.min("verdict").alias("verdict"))
+    lengths = sorted(r["n"] for r in parts.select(F.length("q").alias("n")).distinct().collect())  # as many as the longest path has characters
     host, path = host_and_path(F.col("url"))
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select("key", host.alias("h"), path.alias("p"))
-    labels = F.split("h", r"\.")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url")).select("key", host.alias("host"), path.alias("path"))
+    labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    probes = rows.where("h <> ''").select("key", "p", F.explode(suffixes).alias("s"))
-    probes = probes.select("key", "s", F.explode(F.transform(F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n <= F.length("p")), lambda n: F.substring("p", F.lit(1), n))).alias("q")) if lengths else probes.select("key", "s", F.lit("").alias("q")).limit(0)
-    hits = probes.join(parts.select(F.col("h").alias("s"), F.col("p").alias("q"), "verdict"), ["s", "q"])
-    best = hits.groupBy("key").agg(F.max(F.struct(F.length(F.concat("s", "q")).alias("n"), F.length("s").alias("m"), F.concat("s", "q").alias("rule"), "verdict")).alias("b"))
-    return best.select(F.col("key").alias(key), "b.rule", "b.verdict")
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path"))
+    probes = rows.where("host <> ''").select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("s"), fits.alias("_n"))
+    probes = probes.select("host", "path", "s", F.explode(F.transform("_n", lambda n: F.substring("path", F.lit(1), n))).alias("q"))
+    found = probes.join(parts, ["s", "q"])
+    best = lambda r: F.max(F.when(F.col("rank") == r, F.struct(F.length(F.concat("s", "q")).alias("n"), F.length("s").alias("m"), F.concat("s", "q").alias("entry"), "verdict")))
+    best = found.groupBy("host", "path").agg(best(1).alias("r"), best(0).alias("l"))
+    out = rows.join(best, ["host", "path"], "left")
+    return out.select(F.col("key").alias(key), "host", "path", F.col("r.entry").alias("rule"), F.coalesce("r.verdict", "l.verdict", F.lit("allow")).alias("verdict"), F.col("l.entry").alias("listed"))
