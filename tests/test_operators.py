@@ -193,7 +193,14 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     for name, job in (("folded", jobs.fold), ("metered", lambda d: jobs.cost_meter(d.withColumn("cost_usd", F.lit(1.5))))):
         got = jobs.run_to_memory(job(stream), name)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, job(e).collect()))
-    assert jobs.run_to_memory(jobs.visits(stream, late="100 days"), "visits", "append").count() >= 0
+    # sessions close once the watermark has passed them: a last event, far later, closes all before it
+    rows = [(1, 0), (1, 20), (1, 49), (1, 100), (2, 5), (2, 300), (3, 100_000), (3, 200_000)]
+    log = spark.createDataFrame(rows, "pid long, m long").selectExpr("pid", "timestamp_seconds(60 * m) AS ts")
+    for k, part in enumerate((log.where("m < 1000"), log.where("m = 100000"), log.where("m = 200000"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/visits/{k}")
+    said = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/visits")
+    got = jobs.run_to_memory(jobs.visits(said, late="1 day"), "visits", "append").selectExpr("pid", "unix_seconds(start) / 60 AS a", "unix_seconds(end) / 60 AS b", "n").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 79, 3), (1, 100, 130, 1), (2, 5, 35, 1), (2, 300, 330, 1), (3, 100_000, 100_030, 1)]
     products = spark.readStream.schema("image string").parquet(f"{tmp_path}/p") if spark.createDataFrame([("a",), ("b",), ("a",)], "image string").write.parquet(f"{tmp_path}/p") is None else None
     for k in (1, 2):
         jobs.incremental_index(products, f"{tmp_path}/cache", lambda d: d.withColumn("vec", F.array(F.lit(1.0))), f"{tmp_path}/cp{k}").awaitTermination()

@@ -32,7 +32,7 @@ QUIZ_POOL, QUIZ_ITERATIONS, STRONG_Z = 4000, 15, 2.5
 SKIP_WORDS = ["gift card", "giftcard", "e-gift", "gift voucher"]
 MAX_IMAGES, IMAGE_WIDTH, STORED_DESCRIPTION = 6, 512, 700
 BANNED_TRAITS = (
-    r"(?i)\b(\w*core|y2k|\d0s|vibes?|aesthetics?|chic|boho|grunge|preppy|coquette|cottage|streetwear|athleisure|quiet luxury|old money|it[- ]girl|cool[- ]girl|clean[- ]girl|"
+    r"(?i)\b(\w*core|y2k|\d0s|vibe|vibes|aesthetic|aesthetics|chic|boho|grunge|preppy|coquette|cottage|streetwear|athleisure|quiet luxury|old money|it[- ]girl|cool[- ]girl|clean[- ]girl|"
     r"edgy|trendy|minimalist|maximalist|indie|alt|retro|vintage-inspired)\b"
 )
 
@@ -44,52 +44,60 @@ COMPATIBLE = {c: [c] for c in CATEGORIES} | {
     "jacket": ["jacket", "coat", "blazer"], "coat": ["coat", "jacket"], "blazer": ["blazer", "jacket"], "lingerie": ["lingerie", "dress"],
 }
 KEYWORDS = [
-    ("jumpsuit", ["jumpsuit", "romper", "playsuit", "overalls", "dungaree"]),
-    ("swimwear", ["swimsuit", "bikini", "swimwear", "one-piece"]),
-    ("lingerie", ["nightgown", "lingerie", "bralette", "underwear", "brief", "thong"]),
-    ("activewear", ["leggings", "sports bra", "bike shorts", "activewear"]),
-    ("set", ["two-piece", "co-ord", "matching set", " set"]),
-    ("dress", ["dress", "gown"]),
-    ("skirt", ["skirt", "skort"]),
-    ("shorts", ["shorts"]),
-    ("jeans", ["jeans", "jean "]),
-    ("trousers", ["trousers", "trouser", "pants", "pant ", "slacks", "culotte", "jogger"]),
-    ("blazer", ["blazer"]),
-    ("coat", ["trench", "overcoat", "coat"]),
-    ("jacket", ["jacket", "bomber", "puffer", "anorak", "parka", "gilet", "vest"]),
-    ("knitwear", ["cardigan", "sweater", "jumper", "pullover", "turtleneck"]),
-    ("top", ["blouse", "shirt", "t-shirt", "tee", "tank", "camisole", "cami", "bodysuit", "corset", "bustier", "hoodie", "sweatshirt", "polo", "crop top", "top"]),
-    ("shoes", ["sneaker", "loafer", "sandal", "boot", "heel", "mule", "shoe"]),
-    ("bag", ["tote", "handbag", "bag"]),
-    ("accessory", ["hat", "belt", "scarf", "jewellery", "jewelry", "earring", "necklace", "sunglasses"]),
-    ("jeans", ["denim"]),
-    ("knitwear", ["knit"]),
-    ("dress", ["slip"]),
-]
+    ("jumpsuit", "jumpsuit"), ("romper", "jumpsuit"), ("playsuit", "jumpsuit"), ("overalls", "jumpsuit"), ("dungaree", "jumpsuit"),
+    ("swimsuit", "swimwear"), ("bikini", "swimwear"), ("swimwear", "swimwear"), ("one-piece", "swimwear"),
+    ("nightgown", "lingerie"), ("lingerie", "lingerie"), ("bralette", "lingerie"), ("underwear", "lingerie"), ("brief", "lingerie"), ("thong", "lingerie"),
+    ("leggings", "activewear"), ("sports bra", "activewear"), ("bike shorts", "activewear"), ("activewear", "activewear"),
+    ("two-piece", "set"), ("co-ord", "set"), ("matching set", "set"), (" set", "set"),
+    ("dress", "dress"), ("gown", "dress"),
+    ("skirt", "skirt"), ("skort", "skirt"),
+    ("shorts", "shorts"),
+    ("jeans", "jeans"), ("jean ", "jeans"),
+    ("trousers", "trousers"), ("trouser", "trousers"), ("pants", "trousers"), ("pant ", "trousers"), ("slacks", "trousers"), ("culotte", "trousers"), ("jogger", "trousers"),
+    ("blazer", "blazer"),
+    ("trench", "coat"), ("overcoat", "coat"), ("coat", "coat"),
+    ("jacket", "jacket"), ("bomber", "jacket"), ("puffer", "jacket"), ("anorak", "jacket"), ("parka", "jacket"), ("gilet", "jacket"), ("vest", "jacket"),
+    ("cardigan", "knitwear"), ("sweater", "knitwear"), ("jumper", "knitwear"), ("pullover", "knitwear"), ("turtleneck", "knitwear"),
+    ("blouse", "top"), ("shirt", "top"), ("t-shirt", "top"), ("tee", "top"), ("tank", "top"), ("camisole", "top"), ("cami", "top"), ("bodysuit", "top"), ("corset", "top"), ("bustier", "top"), ("hoodie", "top"), ("sweatshirt", "top"), ("polo", "top"), ("crop top", "top"), ("top", "top"),
+    ("sneaker", "shoes"), ("loafer", "shoes"), ("sandal", "shoes"), ("boot", "shoes"), ("heel", "shoes"), ("mule", "shoes"), ("shoe", "shoes"),
+    ("tote", "bag"), ("handbag", "bag"), ("bag", "bag"),
+    ("hat", "accessory"), ("belt", "accessory"), ("scarf", "accessory"), ("jewellery", "accessory"), ("jewelry", "accessory"), ("earring", "accessory"), ("necklace", "accessory"), ("sunglasses", "accessory"),
+    ("denim", "jeans"),
+    ("knit", "knitwear"),
+    ("slip", "dress"),
+]
 
 # Fixed values of sizes.
 LETTERS = "XXS XS S M L XL XXL".split()
 ALIASES = {
-    "XXS": ["xxs", "2xs", "xxsmall", "xx-small"],
-    "XS": ["xs", "x-small", "xsmall", "extra small", "petite"],
-    "S": ["s", "sm", "small"],
-    "M": ["m", "md", "med", "medium"],
-    "L": ["l", "lg", "large"],
-    "XL": ["xl", "x-large", "xlarge", "extra large", "1x"],
-    "XXL": ["xxl", "2xl", "xx-large", "3xl", "4xl", "5xl", "2x", "3x", "4x"],
-    "ONE": ["os", "o/s", "one size", "onesize", "one-size", "free", "free size", "u", "uni", "universal", "default title", "default", "standard"],
-}
-REGIONS = {"UK": ["GBP", "AUD", "NZD", "INR"], "EU": ["EUR", "SEK", "DKK", "NOK", "CHF", "PLN"], "US": ["USD", "CAD", "MXN", "BRL"], "JP": ["JPY"], "KR": ["KRW"]}
+    "xxs": "XXS", "2xs": "XXS", "xxsmall": "XXS", "xx-small": "XXS",
+    "xs": "XS", "x-small": "XS", "xsmall": "XS", "extra small": "XS", "petite": "XS",
+    "s": "S", "sm": "S", "small": "S",
+    "m": "M", "md": "M", "med": "M", "medium": "M",
+    "l": "L", "lg": "L", "large": "L",
+    "xl": "XL", "x-large": "XL", "xlarge": "XL", "extra large": "XL", "1x": "XL",
+    "xxl": "XXL", "2xl": "XXL", "xx-large": "XXL", "3xl": "XXL", "4xl": "XXL", "5xl": "XXL", "2x": "XXL", "3x": "XXL", "4x": "XXL",
+    "os": "ONE", "o/s": "ONE", "one size": "ONE", "onesize": "ONE", "one-size": "ONE", "free": "ONE", "free size": "ONE", "u": "ONE", "uni": "ONE", "universal": "ONE", "default title": "ONE", "default": "ONE", "standard": "ONE",
+}
+REGIONS = {
+    "GBP": "UK", "AUD": "UK", "NZD": "UK", "INR": "UK",
+    "EUR": "EU", "SEK": "EU", "DKK": "EU", "NOK": "EU", "CHF": "EU", "PLN": "EU",
+    "USD": "US", "CAD": "US", "MXN": "US", "BRL": "US",
+    "JPY": "JP",
+    "KRW": "KR",
+}
 NUMERIC = {
-    "US": {"XS": [0, 2], "S": [4, 6], "M": [8, 10], "L": [12, 14], "XL": [16, 18], "XXL": [20, 22, 24]},
-    "UK": {"XXS": [4], "XS": [6], "S": [8, 10], "M": [12], "L": [14, 16], "XL": [18, 20], "XXL": [22, 24]},
-    "EU": {"XXS": [32], "XS": [34], "S": [36, 38], "M": [40, 42], "L": [44], "XL": [46, 48], "XXL": [50]},
-    "IT": {"XXS": [36], "XS": [38], "S": [40, 42], "M": [44], "L": [46], "XL": [48], "XXL": [50]},
-    "WAIST": {"XXS": [22, 23], "XS": [24, 25], "S": [26, 27], "M": [28, 29], "L": [30, 31], "XL": [32, 33], "XXL": [34, 35, 36]},
-    "123": {"XS": [0], "S": [1], "M": [2], "L": [3], "XL": [4], "XXL": [5]},
-}
-SHOES = r"(?i)\b(shoes?|boots?|sandals?|sneakers?|loafers?|heels?|mules?|flats?|slipper)\b"
-BOTTOMS = r"(?i)\b(jeans?|denim|pants?|trousers?|shorts?|skirt)\b"
+    "US": {0: "XS", 2: "XS", 4: "S", 6: "S", 8: "M", 10: "M", 12: "L", 14: "L", 16: "XL", 18: "XL", 20: "XXL", 22: "XXL", 24: "XXL"},
+    "UK": {4: "XXS", 6: "XS", 8: "S", 10: "S", 12: "M", 14: "L", 16: "L", 18: "XL", 20: "XL", 22: "XXL", 24: "XXL"},
+    "EU": {32: "XXS", 34: "XS", 36: "S", 38: "S", 40: "M", 42: "M", 44: "L", 46: "XL", 48: "XL", 50: "XXL"},
+    "IT": {36: "XXS", 38: "XS", 40: "S", 42: "S", 44: "M", 46: "L", 48: "XL", 50: "XXL"},
+    "JP": {0: "XS", 2: "XS", 4: "S", 6: "S", 8: "M", 10: "M", 12: "L", 14: "L", 16: "XL", 18: "XL", 20: "XXL", 22: "XXL", 24: "XXL"},
+    "KR": {0: "XS", 2: "XS", 4: "S", 6: "S", 8: "M", 10: "M", 12: "L", 14: "L", 16: "XL", 18: "XL", 20: "XXL", 22: "XXL", 24: "XXL"},
+    "WAIST": {22: "XXS", 23: "XXS", 24: "XS", 25: "XS", 26: "S", 27: "S", 28: "M", 29: "M", 30: "L", 31: "L", 32: "XL", 33: "XL", 34: "XXL", 35: "XXL", 36: "XXL"},
+    "123": {0: "XS", 1: "S", 2: "M", 3: "L", 4: "XL", 5: "XXL"},
+}
+SHOES = r"(?i)\b(shoe|shoes|boot|boots|sandal|sandals|sneaker|sneakers|loafer|loafers|heel|heels|mule|mules|flat|flats|slipper)\b"
+BOTTOMS = r"(?i)\b(jean|jeans|denim|pant|pants|trouser|trousers|short|shorts|skirt)\b"
 SIZE_OPTION = r"(?iu)size|taille|größe|grösse|talla|taglia|maat|storlek|sz"
 REGION_TAG = r"(?i)\b(us|uk|eu|au|it|fr|de|jp)\b"
 

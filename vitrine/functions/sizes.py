@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from vitrine.functions import constants as K
 
 
-def _map(table: dict[str, list]) -> Column:
-    return F.create_map(*[F.lit(x) for letter, keys in table.items() for k in keys for x in (k, letter)])
+def _map(table: dict) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
 
 
 def letters(label: Column) -> Column:
@@ -43,7 +43,7 @@ def normalise(labels: Column, currency: Column, title: Column) -> Column:
     def canon(label: Column) -> Column:
         tag = F.upper(F.regexp_extract(label, K.REGION_TAG, 1))
         table = F.when(is_123, "123").when(waist | F.lower(label).startswith("w"), "WAIST").when(tag == "AU", "UK")
-        table = table.when(tag.isin("US", "UK", "EU", "IT"), tag).when(region.isin("UK", "EU"), region).otherwise("US")
+        table = table.when(tag.isin("US", "UK", "EU", "IT", "JP"), tag).when(region.isin("UK", "EU", "JP", "KR"), region).otherwise("US")
         of = F.create_map(*[x for name, t in K.NUMERIC.items() for x in (F.lit(name), _map(t))])
         named = F.transform(numbers(label), lambda n: F.try_element_at(F.element_at(of, table), n.cast("int")))
         return F.coalesce(letters(label), F.array_distinct(F.filter(named, lambda x: x.isNotNull())))

@@ -68,10 +68,8 @@ def clean_traits(ts: Column | str) -> Column:
 def keyword_category(t: Column | str) -> Column:
     """The category of the first keyword, in list order, that the padded text contains."""
     padded, out = F.concat(F.lit(" "), F.lower(F.coalesce(_c(t), F.lit(""))), F.lit(" ")), None
-    for name, words in K.KEYWORDS:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(padded, F.lit(w))
+    for word, name in K.KEYWORDS:
+        hit = F.contains(padded, F.lit(word))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
@@ -88,9 +86,11 @@ def joined(names: Column) -> Column:
 
 
 def json_list(reply: Column | str) -> Column:
-    """A list of strings from a reply: the whole text as JSON, else its bracketed part, else its bullet lines."""
+    """A list of strings from a reply: the whole text as JSON, else its bracketed part, else its lines that aren't blank,
+    without bullets, blanks and quotes at both ends."""
     r = _c(reply)
-    lines = F.filter(F.transform(F.split(r, "\n"), lambda x: F.regexp_replace(F.trim(x), r"^[-*•]\s*", "")), lambda x: x != "")
+    full = F.filter(F.split(r, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)\s+", "") != "")
+    lines = F.transform(full, lambda x: F.btrim(x, F.lit("-*• \t\"'")))
     return F.coalesce(F.from_json(r, "array<string>"), F.from_json(F.regexp_extract(r, r"(?s)\[.*\]", 0), "array<string>"), lines)
 
 

@@ -30,31 +30,32 @@ def overview(products: DataFrame, previews: int = 6) -> DataFrame:
 
 
 def signals(products: DataFrame) -> DataFrame:
-    """Quality signals and suspicion per brand from ``brand, title, price, currency, vendor, tags``."""
+    """Quality signals and suspicion per brand from ``brand, title, price, currency, vendor, tags``; halves are rounded to
+    even, and an empty vendor is the brand."""
     dollars, t = T.usd("price", "currency"), F.col("title")
-    vendor = F.lower(F.trim(F.coalesce("vendor", "brand")))
-    share = lambda c: F.round(F.avg(c.cast("double")), 2)
+    vendor = F.lower(F.trim(F.when(F.col("vendor") == "", F.col("brand")).otherwise(F.coalesce("vendor", "brand"))))
+    share = lambda c: F.bround(F.avg(c.cast("double")), 2)
     caps = ((F.upper(t) == t) & t.rlike("(?U)\\p{Lu}")) | t.rlike(K.PLACEHOLDER)
     d = products.withColumn("_usd", F.when(dollars >= 3, dollars))
     s = d.groupBy("brand").agg(
         F.count("*").alias("items"),
-        F.round(F.median("_usd"), 0).alias("median_usd"),
+        F.bround(F.median("_usd"), 0).alias("median_usd"),
         share(t.rlike(K.SEO_WORDS)).alias("seo_titles"),
         share(F.size(F.split(F.trim(t), r"\s+")) >= 8).alias("long_titles"),
         share(caps).alias("caps_titles"),
-        F.round(F.avg(F.greatest(F.coalesce(F.size("tags"), F.lit(0)), F.lit(0)).cast("double")), 1).alias("avg_tags"),
+        F.bround(F.avg(F.greatest(F.coalesce(F.size("tags"), F.lit(0)), F.lit(0)).cast("double")), 1).alias("avg_tags"),
         F.count_distinct(vendor).alias("distinct_vendors"),
         share(vendor == F.lower("brand")).alias("own_vendor_share"),
     )
     # the price at position floor(n / 10) in sorted order, by rank: no list of a brand's prices in one row
     w = Window.partitionBy("brand")
     ranked = d.where("_usd IS NOT NULL").select("brand", "_usd", F.row_number().over(w.orderBy("_usd")).alias("_n"), F.count("*").over(w).alias("_c"))
-    p10 = ranked.where(F.col("_n") == F.floor(F.col("_c") / 10) + 1).select("brand", F.round("_usd", 0).alias("p10_usd"))
+    p10 = ranked.where(F.col("_n") == F.floor(F.col("_c") / 10) + 1).select("brand", F.bround("_usd", 0).alias("p10_usd"))
     s = s.join(p10, "brand", "left")
     cheap = F.when(F.col("median_usd") < 25, 3).when(F.col("median_usd") < 40, 2).when(F.col("median_usd") < 60, 1).otherwise(0)
     many = F.when(F.col("distinct_vendors") >= 5, 2).when(F.col("distinct_vendors") >= 3, 1).otherwise(0)
     score = cheap + 3 * F.col("seo_titles") + 2 * F.col("long_titles") + many + F.when(F.col("avg_tags") >= 15, 1).otherwise(0) + F.when(F.col("caps_titles") >= 0.5, 1).otherwise(0)
-    return s.withColumn("suspicion", F.round(score, 2))
+    return s.withColumn("suspicion", F.bround(score, 2))
 
 
 def usage(log: DataFrame) -> DataFrame:

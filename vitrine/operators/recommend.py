@@ -21,9 +21,10 @@ def similarities(items: DataFrame, queries: DataFrame, key: str) -> DataFrame:
 
 def categorise(items: DataFrame, prompts: DataFrame) -> DataFrame:
     """``id, category, margin``: the best prompt and its lead over the second."""
-    s = similarities(items.select("id", "vec"), prompts, "category")
-    best = s.groupBy("id").agg(F.max(F.struct("sim", "category")).alias("b"), F.slice(F.sort_array(F.collect_list("sim"), False), 1, 2).alias("t"))
-    return best.select("id", "b.category", (F.col("t")[0] - F.get("t", F.lit(1))).alias("margin"))
+    listed = prompts.agg(F.collect_list(F.struct("category", "q")).alias("_p"))  # one row: a fixed list of categories
+    sims = F.transform("_p", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("sim"), p["category"].alias("category")))
+    best = items.select("id", "vec").crossJoin(F.broadcast(listed)).select("id", F.sort_array(sims, False).alias("_s"))
+    return best.select("id", F.get("_s", F.lit(0))["category"].alias("category"), (F.get("_s", F.lit(0))["sim"] - F.get("_s", F.lit(1))["sim"]).alias("margin"))
 
 
 def wrong_category(trait: Column) -> Column:
@@ -59,10 +60,13 @@ def confidence(traits: Column, sources: Column) -> Column:
 def score_brands(items: DataFrame, traits: DataFrame, exclude: tuple[str, ...] = (), only: tuple[str, ...] = (), limit: int = 12) -> DataFrame:
     """Brand cards ``brand, items, n_matched, n_traits, score, matched, missing, price_low, price_high, why``.
 
-    ``traits``: ``trait_id, text, q, n_sources``. Of each brand the items in stock count, or all if none is; brands
-    with fewer than MIN_ITEMS are left out, and those that match nothing unless asked for by ``only``."""
-    stock = items.withColumn("_any", F.max("available").over(Window.partitionBy("brand"))).where(F.col("available") | ~F.col("_any"))
-    sizes = stock.groupBy("brand").agg(F.count("*").alias("items"), F.percentile("price", F.array(F.lit(0.15), F.lit(0.85))).alias("_p")).where(F.col("items") >= K.MIN_ITEMS)
+    ``traits``: ``trait_id, text, q, n_sources``. Of each brand the items in stock are scored, or all if none is; brands
+    with fewer than MIN_ITEMS of these are left out, and those that match nothing unless asked for by ``only``. ``items``
+    counts all of the brand's, and prices of 0 are unknown."""
+    all_of = items.groupBy("brand").agg(F.count("*").alias("items"), F.max("available").alias("_any"))
+    stock = items.join(all_of, "brand").where(F.col("available") | ~F.col("_any"))
+    known = F.when(F.col("price") != 0, F.col("price"))
+    sizes = stock.groupBy("brand").agg(F.first("items").alias("items"), F.count("*").alias("_n"), F.percentile(known, F.array(F.lit(0.15), F.lit(0.85))).alias("_p")).where(F.col("_n") >= K.MIN_ITEMS).drop("_n")
     lower = F.lower("brand")
     sizes = sizes.where(lower.isin(*[b.lower() for b in only])) if only else sizes.where(~lower.isin(*[b.lower() for b in exclude])) if exclude else sizes
     z, bars = trait_scores(items, traits)
@@ -183,8 +187,8 @@ def cold_start(items: DataFrame, limit: int = K.FEED_LIMIT, seed: int = 0) -> Da
 def coverage(items: DataFrame, known: DataFrame) -> DataFrame:
     """Per known brand (``name, q``): strong matches, their brands, and the first brands of the best fifty."""
     d = V.with_zscore(similarities(items, known, "name"), "sim", "z", ("name",), guard=True)
-    n = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("z"), "id"))
-    d = d.withColumn("_n", n)
     strong = F.col("z") > K.STRONG_Z
-    top = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 12, F.struct("_n", "brand")))), lambda s: s["brand"]))
-    return d.groupBy("name").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(strong, F.col("brand"))).alias("brands"), top.alias("top")).orderBy("strong", "name")
+    counts = d.groupBy("name").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(strong, F.col("brand"))).alias("brands"))
+    best = d.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("z"), "id"))).where(F.col("_n") <= 12)
+    top = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_n", "brand"))), lambda s: s["brand"]))
+    return counts.join(best.groupBy("name").agg(top.alias("top")), "name").orderBy("strong", "name")

@@ -1,7 +1,7 @@
 """Hybrid search over a catalog of items.
 
 Items: ``id, brand, title, product_type, price, currency, available, vec`` and, where used, ``tags, description,
-category, margin, sizes_in_stock``."""
+category, margin, sizes_in_stock, sizes_offered``."""
 
 from __future__ import annotations
 
@@ -84,13 +84,14 @@ def category_ok(category: str) -> Column:
 
 
 def size_ok(sizes: dict[str, str], include_unknown: bool) -> Column:
-    """The wanted size of the item's garment group is in stock; groups without a wish pass."""
+    """The wanted size of the item's garment group is in stock; groups without a wish pass. An item of which no sizes are
+    known at all passes with ``include_unknown``; one that is sold out does not."""
     ok = F.lit(True)
     for group, cats in K.SIZE_GROUPS.items():
         if group in sizes:
             has = F.array_contains("sizes_in_stock", sizes[group]) | F.array_contains("sizes_in_stock", "ONE")
-            none = F.coalesce(F.size("sizes_in_stock"), F.lit(0)) <= 0
-            ok = F.when(F.col("category").isin(cats), F.when(none, include_unknown).otherwise(has)).otherwise(ok)
+            none = F.coalesce(F.size("sizes_in_stock") <= 0, F.lit(True)) & F.coalesce(F.size("sizes_offered") <= 0, F.lit(True))
+            ok = F.when(F.col("category").isin(cats), F.when(none, include_unknown).otherwise(F.coalesce(has, F.lit(False)))).otherwise(ok)
     return ok
 
 

@@ -79,7 +79,7 @@ _ITEMS = """i AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS title, p_t
 _PROMPTS = """pm AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL),
 pl AS (SELECT label, list(x ORDER BY pos) AS v FROM pm GROUP BY label),
 prompts AS (SELECT ([{names}])[label + 1] AS category, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS q FROM pl)""".format(names=", ".join(f"'{c}'" for c in K.CATEGORIES))
-_KEYWORD = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({{c}}, '{w}')" for w in words) + f" THEN '{name}'" for name, words in K.KEYWORDS) + " END"
+_KEYWORD = "CASE " + " ".join(f"WHEN contains({{c}}, '{word}') THEN '{name}'" for word, name in K.KEYWORDS) + " END"
 _FX = "CASE {c} " + " ".join(f"WHEN '{c}' THEN {r!r}" for c, r in K.FX.items()) + " ELSE 1.0 END"
 
 
@@ -132,14 +132,14 @@ def page_diversity_full(spark, d):
     return search.all_pages(found)
 
 
-_DOCS = f"""t AS (SELECT doc_id AS id, unnest({_tok('text')}) AS token FROM documents WHERE lang = 'en'), pt AS (SELECT id, token, count(*) * 0.5 AS tf FROM t GROUP BY ALL),
-dl AS (SELECT id, sum(tf) AS dl FROM pt GROUP BY id), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en'), av AS (SELECT sum(dl) / max(n) AS avg, max(n) AS n FROM dl, n),
+_DOCS = f"""t AS (SELECT doc_id AS id, unnest({_tok('text')}) AS token FROM documents), pt AS (SELECT id, token, count(*) * 0.5 AS tf FROM t GROUP BY ALL),
+dl AS (SELECT id, sum(tf) AS dl FROM pt GROUP BY id), n AS (SELECT count(*) AS n FROM documents), av AS (SELECT sum(dl) / max(n) AS avg, max(n) AS n FROM dl, n),
 df AS (SELECT token, count(*) AS df FROM pt WHERE token IN ('tion', 'ing') GROUP BY token)"""
 
 
 @query(f"WITH {_DOCS} SELECT id AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 6) AS score FROM pt JOIN df USING (token) JOIN dl USING (id), av GROUP BY id ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark, d):
-    docs = _t(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+    docs = _t(spark, d, "documents").select("doc_id", "text")
     out = search.bm25(search.postings(docs, "doc_id", {"text": 0.5}), "doc_id", ["tion", "ing"], docs.agg(F.count("*").alias("n")))
     return out.select("doc_id", F.round("text_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
@@ -169,9 +169,9 @@ def keyword_category(spark, d):
     return _t(spark, d, "part").select("p_partkey", F.coalesce(T.keyword_category("p_name"), T.keyword_category("p_type")).alias("category"), T.is_junk("p_name").alias("junk"))
 
 
-@query(f"SELECT doc_id, {_kw('left(text, 200)')} AS category FROM documents")
+@query(f"SELECT doc_id, {_kw('text')} AS category FROM documents")
 def document_category(spark, d):
-    return _t(spark, d, "documents").select("doc_id", T.keyword_category(F.substring("text", 1, 200)).alias("category"))
+    return _t(spark, d, "documents").select("doc_id", T.keyword_category("text").alias("category"))
 
 
 _CAT = f"""{_ITEMS}, {_PROMPTS}, cs AS (SELECT id, category, list_inner_product(vec, q) AS sim FROM i, prompts),
@@ -279,18 +279,18 @@ def curation_overview(spark, d):
 _SEO = K.SEO_WORDS.replace("'", "''")
 
 
-@query(f"""WITH p AS (SELECT p_brand AS brand, p_name AS title, CASE WHEN p_retailprice >= 3 THEN p_retailprice END AS usd, lower(trim(p_type)) AS vendor FROM part),
+@query(f"""WITH p AS (SELECT p_brand AS brand, p_name AS title, CASE WHEN p_retailprice >= 3 THEN p_retailprice END AS usd, lower(trim(CASE WHEN p_size % 5 = 0 THEN p_brand ELSE p_type END)) AS vendor FROM part),
 r AS (SELECT brand, usd, row_number() OVER (PARTITION BY brand ORDER BY usd) AS n, count(*) OVER (PARTITION BY brand) AS c FROM p WHERE usd IS NOT NULL),
-s AS (SELECT brand, count(*) AS items, round(median(usd), 0) AS median_usd, round(avg(CASE WHEN regexp_matches(title, '{_SEO}') THEN 1.0 ELSE 0 END), 2) AS seo_titles,
-  round(avg(CASE WHEN len(regexp_split_to_array(trim(title), '\\s+')) >= 8 THEN 1.0 ELSE 0 END), 2) AS long_titles,
-  round(avg(CASE WHEN (upper(title) = title AND lower(title) <> title) OR regexp_matches(title, '[A-Z0-9_]{{6,}}') THEN 1.0 ELSE 0 END), 2) AS caps_titles,
-  count(DISTINCT vendor) AS distinct_vendors FROM p GROUP BY brand)
-SELECT s.*, round(usd, 0) AS p10_usd, round(CASE WHEN median_usd < 25 THEN 3 WHEN median_usd < 40 THEN 2 WHEN median_usd < 60 THEN 1 ELSE 0 END + 3 * seo_titles + 2 * long_titles
+s AS (SELECT brand, count(*) AS items, round_even(median(usd), 0) AS median_usd, round_even(avg(CASE WHEN regexp_matches(title, '{_SEO}') THEN 1.0 ELSE 0 END), 2) AS seo_titles,
+  round_even(avg(CASE WHEN len(regexp_split_to_array(trim(title), '\\s+')) >= 8 THEN 1.0 ELSE 0 END), 2) AS long_titles,
+  round_even(avg(CASE WHEN (upper(title) = title AND lower(title) <> title) OR regexp_matches(title, '[A-Z0-9_]{{6,}}') THEN 1.0 ELSE 0 END), 2) AS caps_titles,
+  round_even(avg(len(string_split(title, ' '))), 1) AS avg_tags, count(DISTINCT vendor) AS distinct_vendors, round_even(avg(CASE WHEN vendor = lower(brand) THEN 1.0 ELSE 0 END), 2) AS own_vendor_share FROM p GROUP BY brand)
+SELECT s.*, round_even(usd, 0) AS p10_usd, round_even(CASE WHEN median_usd < 25 THEN 3 WHEN median_usd < 40 THEN 2 WHEN median_usd < 60 THEN 1 ELSE 0 END + 3 * seo_titles + 2 * long_titles
   + CASE WHEN distinct_vendors >= 5 THEN 2 WHEN distinct_vendors >= 3 THEN 1 ELSE 0 END + CASE WHEN caps_titles >= 0.5 THEN 1 ELSE 0 END, 2) AS suspicion
 FROM s LEFT JOIN r ON r.brand = s.brand AND n = floor(c / 10) + 1""")
 def brand_signals(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), F.col("p_type").alias("vendor"), F.array().cast("array<string>").alias("tags"))
-    return curate.signals(p).drop("avg_tags", "own_vendor_share")
+    p = _t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_type")).alias("vendor"), F.split("p_name", " ").alias("tags"))
+    return curate.signals(p)
 
 
 _TRAIT_IDS = [11, 23, 35, 47, 59, 71, 83, 95]
@@ -313,7 +313,8 @@ def trait_bars(spark, d):
 
 
 @query(f"""WITH {_Z}, a AS (SELECT brand, bool_or(available) AS has_any FROM i GROUP BY brand), stock AS (SELECT i.* FROM i JOIN a USING (brand) WHERE available OR NOT has_any),
-sz AS (SELECT brand, count(*) AS items, quantile_cont(price, 0.15) AS lo, quantile_cont(price, 0.85) AS hi FROM stock GROUP BY brand HAVING count(*) >= 3),
+al AS (SELECT brand, count(*) AS items FROM i GROUP BY brand),
+sz AS (SELECT brand, items, quantile_cont(nullif(price, 0), 0.15) AS lo, quantile_cont(nullif(price, 0), 0.85) AS hi FROM stock JOIN al USING (brand) GROUP BY ALL HAVING count(*) >= 3),
 tk AS (SELECT *, row_number() OVER (PARTITION BY brand, trait_id ORDER BY z DESC, id) AS n FROM tz WHERE id IN (SELECT id FROM stock)),
 tp AS (SELECT brand, trait_id, avg(z) AS strength FROM tk WHERE n <= 3 GROUP BY ALL),
 m AS (SELECT brand, tp.trait_id, strength - bar AS over, least(3.0, 1 + 0.5 * greatest(n_sources - 1, 0)) AS w FROM tp JOIN bars USING (trait_id) JOIN tr USING (trait_id)),
@@ -338,21 +339,21 @@ def confidence_level(spark, d):
     return n.select("pid", "traits", "sources", F.round(recommend.trait_weight(F.col("n")), 6).alias("weight"), recommend.confidence(F.col("traits"), F.col("sources")).alias("level"))
 
 
-@query("""WITH s AS (SELECT a.vec_id AS id, 'phrase ' || b.vec_id AS phrase, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id BETWEEN 100 AND 119 AND b.vec_id BETWEEN 200 AND 249),
+@query("""WITH s AS (SELECT a.vec_id AS id, 'phrase ' || b.vec_id AS phrase, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE b.vec_id BETWEEN 200 AND 249),
 z AS (SELECT id, phrase, (sim - avg(sim) OVER w) / (stddev_pop(sim) OVER w + 1e-6) AS z FROM s WINDOW w AS (PARTITION BY id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY z DESC, phrase) AS n FROM z)
-SELECT phrase, count(*) AS n_images, round(sum(z), 6) AS score FROM r WHERE n <= 3 AND z >= 1.5 GROUP BY phrase ORDER BY n_images DESC, sum(z) DESC, phrase LIMIT 6""")
+SELECT phrase, count(*) AS n_images, round(sum(z), 6) AS score, array_to_string(list(id ORDER BY id), ',') AS images FROM r WHERE n <= 3 AND z >= 1.5 GROUP BY phrase ORDER BY n_images DESC, sum(z) DESC, phrase LIMIT 6""")
 def vocab_read(spark, d):
     e = _t(spark, d, "embeddings")
-    images = e.where("vec_id BETWEEN 100 AND 119").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    images = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     words = e.where("vec_id BETWEEN 200 AND 249").select(F.concat(F.lit("phrase "), F.col("vec_id").cast("string")).alias("phrase"), F.col("embedding").alias("q"))
-    return recommend.read_vocabulary(images, words).select("phrase", "n_images", F.round("score", 6).alias("score"))
+    return recommend.read_vocabulary(images, words).select("phrase", "n_images", F.round("score", 6).alias("score"), F.array_join(F.col("images").cast("array<string>"), ",").alias("images"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_transform(string_split(left(text, 400), '.'), lambda x: regexp_replace(lower(trim(trim(x, ' '), '.,;:!"''')), '\\s+', ' ', 'g')) AS ts FROM documents)
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, '.'), lambda x: regexp_replace(lower(trim(trim(x, ' '), '.,;:!"''')), '\\s+', ' ', 'g')) AS ts FROM documents)
 SELECT doc_id, array_to_string(list_filter(ts, lambda x, i: x <> '' AND len(string_split(x, ' ')) <= 8 AND NOT regexp_matches(x, '{}') AND NOT list_contains(ts[1:i - 1], x)), '|') AS traits FROM l""".format(K.BANNED_TRAITS.replace("'", "''")))
 def trait_clean(spark, d):
-    t = _t(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 400), r"\.").alias("ts"))
+    t = _t(spark, d, "documents").select("doc_id", F.split("text", r"\.").alias("ts"))
     return t.select("doc_id", F.array_join(T.clean_traits("ts"), "|").alias("traits"))
 
 
@@ -436,11 +437,11 @@ def profile_discovered(spark, d):
     return profiles.discovered(_log(spark, d))
 
 
-@query("""WITH a AS (SELECT DISTINCT lower(p_brand) AS key FROM part WHERE p_size < 20), b AS (SELECT DISTINCT lower(upper(p_brand)) AS key FROM part WHERE p_partkey % 9 = 1)
+@query("""WITH a AS (SELECT DISTINCT lower(p_brand) AS key FROM part WHERE p_brand < 'Brand#41'), b AS (SELECT DISTINCT lower(upper(p_brand)) AS key FROM part WHERE p_brand > 'Brand#21')
 SELECT key, 'added' AS change FROM b WHERE key NOT IN (SELECT key FROM a) UNION ALL SELECT key, 'removed' FROM a WHERE key NOT IN (SELECT key FROM b)""")
 def profile_set_diff(spark, d):
     p = _t(spark, d, "part")
-    return profiles.changes(p.where("p_size < 20"), p.where("p_partkey % 9 = 1").withColumn("p_brand", F.upper("p_brand")), "p_brand")
+    return profiles.changes(p.where("p_brand < 'Brand#41'"), p.where("p_brand > 'Brand#21'").withColumn("p_brand", F.upper("p_brand")), "p_brand")
 
 
 @query("""WITH s AS (SELECT x.vec_id AS q, e.vec_id AS id, row_number() OVER (PARTITION BY x.vec_id ORDER BY list_inner_product(e.embedding::DOUBLE[], x.embedding::DOUBLE[]) DESC, e.vec_id) AS n FROM embeddings e, embeddings x WHERE x.vec_id IN (1, 2))
@@ -461,7 +462,7 @@ def json_props(spark, d):
     return _log(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
 
 
-_US = " ".join(f"WHEN {n} THEN '{x}'" for x, ns in K.NUMERIC["US"].items() for n in ns)
+_US = " ".join(f"WHEN {n} THEN '{x}'" for n, x in K.NUMERIC["US"].items())
 
 
 @query(f"""WITH p AS (SELECT p_brand, p_type, min(p_partkey) AS low, list(DISTINCT p_size) AS sizes FROM part GROUP BY ALL), u AS (SELECT p_brand, p_type, sizes, unnest(sizes) AS s FROM p)
@@ -496,18 +497,30 @@ def saved_marks(spark, d):
 _WANT = "['XXS', 'XS', 'S', 'M', 'L', 'XL', 'XXL', 'ONE'][id % 8 + 1]"
 
 
-@query(f"WITH {_CAT} SELECT id FROM ct WHERE CASE WHEN ct.category IN ('dress', 'jumpsuit', 'set') THEN {_WANT} IN ('M', 'ONE') WHEN ct.category IN ('trousers', 'jeans', 'skirt', 'shorts') THEN {_WANT} IN ('L', 'ONE') ELSE TRUE END")
+@query(f"WITH {_CAT} SELECT id FROM ct WHERE CASE WHEN ct.category NOT IN ('dress', 'jumpsuit', 'set', 'trousers', 'jeans', 'skirt', 'shorts') THEN TRUE WHEN id % 11 = 0 THEN TRUE WHEN id % 5 = 0 THEN FALSE WHEN ct.category IN ('dress', 'jumpsuit', 'set') THEN {_WANT} IN ('M', 'ONE') ELSE {_WANT} IN ('L', 'ONE') END")
 def size_facet(spark, d):
     items = _items(spark, d)
     letter = F.element_at(F.array(*[F.lit(x) for x in [*K.LETTERS, "ONE"]]), (F.col("id") % 8 + 1).cast("int"))
-    c = recommend.categorise(items, _prompts(spark, d)).withColumn("sizes_in_stock", F.array(letter))
+    none = F.array().cast("array<string>")
+    c = recommend.categorise(items, _prompts(spark, d)).withColumn("sizes_offered", F.when(F.col("id") % 11 == 0, none).otherwise(F.array(letter)))
+    c = c.withColumn("sizes_in_stock", F.when((F.col("id") % 11 == 0) | (F.col("id") % 5 == 0), none).otherwise(F.array(letter)))
     return c.where(search.size_ok({"dresses": "M", "bottoms": "L"}, True)).select("id")
 
 
-@query(r"""SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' '), '^[-*•]\s*', '')), lambda x: x <> '')) AS n FROM conversations WHERE NOT contains(text, '[')""")
+_REPLY = """CASE conv_id % 4 WHEN 0 THEN text WHEN 1 THEN to_json(string_split(text, ' '))::VARCHAR WHEN 2 THEN 'Here: ' || to_json(string_split(text, ' '))::VARCHAR || ' done' ELSE '- "' || text || '"' || chr(10) || '* end' END"""
+
+
+@query(rf"""WITH r AS (SELECT conv_id, turn, {_REPLY} AS reply FROM conversations), s AS (SELECT *, regexp_extract(reply, '(?s)\[.*\]') AS bracketed FROM r),
+j AS (SELECT *, CASE WHEN json_valid(reply) THEN json_type(reply) = 'ARRAY' ELSE FALSE END AS whole, CASE WHEN json_valid(bracketed) THEN json_type(bracketed) = 'ARRAY' ELSE FALSE END AS part FROM s)
+SELECT conv_id, turn, array_to_string(CASE WHEN whole THEN from_json(reply, '["VARCHAR"]') WHEN part THEN from_json(bracketed, '["VARCHAR"]')
+  ELSE list_transform(list_filter(regexp_split_to_array(reply, '\r\n|[\n\r]'), lambda x: trim(x) <> ''), lambda x: trim(x, '-*• ' || chr(9) || '"' || chr(39))) END, '|') AS items FROM j""")
 def json_reply_parse(spark, d):
-    c = _t(spark, d, "conversations").where("NOT contains(text, '[')")
-    return c.select("conv_id", "turn", F.size(T.json_list("text")).cast("long").alias("n"))
+    """Every turn as a reply: as it is, as a JSON list, as one within a sentence, and as bullet lines with quotes."""
+    listed = F.to_json(F.split("text", " "))
+    k = F.col("conv_id") % 4
+    reply = F.when(k == 0, F.col("text")).when(k == 1, listed).when(k == 2, F.concat(F.lit("Here: "), listed, F.lit(" done"))).otherwise(F.concat(F.lit('- "'), F.col("text"), F.lit('"\n* end')))
+    c = _t(spark, d, "conversations").withColumn("reply", reply)
+    return c.select("conv_id", "turn", F.array_join(T.json_list("reply"), "|").alias("items"))
 
 
 def queries() -> dict:
