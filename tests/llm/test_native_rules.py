@@ -169,8 +169,9 @@ def test_posteriors_and_rates_by_hand(spark):
     for k in ("low", "toxic"):
         weights = {}
         for w in n:
-            a, b = mine[k][w] + 0.5, n[w] - mine[k][w] + 0.5
-            c, d = size[k] + 1 - a, total - size[k] + 1 - b
+            q = size[k] / total
+            a, b = mine[k][w] + mixing.PRIOR * q, n[w] - mine[k][w] + mixing.PRIOR * (1 - q)
+            c, d = size[k] + 2 * mixing.PRIOR * q - a, total - size[k] + 2 * mixing.PRIOR * (1 - q) - b
             x = np.log(a / c) - np.log(b / d) - mixing.ERRORS * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - mixing.DEAD
             if x > 0:
                 weights[w] = x

@@ -21,6 +21,9 @@ from vitrine.llm.quality_rules import labelled_sample
 SAMPLE_ROWS = 10_000
 #: A word's log-odds count for what they exceed this many standard errors plus this dead zone.
 ERRORS, DEAD = 2.5, 1.0
+#: Documents that each word is taken to stand in besides, spread over the domains as the sample is: a word of few documents
+#: of a small domain is no evidence.
+PRIOR = 10.0
 ITERATIONS, PULL = 24, 0.02
 #: Iterations folded into one expression before the rates are written.
 FOLD = 8
@@ -77,8 +80,9 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str,
     counts = sample.select("_y", F.explode("has").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *[F.count_if(F.col("_y") == k).alias(f"_{i}") for i, k in enumerate(few)])
     weights = []
     for i, k in enumerate(few):
-        a, b = F.col(f"_{i}") + 0.5, F.col("n") - F.col(f"_{i}") + 0.5
-        c, d = F.lit(size[k] + 1.0) - a, F.lit(total - size[k] + 1.0) - b
+        mine, rest = PRIOR * size[k] / total, PRIOR * (1 - size[k] / total)
+        a, b = F.col(f"_{i}") + mine, F.col("n") - F.col(f"_{i}") + rest
+        c, d = F.lit(size[k] + 2 * mine) - a, F.lit(total - size[k] + 2 * rest) - b
         weights.append((F.log(a / c) - F.log(b / d) - F.lit(ERRORS) * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - F.lit(DEAD)).alias(f"w{i}"))
     # a row of the sample has few words with weight, and the sample is bounded
     found = counts.select("token", *weights).where(F.greatest(*[F.col(f"w{i}") for i in range(len(few))], F.lit(0.0)) > 0).orderBy("token").collect()
