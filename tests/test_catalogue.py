@@ -2,14 +2,17 @@
 
 import pytest
 
-from vitrine.plans import catalogue
+from vitrine.plans import account, catalogue
 
+QUERIES = {**catalogue.queries(), **account.queries()}
+SQL = {**catalogue.oracle_sql(), **account.oracle_sql()}
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_sql(name, same):
-    same(name, catalogue.queries(), catalogue.oracle_sql())
+    same(name, QUERIES, SQL)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(catalogue.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(name, spark, sf):
-    assert catalogue.queries()[name](spark, sf).count() > 0
+    assert QUERIES[name](spark, sf).count() > 0

@@ -67,3 +67,52 @@ def without_source(traits: DataFrame, kind: str, ref: str) -> DataFrame:
 
 def valid_id(pid: Column) -> Column:
     return pid.rlike(PROFILE_ID)
+
+
+def saved_cards(saved_keys: DataFrame, items: DataFrame) -> DataFrame:
+    """Cards of a profile's saved items (``pid, key, ts``), the last saved first: ``position`` from 0; unknown ids drop out."""
+    d = saved_keys.join(items, F.col("key") == F.col("id"))
+    order = Window.partitionBy("pid").orderBy(F.desc("ts"), "key")
+    return d.withColumn("position", F.row_number().over(order) - 1).withColumn("saved", F.lit(True)).drop("key", "ts")
+
+
+def recent_brands(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Discovered brands (``pid, brand, last``), the latest first, with the number of their items in stock."""
+    stock = items.groupBy("brand").agg(F.count_if("available").alias("in_stock"))
+    order = Window.partitionBy("pid").orderBy(F.desc("last"), "brand")
+    return found.join(stock, "brand", "left").withColumn("in_stock", F.coalesce("in_stock", F.lit(0))).withColumn("position", F.row_number().over(order) - 1)
+
+
+def new_pins(pins: DataFrame, have: DataFrame) -> DataFrame:
+    """Pins (``n, source, link``) whose picture the profile lacks (``have``: ``source``), one per picture: its last link."""
+    fresh = pins.join(have.select("source").distinct(), "source", "left_anti")
+    return fresh.groupBy("source").agg(F.max_by("link", "n").alias("link"))
+
+
+def traits_added(traits: DataFrame, new: DataFrame) -> DataFrame:
+    """Add ``new`` traits (``pid, trait_id, text``): a text that the profile has, or that came earlier by id, is refused."""
+    first = new.groupBy("pid", "text").agg(F.min("trait_id").alias("trait_id"))
+    fresh = first.join(traits.select("pid", "text").distinct(), ["pid", "text"], "left_anti").withColumn("enabled", F.lit(True)).withColumn("user_added", F.lit(True))
+    return traits.unionByName(fresh, allowMissingColumns=True)
+
+
+def traits_patched(traits: DataFrame, patches: DataFrame) -> DataFrame:
+    """Apply patches (``trait_id, n, enabled, text``; null: as before): the last one given of each field holds. A changed
+    text has ``encode`` true: its vector is to be made anew."""
+    last = patches.groupBy("trait_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("n"))).alias(f"_{c}") for c in ("enabled", "text")])
+    d = traits.join(last, "trait_id", "left").withColumn("encode", F.coalesce(F.col("_text") != F.col("text"), F.lit(False)))
+    return d.withColumns({c: F.coalesce(f"_{c}", c) for c in ("enabled", "text")}).drop("_enabled", "_text")
+
+
+def traits_deleted(traits: DataFrame, ids: DataFrame) -> DataFrame:
+    return traits.join(ids.select("trait_id").distinct(), "trait_id", "left_anti")
+
+
+def with_defaults(given: Column, defaults: Column) -> Column:
+    """A map with the defaults of the keys that it lacks."""
+    return F.map_zip_with(F.coalesce(given, F.create_map().cast("map<string,string>")), defaults, lambda k, a, b: F.coalesce(a, b))
+
+
+def settings(given: Column, allowed: tuple[str, ...]) -> Column:
+    """Only the entries that a user may set."""
+    return F.map_filter(given, lambda k, v: k.isin(*allowed))
