@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +206,25 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     for k in (1, 2):
         jobs.incremental_index(products, f"{tmp_path}/cache", lambda d: d.withColumn("vec", F.array(F.lit(1.0))), f"{tmp_path}/cp{k}").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/cache").count() == 2
+
+
+def test_feed_in_slices_equals_the_greedy_feed(spark):
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(120, 4))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    score = [None if i % 40 == 7 else round(float(x), 1) for i, x in enumerate(rng.normal(size=120))]
+    rows = [(f"p{i % 2}", i, "AAAB"[i % 4] if i % 8 else f"C{i}", score[i], vecs[i].tolist()) for i in range(120)]
+    rows += [(None, 500, "A", 9.0, vecs[0].tolist()), ("p0", 501, "A", 9.0, None)]
+    frame = spark.createDataFrame(rows, "pid string, id long, brand string, score double, vec array<double>")
+    want = set()
+    for pid in ("p0", "p1"):
+        mine = sorted((r for r in rows if r[0] == pid and r[4]), key=lambda r: (-r[3] if r[3] is not None else np.inf, r[1]))
+        taken = []
+        for r in mine:
+            if len(taken) < 12 and sum(t[2] == r[2] for t in taken) < 2 and all(np.dot(t[4], r[4]) <= 0.9 for t in taken):
+                taken.append(r)
+        want |= {(pid, r[1], i) for i, r in enumerate(taken)}
+    for size in (3, 17, 1024):
+        got = {(r["pid"], r["id"], r["position"]) for r in recommend.rank_feed(frame, 12, 2, 0.9, size).collect()}
+        assert got == want
+    assert recommend.rank_feed(frame.limit(0)).count() == 0

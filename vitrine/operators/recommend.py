@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import constants as K
 from vitrine.functions import text as T
 from vitrine.functions import vector as V
+from vitrine.sources import files
 
 
 def similarities(items: DataFrame, queries: DataFrame, key: str) -> DataFrame:
@@ -120,27 +123,52 @@ def taste_scores(items: DataFrame, anchors: DataFrame) -> DataFrame:
     return s.select("id", "brand", (K.TASTE_MAX * F.col("mx") + K.TASTE_MEAN * F.col("mean") - penalty).alias("score"), "because")
 
 
-def rank_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, per_brand: int = K.FEED_PER_BRAND, dedupe: float = K.FEED_DEDUPE) -> DataFrame:
+def rank_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, per_brand: int = K.FEED_PER_BRAND, dedupe: float = K.FEED_DEDUPE, slice_rows: int = 1024) -> DataFrame:
     """Greedy feed per profile from ``pid, id, brand, score, vec``: a cap per brand, no piece too like a chosen one.
 
-    Profiles run side by side, each over its candidates in one Arrow group, as every pick depends on the ones before."""
+    Every pick depends on the ones before, so a profile's candidates go through in slices of ``slice_rows`` in the order of
+    score (null and NaN last) and id: a group holds a slice and the picks so far, never all items. Profiles that lack
+    picks after a slice that was full go on with the next one; the result doesn't depend on the slice's size. Rows without
+    a profile or a vector go; an empty table gives no rows."""
+    spark, kinds = scored.sparkSession, dict(scored.dtypes)
+    least = F.lit(float("-inf"))
+    rows = scored.select("pid", "id", "brand", "score", "vec", F.coalesce(F.nanvl("score", least), least).alias("_s")).where("pid IS NOT NULL AND vec IS NOT NULL")
+    in_order = Window.partitionBy("pid").orderBy(F.desc("_s"), "id")
+    # narrow rows: pid, id, brand, score, vec, _s, _n (order within the slice), position (of picks so far, else null)
+    schema = f"pid {kinds['pid']}, id {kinds['id']}, brand {kinds['brand']}, score double, vec {kinds['vec']}, position long"
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
+        pdf = pdf.sort_values(["position", "_n"], ignore_index=True, na_position="last")
         taken, brands, seen = [], {}, np.zeros((0, 0))
-        for row, (brand, vec) in enumerate(zip(pdf["brand"], pdf["vec"])):
+        for row, (brand, vec, before) in enumerate(zip(pdf["brand"], pdf["vec"], pdf["position"].notna())):
             if len(taken) == limit:
                 break
             vec = np.asarray(vec, np.float64)
-            if brands.get(brand, 0) >= per_brand or (taken and (seen @ vec).max() > dedupe):
+            if not before and (brands.get(brand, 0) >= per_brand or (taken and (seen @ vec).max() > dedupe)):
                 continue
             brands[brand] = brands.get(brand, 0) + 1
             seen = np.vstack([seen, vec]) if taken else vec[None, :]
             taken.append(row)
-        return pdf.loc[taken, ["pid", "id", "brand", "score"]].assign(position=range(len(taken)))
-
-    kinds = dict(scored.dtypes)
-    return scored.select("pid", "id", "brand", "score", "vec").groupBy("pid").applyInPandas(pick, f"pid {kinds['pid']}, id {kinds['id']}, brand {kinds['brand']}, score double, position long")
+        return pdf.loc[taken, ["pid", "id", "brand", "score", "vec"]].assign(position=range(len(taken)))
+
+    out, left, before = [], rows, None
+    while True:
+        path = files.scratch(spark, "feed")
+        part = left.withColumn("_n", F.row_number().over(in_order)).where(F.col("_n") <= slice_rows).withColumn("position", F.lit(None).cast("long"))
+        part.write.parquet(f"{path}/part")  # read twice below; the items are scored once a round
+        part = spark.read.schema(part.schema).parquet(f"{path}/part")
+        ends = part.groupBy("pid").agg(F.count("*").alias("_rows"), F.max(F.struct((-F.col("_s")).alias("s"), "id")).alias("_end"))
+        both = part if before is None else part.unionByName(before.withColumns({"_s": least, "_n": F.lit(0)}))
+        both.groupBy("pid").applyInPandas(pick, schema).write.parquet(f"{path}/picks")
+        picks = spark.read.schema(schema).parquet(f"{path}/picks")
+        short = picks.groupBy("pid").agg(F.count("*").alias("_picked")).where(F.col("_picked") < limit)
+        more = ends.where(F.col("_rows") == slice_rows).join(short, "pid").select("pid", "_end")
+        out.append(picks.join(more, "pid", "left_anti"))
+        if more.isEmpty():
+            break
+        before = picks.join(more, "pid", "left_semi")
+        left = rows.join(more, "pid").where(F.struct((-F.col("_s")).alias("s"), "id") > F.col("_end")).drop("_end")
+    return reduce(DataFrame.unionByName, out).drop("vec")
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFrame]:
