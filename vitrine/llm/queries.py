@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import embedding_join, line_dedup, mixing, ngram_join, packing, quality_rules, secret_scan, sharding, substring_dedup, url_filter
+from vitrine.llm import embedding_join, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,8 +135,43 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """One text in ten, by the checksum of its id, goes on from some word with the words from there repeated."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def again(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.get(w, (a + (i - a) % p).cast("int")))
+        return F.when(n == 0, F.lit("")).otherwise(F.array_join(F.concat(F.slice(w, F.lit(1), a), tail), " "))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    made = F.get(F.transform(F.array(words), again), F.lit(0))  # the words are bound once
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_repeated(_read(spark, sf_dir, "documents")))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    # greatest length, then smallest start and period
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("_b", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_b.s").alias("start"),
+        (-F.col("_b.l")).alias("length"),
+        F.col("_b.p").alias("period"),
+        F.floor(-1000 * F.col("_b.l") / F.col("_b.p")).alias("exponent_milli"),
+        sha(F.array_join(lines, "")).alias("runs_sha256"),
+        sha(F.coalesce("collapsed", F.lit(""))).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op2_paragraph_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op2_paragraph_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
