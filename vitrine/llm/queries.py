@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import embedding_join, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, secret_scan, sharding, substring_dedup, url_filter
+from vitrine.llm import chat_format, embedding_join, line_dedup, mixing, ngram_join, packing, periodic_runs, quality_rules, secret_scan, sharding, source_divergence, substring_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,6 +135,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM d) SEMI JOIN k USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+a AS (SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total, sum(coalesce(n, 0)) OVER (PARTITION BY lang, term) AS ln, sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS lt
+      FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (ln + 5)) // (lt + 5 * v) AS q FROM a JOIN v USING (lang)),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+r AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN f ON f.lang = x.lang AND f.source = x.source AND f.item = y.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM r)
+SELECT * FROM n WHERE part = 'pair' OR rank <= 50
+"""
+
+
+#: A conversation that says the control strings of a template, beside those of the table.
+CHAT_ODD = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    odd = spark.createDataFrame(CHAT_ODD, "conv_id long, turn long, role string, text string")
+    conversations = _read(spark, sf_dir, "conversations").select(odd.columns).unionByName(odd)
+    return chat_format.read_back(chat_format.windows(conversations, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def _repeated(docs: DataFrame) -> DataFrame:
     """One text in ten, by the checksum of its id, goes on from some word with the words from there repeated."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -171,8 +204,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op2_paragraph_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_substring_dedup, op2_paragraph_dedup, op3_line_dedup, op4_mixing, op5_quality_rules, op6_embedding_join, op7_packing, op8_url_filter, op9_sharding, op10_secret_scan, op11_source_divergence, op12_chat_format, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": _OP3_SQL, "op6_embedding_join": _OP6_SQL, "op8_url_filter": _op8_sql()}
+    return {"op3_line_dedup": _OP3_SQL, "op6_embedding_join": _OP6_SQL, "op8_url_filter": _op8_sql(), "op11_source_divergence": _OP11_SQL}
