@@ -2,10 +2,10 @@
 
 import pytest
 
-from vitrine.plans import account, catalogue
+from vitrine.plans import account, catalogue, upkeep
 
-QUERIES = {**catalogue.queries(), **account.queries()}
-SQL = {**catalogue.oracle_sql(), **account.oracle_sql()}
+QUERIES = {**catalogue.queries(), **account.queries(), **upkeep.queries()}
+SQL = {**catalogue.oracle_sql(), **account.oracle_sql(), **upkeep.oracle_sql()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

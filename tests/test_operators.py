@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import sizes as S
 from vitrine.functions import text as T
 from vitrine.functions import vector as V
-from vitrine.operators import curate, ingest, profiles, recommend, search
+from vitrine.operators import curate, ingest, profiles, ranking, recommend, search
 from vitrine.sources import files
 from vitrine.streaming import jobs
 
@@ -95,7 +95,7 @@ def test_pages_agree_and_keep_every_piece(spark):
     q = spark.createDataFrame([([0.6, 0.0, 0.8],)], "q array<double>")
     found = search.scored(items(spark), search.Query("red dress"), q)
     first = [r["id"] for r in search.first_page(found, page=8).collect()]
-    full = search.all_pages(found.withColumn("query_id", F.lit(1)), page=8).orderBy("position").collect()
+    full = ranking.all_pages(found.withColumn("query_id", F.lit(1)), page=8).orderBy("position").collect()
     assert [r["id"] for r in full][:8] == first
     distinct = found.select("brand", T.colourway("title")).distinct().count()
     assert len(full) == distinct and len({r["id"] for r in full}) == distinct

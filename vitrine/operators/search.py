@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import constants as K
 from vitrine.functions import text as T
 from vitrine.functions import vector as V
+from vitrine.operators.inverted import SearchIndex, weighted_tokens
 
 
 def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -21,15 +21,7 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
 
     Arrays of strings are joined by spaces. Counts combine on the map side before the one shuffle."""
 
-    def weighted(toks: Column, weight: float) -> Column:
-        return F.transform(toks, lambda t: F.struct(t.alias("token"), F.lit(weight).alias("w")))
-
-    kinds, parts = dict(docs.dtypes), []
-    for name, weight in fields.items():
-        value = F.array_join(name, " ") if kinds[name].startswith("array") else F.col(name)
-        value = F.substring(value, 1, K.DESCRIPTION_INDEXED) if name == "description" else value
-        parts.append(weighted(T.tokens(value), weight))
-    return docs.select(key, F.explode(F.concat(*parts)).alias("t")).groupBy(key, "t.token").agg(F.sum("t.w").alias("tf"))
+    return docs.select(key, F.explode(weighted_tokens(docs, fields)).alias("t")).groupBy(key, "t.token").agg(F.sum("t.w").alias("tf"))
 
 
 def bm25(post: DataFrame, key: str, query: list[str], n_docs: DataFrame) -> DataFrame:
@@ -95,18 +87,17 @@ def size_ok(sizes: dict[str, str], include_unknown: bool) -> Column:
     return ok
 
 
-def scored(items: DataFrame, query: Query, query_vec: DataFrame, taste: DataFrame | None = None) -> DataFrame:
+def scored(items: DataFrame, query: Query, query_vec: DataFrame, taste: DataFrame | None = None, index: SearchIndex | None = None) -> DataFrame:
     """All sellable and relevant items with ``score, z, text_score, usd``. ``query_vec`` and ``taste`` are one row ``q``.
 
-    Means, deviations and the text maximum are over all items, before any filter."""
+    With an ``index`` over the same items, text scores are read from its postings; without one all texts are tokenised. Means, deviations and the text maximum are over all items, before any filter."""
     p = query.parsed(items.sparkSession)
     sims = items.crossJoin(F.broadcast(query_vec.select(F.col("q").alias("_q")))).withColumn("sim", V.dot(F.col("vec"), F.col("_q"))).drop("_q")
     if taste is not None:
         sims = sims.crossJoin(F.broadcast(taste.select(F.col("q").alias("_t")))).withColumn("tsim", V.dot(F.col("vec"), F.col("_t"))).drop("_t")
     d = V.with_zscore(sims.drop("vec"), "sim", "z")
-    n = items.agg(F.count("*").alias("n"))
     fields = {f: w for f, w in K.FIELD_WEIGHTS.items() if f in items.columns}
-    text = bm25(postings(items, "id", fields), "id", p["tokens"], n)
+    text = index.search(p["tokens"]) if index else bm25(postings(items, "id", fields), "id", p["tokens"], items.agg(F.count("*").alias("n")))
     d = d.join(text, "id", "left").withColumn("text_score", F.coalesce("text_score", F.lit(0.0)))
     top = text.agg(F.max("text_score").alias("_top"))
     d = d.crossJoin(F.broadcast(top))
@@ -159,41 +150,6 @@ def first_page(found: DataFrame, sort: str = "relevance", page: int = K.PAGE) ->
     return one.orderBy((F.col("_rank") > K.PER_BRAND).asc(), *by).limit(page).drop("_way", "_n", "_rank")
 
 
-def all_pages(found: DataFrame, per_brand: int = K.PER_BRAND, page: int = K.PAGE) -> DataFrame:
-    """Every page of each query: rows (``query_id, id, brand, title, score``) get ``position``.
-
-    Which item comes next depends on those before, so each query's narrow rows go to one Arrow group; queries run
-    side by side."""
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).drop_duplicates(["brand", "way"], ignore_index=True)
-        out: list[int] = []
-        used: dict[tuple[int, str], int] = {}
-        waiting: list[int] = []
-        current = 0
-
-        def offer(row: int) -> bool:
-            slot = (current, pdf["brand"][row])
-            if used.get(slot, 0) >= per_brand:
-                return False
-            used[slot] = used.get(slot, 0) + 1
-            out.append(row)
-            return True
-
-        for row in range(len(pdf)):
-            if not offer(row):
-                waiting.append(row)
-            if out and not len(out) % page:
-                current = len(out) // page
-                waiting = [w for w in waiting if not offer(w)]
-        pdf = pdf.iloc[out + waiting].reset_index(drop=True)
-        return pdf.assign(position=range(len(pdf)))[["query_id", "id", "brand", "score", "position"]]
-
-    rows = found.select("query_id", "id", "brand", "score", T.colourway("title").alias("way"))
-    kinds = dict(rows.dtypes)
-    return rows.groupBy("query_id").applyInPandas(place, f"query_id {kinds['query_id']}, id {kinds['id']}, brand {kinds['brand']}, score double, position long")
-
-
 def similar(items: DataFrame, item_id, limit: int = 12, same_brand: bool = False) -> DataFrame:
     """Nearest available items: the best one of each other brand, or the best of the same brand."""
     one = items.where(F.col("id") == item_id).select(F.col("vec").alias("_v"), F.col("brand").alias("_b")).limit(1)

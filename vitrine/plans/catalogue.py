@@ -6,6 +6,8 @@ profile events."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from vitrine.functions import constants as K
 from vitrine.functions import sizes as S
 from vitrine.functions import text as T
 from vitrine.functions import vector as V
-from vitrine.operators import curate, ingest, profiles, recommend, search
+from vitrine.operators import curate, ingest, profiles, ranking, recommend, search
+from vitrine.operators.inverted import SearchIndex
 from vitrine.sources import files
 from vitrine.streaming import jobs
 
@@ -111,8 +114,23 @@ r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY score DESC, id) A
 RED_RING = search.Query("red ring")
 
 
+def _index(spark: SparkSession, d: str, name: str, docs: DataFrame, key: str, fields: dict[str, float], tables: list[str]) -> SearchIndex:
+    """The persistent index of a folder's tables, in the shared folder; built where the tables aren't those it was built of."""
+    root = f"{files.shared(spark)}/index-{name}-{hashlib.sha1(d.encode()).hexdigest()[:12]}"
+    return SearchIndex(spark, root, key, fields, 16).ensure(docs, *(f"{d}/{t}.parquet" for t in tables))
+
+
+def _items_index(spark: SparkSession, d: str) -> SearchIndex:
+    items = _items(spark, d)
+    return _index(spark, d, "items", items, "id", {f: w for f, w in K.FIELD_WEIGHTS.items() if f in items.columns}, ["part", "embeddings"])
+
+
+def _documents_index(spark: SparkSession, d: str) -> SearchIndex:
+    return _index(spark, d, "documents", _t(spark, d, "documents").select("doc_id", "text"), "doc_id", {"text": 0.5}, ["documents"])
+
+
 def _found(spark: SparkSession, d: str, q: search.Query = RED_RING) -> DataFrame:
-    return search.scored(_items(spark, d), q, _vectors(spark, d, [0], "k"))
+    return search.scored(_items(spark, d), q, _vectors(spark, d, [0], "k"), index=_items_index(spark, d))
 
 
 @query(f"WITH {_SCORED}, {_PAGE} SELECT id, brand, title, round(score, 6) AS score FROM r ORDER BY (rk > 2), r.score DESC, id LIMIT 24")
@@ -126,10 +144,32 @@ def price_sorted(spark, d):
     return found.orderBy(*search.ordering("price_asc")).limit(30).select("id", F.round("usd", 2).alias("usd"), F.round("score", 6).alias("score"))
 
 
-@query()
+_PAGED = [0, 1, 2, 3]
+_ALL_PAGES = f"""WITH RECURSIVE {_ITEMS},
+s AS (SELECT q.vec_id AS query_id, id, brand, title, round(list_inner_product(vec, q.embedding::DOUBLE[]), 9) AS score FROM i, embeddings q WHERE available AND q.vec_id IN ({', '.join(map(str, _PAGED))})),
+w AS (SELECT *, row_number() OVER (PARTITION BY query_id, brand, trim(regexp_replace(lower(title), '\\s*[-|~(].*$', '')) ORDER BY score DESC, id) AS way FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM w WHERE way = 1),
+st(query_id, n, page_no, placed, waiting, used) AS (
+  SELECT DISTINCT query_id, 0::BIGINT, 0::BIGINT, []::BIGINT[], []::STRUCT(n BIGINT, b VARCHAR)[], []::VARCHAR[] FROM r
+  UNION ALL
+  SELECT query_id, n, CASE WHEN due THEN len(placed) // 24 ELSE page_no END, CASE WHEN due THEN list_concat(placed, list_transform(go, lambda x: x.n)) ELSE placed END,
+    CASE WHEN due THEN list_filter(waiting, lambda x: NOT list_contains(go, x)) ELSE waiting END, CASE WHEN due THEN list_transform(go, lambda x: x.b) ELSE used END
+  FROM (SELECT *, CASE WHEN due THEN list_filter(waiting, lambda x, k: len(list_filter(waiting[1:k - 1], lambda y: y.b = x.b)) < 2) ELSE [] END AS go
+    FROM (SELECT *, len(placed) > 0 AND len(placed) % 24 = 0 AND len(placed) // 24 <> page_no AS due
+      FROM (SELECT query_id, n, page_no, CASE WHEN ok THEN list_append(placed, n) ELSE placed END AS placed,
+          CASE WHEN ok THEN waiting ELSE list_append(waiting, struct_pack(n := n, b := brand)) END AS waiting, CASE WHEN ok THEN list_append(used, brand) ELSE used END AS used
+        FROM (SELECT st.query_id, r.n, page_no, placed, waiting, used, r.brand, len(list_filter(used, lambda x: x = r.brand)) < 2 AS ok FROM st JOIN r ON r.query_id = st.query_id AND r.n = st.n + 1))))),
+e AS (SELECT query_id, list_concat(max_by(placed, n), list_transform(max_by(waiting, n), lambda x: x.n)) AS ns FROM st GROUP BY query_id),
+p AS (SELECT query_id, unnest(ns) AS n, unnest(range(len(ns))) AS position FROM e)
+SELECT query_id, id, brand, score, position FROM p JOIN r USING (query_id, n)"""
+
+
+@query(_ALL_PAGES)
 def page_diversity_full(spark, d):
-    found = _found(spark, d).withColumn("query_id", F.lit(0))
-    return search.all_pages(found)
+    """Every page of four queries, each over all items in stock."""
+    items = _items(spark, d).where("available")
+    found = recommend.similarities(items, _vectors(spark, d, _PAGED, "query_id"), "query_id")
+    return ranking.all_pages(found.select("query_id", "id", "brand", "title", F.round("sim", 9).alias("score")))
 
 
 _DOCS = f"""t AS (SELECT doc_id AS id, unnest({_tok('text')}) AS token FROM documents), pt AS (SELECT id, token, count(*) * 0.5 AS tf FROM t GROUP BY ALL),
@@ -137,11 +177,30 @@ dl AS (SELECT id, sum(tf) AS dl FROM pt GROUP BY id), n AS (SELECT count(*) AS n
 df AS (SELECT token, count(*) AS df FROM pt WHERE token IN ('tion', 'ing') GROUP BY token)"""
 
 
-@query(f"WITH {_DOCS} SELECT id AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 6) AS score FROM pt JOIN df USING (token) JOIN dl USING (id), av GROUP BY id ORDER BY score DESC, doc_id LIMIT 20")
+_BM25_TOP = "SELECT id AS doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))), 6) AS score FROM pt JOIN df USING (token) JOIN dl USING (id), av GROUP BY id ORDER BY score DESC, doc_id LIMIT 20"
+
+
+def _top20(scores: DataFrame) -> DataFrame:
+    return scores.select("doc_id", F.round("text_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"WITH {_DOCS} {_BM25_TOP}")
 def bm25_topk(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text")
-    out = search.bm25(search.postings(docs, "doc_id", {"text": 0.5}), "doc_id", ["tion", "ing"], docs.agg(F.count("*").alias("n")))
-    return out.select("doc_id", F.round("text_score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
+    return _top20(_documents_index(spark, d).search(["tion", "ing"]))
+
+
+@query(f"WITH {_DOCS.replace('FROM documents', 'FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)')} {_BM25_TOP}")
+def index_merge_search(spark, d):
+    """An index of drafts of the labelled documents and all others, into which the documents as they are are merged; the toxic
+    ones are deleted."""
+    docs, labels = _t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "labels")
+    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    drafts = labelled.select("doc_id", F.concat(F.lit("ting draft "), F.reverse("text")).alias("text"))
+    index = SearchIndex(spark, files.scratch(spark, "index"), "doc_id", {"text": 0.5}, 16)
+    index.build(docs.join(labelled.select("doc_id"), "doc_id", "left_anti").unionByName(drafts))
+    index.merge(labelled)
+    index.delete(labels.where("toxic = 1").select("doc_id"))
+    return _top20(index.search(["tion", "ing"]))
 
 
 @query("SELECT vec_id, round(sim, 6) AS sim, round((sim - avg(sim) OVER ()) / (stddev_pop(sim) OVER () + 1e-6), 6) AS z FROM (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS sim FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 50")

@@ -52,15 +52,15 @@ def overwrite_keys(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def bucketed_postings(post: DataFrame, table: str, buckets: int) -> None:
-    """The inverted index, bucketed and sorted by token, so that lookups and joins on tokens need no shuffle."""
-    post.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").saveAsTable(table)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name in the shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='vitrine-')}"
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex[:12]}"
