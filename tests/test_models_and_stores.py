@@ -1,13 +1,10 @@
-"""Encoders, trait readers, taste and saved stores."""
-
-import json
+"""Encoders, trait readers and taste."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import encoders, ingest, taste
-from vitrine.sources import stores
+from vitrine.operators import encoders, taste
 
 
 def test_hash_encoder_as_a_column(spark):
@@ -57,15 +54,3 @@ def test_taste(spark):
     out = {r["text"]: {tuple(s) for s in r["sources"]} for r in taste.refined(traits, spark.createDataFrame([("new",), ("y",)], "text string")).collect()}
     moved = {("image", "1"), ("pin", "2"), ("quiz", "3")}
     assert out == {"new": moved, "y": moved | {("brand", "A")}, "z": set()}
-
-
-def test_saved_stores(spark, tmp_path):
-    for domain, pages in (("a.com", [250, 3]), ("b.com", [2])):
-        (tmp_path / domain).mkdir()
-        for k, n in enumerate(pages, 1):
-            (tmp_path / domain / f"{k}.json").write_text(json.dumps({"products": [{"id": 1000 * k + i, "title": "t"} for i in range(n)]}))
-    (tmp_path / "c.com").mkdir()
-    (tmp_path / "c.com" / "1.json").write_text("no json")
-    found = stores.products(spark, str(tmp_path), ingest.RAW)
-    status = stores.store_status(spark.createDataFrame([("a.com",), ("b.com",), ("c.com",)], "domain string"), found)
-    assert {r["domain"]: (r["rows"], r["status"]) for r in status.collect()} == {"a.com": (120, "ok"), "b.com": (2, "ok"), "c.com": (0, "empty")}

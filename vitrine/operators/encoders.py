@@ -18,6 +18,9 @@ class Encoder(Protocol):
     def texts(self, texts: list[str]) -> np.ndarray:
         """Unit vectors, one row each."""
 
+    def images(self, contents: list[bytes]) -> list[np.ndarray | None]:
+        """A unit vector for each picture's file, None for one that can't be read."""
+
 
 class HashEncoder:
     """Deterministic vectors from hashed words, for tests and dry runs: texts that share words are near."""
@@ -34,6 +37,11 @@ class HashEncoder:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+    def images(self, contents: list[bytes]) -> list[np.ndarray | None]:
+        """Vectors from the bytes: equal files have equal ones. A file of fewer than 16 bytes is none that could be read."""
+        return [None if len(c) < 16 else self.texts([hashlib.sha1(c).hexdigest()])[0] for c in contents]
+
+
 class OnnxEncoder:
     """A text model file over token ids of fixed length. The file must be readable on every worker."""
 

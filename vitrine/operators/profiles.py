@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROFILE_ID = "^[a-f0-9]{32}$"
+PROFILE_ID = r"\A[a-f0-9]{32}\z"
 
 
 def latest(events: DataFrame, by: list[str], order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators import vocabulary
+from vitrine.operators import images, vocabulary
 from vitrine.operators.encoders import HashEncoder
 from vitrine.plans import catalogue as C
-from vitrine.sources import files
+from vitrine.sources import feeds, files, sinks
 from vitrine.sources.keyed import KeyedTable
 from vitrine.streaming import budget
 
@@ -71,6 +71,75 @@ def item_lookup(spark: SparkSession, d: str) -> DataFrame:
     return t.lookup(ASKED)
 
 
+@query("""SELECT page_id, 0 AS n, 'https://i/564x/' || page_id || '.jpg' AS source, CASE WHEN page_id % 3 = 0 THEN url ELSE 'https://i/564x/' || page_id || '.jpg' END AS link, NULL AS error FROM pages WHERE page_id % 5 < 3
+UNION ALL SELECT page_id, 1, 'b' || page_id, url, NULL FROM pages WHERE page_id % 5 = 2
+UNION ALL SELECT page_id, -1, NULL, NULL, CASE page_id % 5 WHEN 3 THEN 'unreadable' ELSE 'no pins' END FROM pages WHERE page_id % 5 >= 3""")
+def feed_pins(spark: SparkSession, d: str) -> DataFrame:
+    """Each page's address as a feed of one or two pins; one in five is cut off, one in five has no picture."""
+    esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    key, k = F.col("page_id").cast("string"), F.col("page_id") % 5
+    link = F.concat(F.lit("<link>"), esc(F.col("url")), F.lit("</link>"))
+    item = lambda image, rest: F.concat(F.lit("<item><description>"), esc(F.concat(F.lit('<p><img alt="" src="'), image, F.lit('"> & more'))), F.lit("</description>"), rest, F.lit("</item>"))
+    one = item(F.concat(F.lit("https://i/236x/"), key, F.lit(".jpg")), F.when(F.col("page_id") % 3 == 0, link).otherwise(""))
+    held = F.when(k == 2, F.concat(one, item(F.concat(F.lit("b"), key), link))).when(k == 4, F.lit("<item><description>words</description></item>")).otherwise(one)
+    whole = F.concat(F.lit('<rss version="2.0"><channel><title>t</title>'), held, F.lit("</channel></rss>"))
+    pages = C._t(spark, d, "pages").select("page_id", F.when(k == 3, F.left(whole, F.length(whole) - 20)).otherwise(whole).alias("text"))
+    return feeds.items(pages).withColumn("n", F.coalesce("n", F.lit(-1)))
+
+
+_DOMAIN = "regexp_replace(split_part(regexp_replace(lower(trim(url)), '^https?://', ''), '/', 1), '^www\\.', '')"
+
+
+@query(f"""WITH p AS (SELECT {_DOMAIN} AS domain, 'shop ' || page_id AS name, page_id >= (SELECT avg(page_id) FROM pages) AS late FROM pages)
+SELECT domain, coalesce(min(name) FILTER (WHERE late), min(name)) AS name FROM p GROUP BY domain""")
+def store_list(spark: SparkSession, d: str) -> DataFrame:
+    """Stores accepted in two rounds; those of the first stay as they are in the second."""
+    pages = C._t(spark, d, "pages")
+    found = pages.crossJoin(F.broadcast(pages.agg(F.avg("page_id").alias("mid")))).select(F.concat(F.lit("shop "), F.col("page_id").cast("string")).alias("name"), F.col("url").alias("domain"), (F.col("page_id") >= F.col("mid")).alias("late"))
+    sink = sinks.CatalogueSink(spark, files.scratch(spark, "catalogue"))
+    sink.accept(found.where("late").drop("late"))
+    sink.accept(found.drop("late"))
+    return sink.read("stores").select("domain", "name")
+
+
+_SOURCE = "CASE event_type WHEN 'view' THEN 'image' WHEN 'click' THEN 'pin' ELSE 'quiz' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, ts, user_id AS pid, CASE event_type WHEN 'error' THEN 'remove' WHEN 'signup' THEN 'keep' ELSE 'add' END AS action,
+  CASE WHEN event_type = 'error' THEN ['image', 'pin', 'quiz'][event_id % 3 + 1] ELSE {_SOURCE} END AS kind, 'r' || event_id % 5 AS ref, 'trait ' || event_id % 4 AS text FROM events),
+g AS (SELECT pid, kind, ref, max((ts, event_id)) AS gone FROM e WHERE action = 'remove' GROUP BY ALL),
+f AS (SELECT pid, text, kind, ref, min((ts, event_id)) AS came FROM e LEFT JOIN g USING (pid, kind, ref) WHERE action = 'add' AND (gone IS NULL OR (ts, event_id) > gone) GROUP BY ALL),
+k AS (SELECT DISTINCT pid, text FROM e WHERE action = 'keep'), t AS (SELECT pid, text FROM f UNION SELECT pid, text FROM k)
+SELECT t.pid, t.text, coalesce((SELECT string_agg(kind || ':' || ref, ',' ORDER BY came) FROM f WHERE f.pid = t.pid AND f.text = t.text), '') AS sources, k.pid IS NOT NULL AS user_added FROM t LEFT JOIN k USING (pid, text)""")
+def trait_source_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Profile events as pictures, pins and quiz picks that come and go."""
+    e, t = C._t(spark, d, "events"), F.col("event_type")
+    source = F.when(t == "view", "image").when(t == "click", "pin").otherwise("quiz")
+    any_kind = F.element_at(F.array(*map(F.lit, ("image", "pin", "quiz"))), (F.col("event_id") % 3 + 1).cast("int"))
+    log = e.select(
+        "event_id", "ts", F.col("user_id").alias("pid"), F.when(t == "error", "remove").when(t == "signup", "keep").otherwise("add").alias("action"), F.when(t == "error", any_kind).otherwise(source).alias("kind"),
+        F.concat(F.lit("r"), (F.col("event_id") % 5).cast("string")).alias("ref"), F.concat(F.lit("trait "), (F.col("event_id") % 4).cast("string")).alias("text"),
+    )
+    joined = F.array_join(F.transform("sources", lambda s: F.concat_ws(":", s["kind"], s["ref"])), ",")
+    return images.trait_sources(log).withColumn("sources", joined)
+
+
+@query("""WITH w AS (SELECT 'phrase ' || vec_id AS phrase, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 60),
+s AS (SELECT vec_id AS image_id, coalesce(label, -1) AS pid, phrase, list_inner_product(embedding::DOUBLE[], q) AS s FROM embeddings, w),
+z AS (SELECT *, (s - avg(s) OVER i) / (stddev_pop(s) OVER i + 1e-6) AS z FROM s WINDOW i AS (PARTITION BY image_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY z DESC, phrase) AS n FROM z),
+b AS (SELECT pid, phrase, count(*) AS n_images, sum(z) AS score, min(image_id) AS low, max(image_id) AS high FROM r WHERE n <= 3 AND z >= 1.5 GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n_images DESC, score DESC, phrase) AS n FROM b)
+SELECT pid, phrase AS text, n_images, round(score, 6) AS score, low, high FROM t WHERE n <= 6""")
+def image_traits(spark: SparkSession, d: str) -> DataFrame:
+    """What the pictures of each profile show, of a vocabulary of sixty phrases; labels stand for profiles."""
+    e = C._t(spark, d, "embeddings")
+    pictures = e.select(F.coalesce("label", F.lit(-1)).alias("pid"), F.col("vec_id").alias("image_id"), F.col("embedding").alias("vec"))
+    words = e.where("vec_id < 60").select(F.concat(F.lit("phrase "), F.col("vec_id").cast("string")).alias("phrase"), F.col("embedding").alias("q"))
+    t = images.read_traits(pictures, words)
+    return t.select("pid", "text", "n_images", F.round("score", 6).alias("score"), F.array_min("sources.ref").alias("low"), F.array_max("sources.ref").alias("high"))
+
+
 def queries() -> dict:
     return dict(_Q)
 
