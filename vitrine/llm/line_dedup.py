@@ -1,9 +1,8 @@
-"""Line dedup by distinct-site spread: lines that stand on many sites are boilerplate.
+"""Line dedup by distinct-site spread: lines that stand on many sites, in as many different texts, are boilerplate.
 
-HyperLogLog sketches of the sites merge per line hash by aggregation; lines whose estimate lies near the threshold get
-an exact distinct count. Copies of a document on many sites spread all of its lines, so the spread is taken twice: lines
-that pass the first time are candidates, and the second time only documents testify of which at least half of the lines
-are no candidates. What spreads through copies alone is left for near-duplicate removal. DataFrame code throughout."""
+HyperLogLog sketches of the sites and of the texts merge per line hash by aggregation; lines whose estimate lies near the
+threshold get exact distinct counts. A text that is copied to many sites is one text, so whole copies don't make their lines
+boilerplate. DataFrame code throughout."""
 
 from __future__ import annotations
 
@@ -35,47 +34,42 @@ def _held(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys (``k1``, ``k2``) of the lines on at least ``min_sites`` distinct sites, from rows of (``k1``, ``k2``, ``site``, ...).
+    """Keys (``k1``, ``k2``) of the lines on at least ``min_sites`` distinct sites and in as many distinct texts, from rows of (``k1``,
+    ``k2``, ``site``, ``text``, ...), ``text`` a hash of the whole text that holds the line.
 
-    Null sites count for nothing. Lines on too few rows, or on one site, are dropped by plain counts before any sketch
-    is made."""
-    often = lines.where("site IS NOT NULL").groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("site").alias("a"), F.max("site").alias("b"))
-    often = often.where((F.col("n") >= min_sites) & ((F.col("a") < F.col("b")) | F.lit(min_sites <= 1))).select(*_KEY)
-    seen = written(_held(lines.where("site IS NOT NULL"), often).select(*_KEY, "site"), "line-sites")
-    spread = seen.groupBy(*_KEY).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
-    spread = written(spread.where(F.col("sites") >= min_sites * (1 - NEAR) - 1), "line-spread")
-    sure = F.col("sites") > min_sites * (1 + NEAR) + 1
-    close = _held(seen, spread.where(~sure)).groupBy(*_KEY, "site").count()
-    exact = close.groupBy(*_KEY).count().where(F.col("count") >= min_sites)
-    return spread.where(sure).select(*_KEY).unionByName(exact.select(*_KEY))
+    Null sites count for nothing, nor do their texts. Lines on too few rows, on one site or in one text are dropped by plain
+    counts before any sketch is made."""
+    ends = [f(c).alias(f"{c}{i}") for c in ("site", "text") for i, f in enumerate((F.min, F.max))]
+    often = lines.where("site IS NOT NULL").groupBy(*_KEY).agg(F.count("*").alias("n"), *ends)
+    often = often.where((F.col("n") >= min_sites) & (((F.col("site0") < F.col("site1")) & (F.col("text0") < F.col("text1"))) | F.lit(min_sites <= 1))).select(*_KEY)
+    seen = written(_held(lines.where("site IS NOT NULL"), often).select(*_KEY, "site", "text"), "line-sites")
+    spread = seen.groupBy(*_KEY).agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(c, LG_K)).alias(c) for c in ("site", "text")])
+    few = F.least("site", "text")
+    spread = written(spread.where(few >= min_sites * (1 - NEAR) - 1), "line-spread")
+    sure = few > min_sites * (1 + NEAR) + 1
+    close = _held(seen, spread.where(~sure))
+    exact = [close.groupBy(*_KEY, c).count().groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select(*_KEY) for c in ("site", "text")]
+    return spread.where(sure).select(*_KEY).unionByName(exact[0].join(exact[1], _KEY, "left_semi"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """Remove boilerplate lines from ``docs`` (``doc_id``, ``text``, ``site``); other columns pass through, whatever their names.
 
-    Lines are split at ``\\n``; blank ones are never boilerplate and count for nothing. A line that stands on ``min_sites``
-    sites is a candidate; it is boilerplate if it stands on as many in documents of which at most half of the lines are
-    candidates, and then goes from every document. ``text`` becomes the remaining lines; ``n_lines`` and ``n_removed``
-    are added, in the place of columns of these names. Null texts stay null with 0 and 0. Rows with equal id and text are
-    one for the removal and stay as many; null ids are ordinary. An empty table gives no rows."""
+    Lines are split at ``\\n``; blank ones are never boilerplate. A line that stands on ``min_sites`` sites, in as many different
+    texts, goes from every document, whatever share of it that is: a page of nothing else becomes empty, and of near copies
+    on as many sites their common lines go too, while exact copies keep theirs. ``text`` becomes the remaining lines;
+    ``n_lines`` and ``n_removed`` are added, in the place of columns of these names. Null texts stay null with 0 and 0. Rows with
+    equal id and text are one for the removal and stay as many; null ids are ordinary. An empty table gives no rows."""
     text = F.col("_row.text")
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
     key = {"_h": F.xxhash64(text), "_c": F.crc32(text.cast("binary"))}
-    lines = rows.where(text.isNotNull()).select(F.col("_row.doc_id").alias("_d"), *[c.alias(n) for n, c in key.items()], F.col(f"_row.{site}").cast("string").alias("site"), F.split(text, "\n").alias("all"))
-    bare = lambda line: F.btrim(line, F.lit(" \t\r"))
-    lines = lines.withColumn("n", F.size(F.filter("all", lambda x: bare(x) != "")))
-    lines = lines.select("_d", "_h", "_c", "site", "n", F.posexplode("all").alias("pos", "line")).where(bare(F.col("line")) != "")
-    lines = written(lines.select("_d", "_h", "_c", "site", "n", "pos", *line_keys(F.col("line"))), "lines")
-    candidates = written(boilerplate(lines, min_sites), "candidates")
-    hit = written(_held(lines, candidates), "candidate-lines")
-    forget(lines)
-    doc = ["_d", "_h", "_c"]
+    lines = rows.where(text.isNotNull()).select(F.col("_row.doc_id").alias("_d"), *[c.alias(n) for n, c in key.items()], F.col(f"_row.{site}").cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = lines.where(F.btrim("line", F.lit(" \t\r")) != "").withColumn("text", F.col("_h"))
+    lines = written(lines.select("_d", "_h", "_c", "site", "text", "pos", *line_keys(F.col("line"))), "lines")
+    common = written(boilerplate(lines, min_sites), "boilerplate")
     # rows of one id and text repeat their lines
-    own = hit.groupBy(*doc).agg(F.countDistinct("pos").alias("hits"), F.max("n").alias("n")).where("2 * hits <= n")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in doc]
-    testify = hit.alias("a").join(own.alias("b"), same, "left_semi")
-    common = written(boilerplate(testify, min_sites), "boilerplate")
-    gone = written(_held(hit, common).groupBy(*doc).agg(F.collect_set("pos").alias("_gone")), "gone")
+    gone = written(_held(lines, common).groupBy("_d", "_h", "_c").agg(F.collect_set("pos").alias("_gone")), "gone")
+    forget(lines)
     same = [F.col("a._row.doc_id").eqNullSafe(F.col("b._d")), *[F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_h", "_c")]]
     d = rows.withColumns(key).alias("a").join(gone.alias("b"), same, "left").select("_row", "_gone")
     d = d.withColumn("_all", F.split(text, "\n"))

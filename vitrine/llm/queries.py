@@ -29,11 +29,9 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP3_SQL = """
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-k AS (SELECT doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
-c AS (SELECT bare FROM k WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT source) >= 8),
-own AS (SELECT doc_id FROM k LEFT JOIN c USING (bare) WHERE bare <> '' GROUP BY doc_id HAVING 2 * count(c.bare) <= count(*)),
-b AS (SELECT bare FROM k SEMI JOIN own USING (doc_id) SEMI JOIN c USING (bare) GROUP BY bare HAVING count(DISTINCT source) >= 8),
+WITH l AS (SELECT doc_id, source, md5(text) AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, source, whole, line, pos, trim(line, ' ' || chr(9) || chr(13)) AS bare FROM l),
+b AS (SELECT bare FROM k WHERE bare <> '' AND source IS NOT NULL GROUP BY bare HAVING count(DISTINCT source) >= 8 AND count(DISTINCT whole) >= 8),
 d AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE b.bare IS NOT NULL) AS hit,
              string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.bare IS NULL) AS cut
       FROM k LEFT JOIN b USING (bare) GROUP BY doc_id)
