@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import line_dedup, mixing, quality_rules, queries
+from vitrine.llm import line_dedup, mixing, quality_rules, queries, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -231,3 +231,15 @@ def test_pipeline(spark, sf):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert set(pieces.doc_id) == set(mixed)
     assert pieces.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_columns_of_any_name_stay(spark):
+    """Statistics, judgement and removal leave columns alone that are named as theirs are inside."""
+    names = ["_t", "_w", "_l", "_h", "_s", "_d", "_gone", "__t", "_row"]
+    df = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "mine"), (2, None, "mine")], "doc_id long, text string, mine string")
+    df = df.select("doc_id", "text", *[F.col("mine").alias(n) for n in names], F.lit(9).alias("n_words"), F.lit("x").alias("rule"))
+    out = quality_rules.judge(df, []).collect()
+    assert {r["doc_id"]: (r["n_words"], r["kept"], r["rule"], *(r[n] for n in names)) for r in out} == {1: (11, True, None, *["mine"] * 9), 2: (0, False, None, *["mine"] * 9)}
+    found = spark.createDataFrame([(1, 2, 3, False), (1, 0, 2, True)], "doc_id long, start int, words int, kept boolean")
+    got = {r["doc_id"]: (r["text"], *(r[n] for n in names), r["n_words"]) for r in substring_dedup.remove(df, found).collect()}
+    assert got == {1: ("one two six seven eight nine ten eleven", *["mine"] * 9, 9), 2: (None, *["mine"] * 9, 9)}

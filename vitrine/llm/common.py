@@ -54,6 +54,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(df: DataFrame) -> str:
+    """Underscores with which no column of ``df`` begins: names made with them clash with none."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table made by ``written`` that nothing needs any more."""
     _delete(df.sparkSession, df._vitrine_path)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import written
+from vitrine.llm.common import fresh, written
 
 #: Labelled rows that the list is fitted on, at most (the lowest hashes of their ids).
 SAMPLE_ROWS = 20_000
@@ -32,37 +32,40 @@ _SPACE = r"[\\x20\\x09-\\x0D]+"
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the text statistics to ``docs``: ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``,
-    ``n_repeat_words`` (all long) and ``_more``, a struct of further ones. Null texts count as empty.
+    ``n_repeat_words`` (all long) and ``_more``, a struct of further ones; columns of these names are replaced, all others
+    stay. Null texts count as empty.
 
     Equal words and windows are told by 64-bit hashes within one text; everything else is exact."""
-    d = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    d = d.withColumn("_w", F.expr(f"array_remove(split(_t, '{_SPACE}'), '')"))
-    d = d.withColumn("_l", F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    d = d.withColumn("_h", F.expr("CASE WHEN size(_w) >= 5 THEN transform(sequence(0, size(_w) - 5), i -> xxhash64(get(_w, i), get(_w, i + 1), get(_w, i + 2), get(_w, i + 3), get(_w, i + 4))) ELSE array() END"))
+    u = fresh(docs)
+    t, w, l, h, s = (f"{u}{x}" for x in "twlhs")
+    d = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
+    d = d.withColumn(w, F.expr(f"array_remove(split({t}, '{_SPACE}'), '')"))
+    d = d.withColumn(l, F.expr(rf"filter(split({t}, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
+    d = d.withColumn(h, F.expr(f"CASE WHEN size({w}) >= 5 THEN transform(sequence(0, size({w}) - 5), i -> xxhash64(get({w}, i), get({w}, i + 1), get({w}, i + 2), get({w}, i + 3), get({w}, i + 4))) ELSE array() END"))
     # windows sorted with their places; those with an equal neighbour repeat; each covers five words, overlaps once
-    covered = """
-        aggregate(transform(array(sort_array(transform(_h, (h, i) -> struct(h, i)))), s ->
+    covered = f"""
+        aggregate(transform(array(sort_array(transform({h}, (h, i) -> struct(h, i)))), s ->
           aggregate(transform(array(sort_array(transform(filter(s, (x, k) -> x.h <=> get(s, k - 1).h OR x.h <=> get(s, k + 1).h), x -> x.i))), p ->
             aggregate(transform(p, (x, k) -> least(5, coalesce(get(p, k + 1) - x, 5))), 0L, (a, x) -> a + x)), 0L, (a, x) -> a + x)), 0L, (a, x) -> a + x)"""
     n = lambda c, name: F.expr(c).cast("long").alias(name)
     made = F.struct(
-        n("size(_w)", "n_words"),
-        n(f"length(regexp_replace(_t, '{_SPACE}', ''))", "word_chars"),
-        n("length(regexp_replace(_t, '[^#*$%&|<>]+', ''))", "n_symbols"),
-        n("size(_l) - size(array_distinct(_l))", "n_dup_lines"),
-        n(f"CASE WHEN size(array_distinct(_h)) = size(_h) THEN 0L ELSE {covered} END", "n_repeat_words"),
+        n(f"size({w})", "n_words"),
+        n(f"length(regexp_replace({t}, '{_SPACE}', ''))", "word_chars"),
+        n(f"length(regexp_replace({t}, '[^#*$%&|<>]+', ''))", "n_symbols"),
+        n(f"size({l}) - size(array_distinct({l}))", "n_dup_lines"),
+        n(f"CASE WHEN size(array_distinct({h})) = size({h}) THEN 0L ELSE {covered} END", "n_repeat_words"),
         F.struct(
-            n("size(_l)", "n_lines"),
-            n("length(regexp_replace(_t, '[^A-Z]+', ''))", "n_upper"),
-            n("length(regexp_replace(_t, '[^!?]+', ''))", "n_marks"),
-            n("length(regexp_replace(_t, '[^0-9]+', ''))", "n_digits"),
+            n(f"size({l})", "n_lines"),
+            n(f"length(regexp_replace({t}, '[^A-Z]+', ''))", "n_upper"),
+            n(f"length(regexp_replace({t}, '[^!?]+', ''))", "n_marks"),
+            n(f"length(regexp_replace({t}, '[^0-9]+', ''))", "n_digits"),
         ).alias("_more"),
     )
     # A generator of one row. A later filter on a statistic would else be pushed below the columns that it is made of,
     # and these written out again at each place where they are used.
-    d = d.withColumn("_s", F.explode(F.array(made)))
+    d = d.withColumn(s, F.explode(F.array(made)))
     keep = [c for c in docs.columns if c not in (*STATISTICS, "_more")]
-    return d.select(*keep, "_s.*")
+    return d.select(*keep, f"{s}.*")
 
 
 def base_failed() -> Column:
@@ -195,6 +198,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: Column | None = None, sampl
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add the statistics, ``base_failed``, ``rule`` (number of the rule that rejects, else null) and ``kept`` to
-    ``docs``. Null and empty texts fail the base; repeated rows are judged each; an empty table gives no rows."""
+    ``docs``; columns of these names are replaced, and one named ``_more`` goes. Null and empty texts fail the base; repeated rows are judged each; an empty table gives no rows."""
     d = statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return d.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("_more")
