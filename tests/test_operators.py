@@ -110,7 +110,10 @@ def test_search_filters(spark):
     with pytest.raises(ValueError):
         search.category_ok("hats")
     said = search.explained(search.scored(it, search.Query("red dress"), q), ["red", "dress"]).first()
-    assert said["why"].startswith("title: ") or said["why"] in ("tagged", "looks like it")
+    assert len(said["why"]) == 1 and (said["why"][0].startswith("title matches ") or said["why"][0] in ("tagged as a match", "looks like what you asked for"))
+    odd = spark.createDataFrame([(1, "Dress in RED", 2.0, 9.999), (2, "blue", 1.0, 0.0), (3, None, 0.0, None)], "id long, title string, text_score double, usd double")
+    got = {r["id"]: (r["why"], r["price_usd"]) for r in search.explained(odd, ["red", "dress", "red"]).collect()}
+    assert got == {1: (["title matches red, dress"], 10.0), 2: (["tagged as a match"], None), 3: (["looks like what you asked for"], None)}
     assert search.marked(it, it.where("id < 3")).where("saved").count() == 3
     assert search.with_details(it.limit(4), it).count() == 4
 
@@ -228,3 +231,46 @@ def test_feed_in_slices_equals_the_greedy_feed(spark):
         got = {(r["pid"], r["id"], r["position"]) for r in recommend.rank_feed(frame, 12, 2, 0.9, size).collect()}
         assert got == want
     assert recommend.rank_feed(frame.limit(0)).count() == 0
+
+
+def test_quiz_is_k_means_on_the_sample(spark):
+    """Against numpy on the same rows, and for fewer pieces than clusters."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    rows = [(i, f"b{int(rng.integers(0, 9))}" if i % 13 else None, f"long title {i}", 5.0, True, rng.standard_normal(6).tolist()) for i in range(200)]
+    rows += [(900, "b1", "short", 5.0, True, [1.0] * 6), (901, "b1", "SKU_12345", 5.0, True, [1.0] * 6), (902, "b1", "long title", 0.0, True, [1.0] * 6), (903, "b1", "long title", 5.0, False, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "id long, brand string, title string, price double, available boolean, vec array<double>").withColumn("vec", V.unit(F.col("vec")))
+    x = {r["id"]: np.array(r["vec"]) for r in df.collect() if r["id"] < 900}
+    brand = {i: b or "" for i, b, *_ in rows}
+    draw = lambda i, k: hashlib.md5(f"{i}:{k}".encode()).hexdigest()
+    ids = sorted(x)
+    m = np.stack([x[i] for i in ids])
+    centers = np.stack([x[i] for i in sorted(ids, key=lambda i: (draw(i, 3), i))[:7]])
+    for _ in range(15):
+        own = (m @ centers.T).argmax(1)
+        sums = np.stack([m[own == k].mean(0) if (own == k).any() else centers[k] for k in range(7)])
+        centers = sums / np.linalg.norm(sums, axis=1, keepdims=True)
+    want, taken = [], set()
+    for k in range(7):
+        best = sorted((i for i, o in zip(ids, own) if o == k), key=lambda i: (-(x[i] @ centers[k]), i))
+        first = next((i for i in best if brand[i] not in taken), None)
+        if first is not None:
+            taken.add(brand[first])
+            want.append((k, first))
+    got = [(r["k"], r["id"]) for r in recommend.quiz(df, n=7, seed=2).collect()]
+    assert sorted(got) == want and len(want) >= 6
+    few = recommend.quiz(df.where("id < 3"), n=7).collect()
+    assert 1 <= len(few) <= 3 and recommend.quiz(df.limit(0)).count() == 0
+
+
+def test_feed_slices_are_cut_before_the_shuffle(spark):
+    from pyspark.sql import Window
+
+    d = spark.range(5000).select((F.col("id") % 2).alias("pid"), "id", F.rand(1).alias("s"))
+    n = F.row_number().over(Window.partitionBy("pid").orderBy("s"))
+    import inspect
+
+    slice_rows = inspect.signature(recommend.rank_feed).parameters["slice_rows"].default
+    plan = d.withColumn("n", n).where(F.col("n") <= slice_rows)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import profiles, records
+from vitrine.operators import curate, profiles, records
 
 PRODUCT = """id long, brand string, domain string, title string, url string, image string, price double, currency string, product_type string, available boolean,
 sizes_in_stock array<string>, sizes_offered array<string>, tags array<string>, images array<string>, description string, vendor string, published_at string"""
@@ -50,3 +50,32 @@ def test_defaults_of_a_null_map(spark):
     m = profiles.with_defaults(F.col("m"), F.create_map(F.lit("a"), F.lit("0"), F.lit("b"), F.lit("2")))
     got = {r["id"]: (r["m"], r["s"]) for r in d.select("id", m.alias("m"), profiles.settings(m, ("a",)).alias("s")).collect()}
     assert got == {1: ({"a": "0", "b": "2"}, {"a": "0"}), 2: ({"a": "1", "b": "2", "z": "9"}, {"a": "1"})}
+
+
+def test_settings_that_say_something(spark):
+    d = spark.createDataFrame([({"tops": "M", "bottoms": "", "currency": "gbp", "other": "x"},), ({"tops": None, "currency": ""},), (None,)], "m map<string,string>")
+    got = [r["s"] for r in d.select(profiles.settings(F.col("m"), ("tops", "bottoms", "dresses", "currency")).alias("s")).collect()]
+    assert got == [{"tops": "M", "currency": "GBP"}, {}, None]
+
+
+def test_a_store_without_a_domain_keeps_its_tags(spark):
+    items = spark.createDataFrame([("A",), ("A",), ("B",)], "brand string")
+    stores = spark.createDataFrame([("A", None, ["t"]), ("C", "c.com", [])], "name string, domain string, tags array<string>")
+    assert {r["name"]: (r["domain"], r["tags"], r["count"]) for r in records.brand_list(items, stores).collect()} == {"A": (None, ["t"], 2), "B": (None, [], 1)}
+
+
+def test_overview_and_summary_of_gaps(spark):
+    schema = "id long, brand string, title string, price double, currency string, available boolean, vendor string, domain string, image string"
+    rows = [(3, "A", "x" * 70, 10.0, "USD", True, "a", "late.com", "i3"), (1, "A", None, 2.0, "EUR", True, " V ", "first.com", "i1"), (2, "A", "gone", 20.0, "USD", False, None, "b.com", "i2"), (9, None, "n", None, "USD", False, "", None, None)]
+    o = curate.overview(spark.createDataFrame(rows, schema))
+    got = {r["brand"]: r for r in o.collect()}
+    a, none = got["A"], got[""]
+    assert (a["domain"], a["currency"], a["items"], a["median_usd"], a["vendors"], a["other_vendors"], a["preview"], a["sample_titles"]) == ("first.com", "EUR", 3, 15.0, 2, ["V"], ["i1", "i3"], ["", "x" * 60])
+    assert (none["domain"], none["items"], none["median_usd"], none["vendors"], none["other_vendors"], none["preview"]) == (None, 1, None, 0, [], [])
+    tiers = spark.createDataFrame([("a", "C", "r", None, None, True)], "key string, tier string, reason string, based_in string, evidence string, verified boolean")
+    review = spark.createDataFrame([("", "keep")], "key string, decision string")
+    traits = spark.createDataFrame([("a", ["linen"])], "key string, traits array<string>")
+    view = curate.graded(o, tiers, review, traits)
+    assert {r["key"]: (r["tier"], r["reason"], r["based_in"], r["verified"], r["decision"], r["traits"]) for r in view.collect()} == {"a": ("C", "r", "", True, None, ["linen"]), "": (None, "", "", False, "keep", [])}
+    assert curate.summary(view).first().asDict() == {"brands": 2, "tiers": {"C": 1, "?": 1}, "decided": 1, "live": 1, "verified": 1}
+    assert curate.summary(view.limit(0)).first().asDict() == {"brands": 0, "tiers": {}, "decided": 0, "live": 0, "verified": 0}

@@ -16,14 +16,15 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def with_zscore(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), guard: bool = False) -> DataFrame:
+def with_zscore(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), guard: bool = False, few: bool = False) -> DataFrame:
     """Add ``(value - mean) / deviation`` over all rows, or each group of ``by``.
 
     With ``guard`` a deviation up to 1e-6 counts as 1, else 1e-6 is added to it. The statistics are one row, or
-    one per group: they aggregate on the map side and are joined back."""
+    one per group: they aggregate on the map side and are joined back. With ``few``, groups are those of a hand-held list (traits,
+    anchors, names): their statistics are broadcast, and no row of ``df`` is shuffled for them."""
     stats = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
     sd = F.when(F.col("_sd") > 1e-6, F.col("_sd")).otherwise(1.0) if guard else F.col("_sd") + 1e-6
-    both = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
+    both = df.join(F.broadcast(stats) if few else stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
     return both.withColumn(out, (F.col(value) - F.col("_m")) / sd).drop("_m", "_sd")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions import constants as K
-from vitrine.functions import vector as V
+from vitrine.operators import recommend
 from vitrine.operators.encoders import Encoder
 
 #: Bytes of a picture's file, at most; a longer one is refused.
@@ -63,18 +63,10 @@ def read_traits(images: DataFrame, vocabulary: DataFrame, kind: str = "image") -
     """Traits that pictures show (``pid, image_id, vec``): ``pid, text, n_images, score, sources``.
 
     Of each profile's phrases nearest to any of its pictures, those on most pictures and then by score, VOCAB_MAX at most; a
-    phrase's sources are the pictures that show it. Similarities to the ``vocabulary`` (``phrase, q``), a list of hand-kept size,
-    are an array beside each picture: nothing is multiplied out or shuffled before only the best few phrases are left."""
-    listed = vocabulary.agg(F.collect_list(F.struct("phrase", "q")).alias("_p"))
-    d = images.where("vec IS NOT NULL").crossJoin(F.broadcast(listed)).select("pid", "image_id", F.transform("_p", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("s"), p["phrase"].alias("phrase"))).alias("_s"))
-    n = F.size("_s")
-    total = lambda f: F.aggregate("_s", F.lit(0.0), lambda a, x: a + f(x["s"]))
-    d = d.withColumn("_m", total(lambda s: s) / n).withColumn("_sd", F.sqrt(total(lambda s: (s - F.col("_m")) * (s - F.col("_m"))) / n) + 1e-6)
-    z = F.transform("_s", lambda x: F.struct((-(x["s"] - F.col("_m")) / F.col("_sd")).alias("z"), x["phrase"].alias("phrase")))
-    best = F.filter(F.slice(F.array_sort(z), 1, K.VOCAB_PER_IMAGE), lambda x: -x["z"] >= K.VOCAB_MIN_Z)
-    hits = d.select("pid", "image_id", F.explode(best).alias("b")).select("pid", "image_id", "b.phrase", (-F.col("b.z")).alias("z"))
+    phrase's sources are the pictures that show it. The ``vocabulary`` (``phrase, q``) is a list of hand-kept size."""
+    hits = recommend.nearest_phrases(images, vocabulary, "pid", "image_id")
     by = hits.groupBy("pid", "phrase").agg(F.count("*").alias("n_images"), F.sum("z").alias("score"), F.array_sort(F.collect_set("image_id")).alias("_i"))
-    # at most VOCAB_MAX of a profile: an aggregate that keeps the best few would do as well, its phrases are at most the vocabulary's
+    # a profile's phrases are at most the vocabulary's
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n_images")).alias("a"), (-F.col("score")).alias("b"), F.col("phrase").alias("text"), "n_images", "score", "_i"))), 1, K.VOCAB_MAX)
     out = by.groupBy("pid").agg(top.alias("_t")).select("pid", F.explode("_t").alias("t"))
     sources = F.transform("t._i", lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("ref")))

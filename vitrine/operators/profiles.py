@@ -76,11 +76,20 @@ def saved_cards(saved_keys: DataFrame, items: DataFrame) -> DataFrame:
     return d.withColumn("position", F.row_number().over(order) - 1).withColumn("saved", F.lit(True)).drop("key", "ts")
 
 
-def recent_brands(found: DataFrame, items: DataFrame) -> DataFrame:
-    """Discovered brands (``pid, brand, last``), the latest first, with the number of their items in stock."""
-    stock = items.groupBy("brand").agg(F.count_if("available").alias("in_stock"))
-    order = Window.partitionBy("pid").orderBy(F.desc("last"), "brand")
-    return found.join(stock, "brand", "left").withColumn("in_stock", F.coalesce("in_stock", F.lit(0))).withColumn("position", F.row_number().over(order) - 1)
+def recent_brands(found: DataFrame, items: DataFrame, stores: DataFrame, traits: DataFrame, previews: int = 4) -> DataFrame:
+    """Discovered brands (``pid, brand, last``), the latest first: ``domain`` and ``tags`` of the store (``name, domain, tags``), ``in_stock`` and the first
+    ``preview`` pictures of its items in stock, and the cached ``traits`` (``key, traits``); what is missing is empty, or null for the
+    domain. A brand's items are cut to its first few before the shuffle."""
+    stock = items.where("available")
+    counts = stock.groupBy("brand").agg(F.count("*").alias("in_stock"))
+    first = stock.withColumn("_n", F.row_number().over(Window.partitionBy("brand").orderBy("id"))).where(F.col("_n") <= previews)
+    shown = first.groupBy("brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "image"))), lambda x: x["image"]).alias("preview"))
+    known = stores.groupBy(F.col("name").alias("brand")).agg(F.max_by(F.struct("domain", "tags"), F.coalesce("domain", F.lit(""))).alias("_m"))
+    d = found.join(counts, "brand", "left").join(shown, "brand", "left").join(known, "brand", "left").withColumn("_k", F.lower("brand"))
+    d = d.join(traits.select(F.col("key").alias("_k"), "traits"), "_k", "left")
+    none = F.array().cast("array<string>")
+    d = d.withColumns({"domain": F.col("_m.domain"), "tags": F.coalesce("_m.tags", none), "in_stock": F.coalesce("in_stock", F.lit(0)), "preview": F.coalesce("preview", none), "traits": F.coalesce("traits", none)}).drop("_m", "_k")
+    return d.withColumn("position", F.row_number().over(Window.partitionBy("pid").orderBy(F.desc("last"), "brand")) - 1)
 
 
 def new_pins(pins: DataFrame, have: DataFrame) -> DataFrame:
@@ -114,5 +123,6 @@ def with_defaults(given: Column, defaults: Column) -> Column:
 
 
 def settings(given: Column, allowed: tuple[str, ...]) -> Column:
-    """Only the entries that a user may set."""
-    return F.map_filter(given, lambda k, v: k.isin(*allowed))
+    """Only the entries that a user may set and that say something; a currency in capitals."""
+    said = F.map_filter(given, lambda k, v: k.isin(*allowed) & (F.coalesce(v, F.lit("")) != ""))
+    return F.transform_values(said, lambda k, v: F.when(k == "currency", F.upper(v)).otherwise(v))

@@ -41,7 +41,7 @@ def wrong_category(trait: Column) -> Column:
 
 def trait_scores(items: DataFrame, traits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Masked z-scores (``id, trait_id, z`` and item columns) and bars (``trait_id, bar``) of traits ``trait_id, text, q``."""
-    d = V.with_zscore(similarities(items, traits, "trait_id"), "sim", "z", ("trait_id",), guard=True)
+    d = V.with_zscore(similarities(items, traits, "trait_id"), "sim", "z", ("trait_id",), guard=True, few=True)
     if "margin" in items.columns:
         texts = F.broadcast(traits.select("trait_id", F.col("text").alias("_text")))
         p25 = F.broadcast(items.agg(F.percentile("margin", F.lit(0.25)).alias("p25")))
@@ -105,30 +105,45 @@ def brand_items(items: DataFrame, brand: str, trait: DataFrame | None = None, li
     return d.orderBy(F.desc("sim"), "id").limit(limit)
 
 
+def nearest_phrases(images: DataFrame, vocabulary: DataFrame, *keep: str) -> DataFrame:
+    """The few phrases nearest to each image (``keep``, ``vec``): ``keep, phrase, z``, VOCAB_PER_IMAGE at most and from VOCAB_MIN_Z on.
+
+    Similarities to the ``vocabulary`` (``phrase, q``), a hand-kept list, are an array beside each image, and so are their mean and
+    deviation: images are not multiplied out, and nothing is shuffled. Ties by phrase; null vectors have none."""
+    listed = vocabulary.agg(F.collect_list(F.struct("phrase", "q")).alias("_p"))
+    sims = F.transform("_p", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("s"), p["phrase"].alias("phrase")))
+    d = images.where("vec IS NOT NULL").crossJoin(F.broadcast(listed)).select(*keep, sims.alias("_s"))
+    total = lambda f: F.aggregate("_s", F.lit(0.0), lambda a, x: a + f(x["s"]))
+    d = d.withColumn("_m", F.try_divide(total(lambda s: s), F.size("_s")))
+    d = d.withColumn("_sd", F.sqrt(F.try_divide(total(lambda s: (s - F.col("_m")) * (s - F.col("_m"))), F.size("_s"))) + 1e-6)
+    z = F.transform("_s", lambda x: F.struct((-(x["s"] - F.col("_m")) / F.col("_sd")).alias("z"), x["phrase"].alias("phrase")))
+    best = F.filter(F.slice(F.array_sort(z), 1, K.VOCAB_PER_IMAGE), lambda x: -x["z"] >= K.VOCAB_MIN_Z)
+    return d.select(*keep, F.explode(best).alias("_b")).select(*keep, "_b.phrase", (-F.col("_b.z")).alias("z"))
+
+
 def read_vocabulary(images: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Phrases nearest to a batch of images (``id, vec``): ``phrase, n_images, score, images``."""
-    d = V.with_zscore(similarities(images.select("id", "vec"), vocabulary, "phrase"), "sim", "z", ("id",))
-    n = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("z"), "phrase"))
-    hit = d.withColumn("_n", n).where((F.col("_n") <= K.VOCAB_PER_IMAGE) & (F.col("z") >= K.VOCAB_MIN_Z))
+    hit = nearest_phrases(images, vocabulary, "id")
     out = hit.groupBy("phrase").agg(F.count("*").alias("n_images"), F.sum("z").alias("score"), F.array_sort(F.collect_list("id")).alias("images"))
     return out.orderBy(F.desc("n_images"), F.desc("score"), "phrase").limit(K.VOCAB_MAX)
 
 
 def taste_scores(items: DataFrame, anchors: DataFrame) -> DataFrame:
     """``score`` and best ``anchor`` per item from anchors ``anchor, q, positive``."""
-    d = V.with_zscore(similarities(items, anchors, "anchor"), "sim", "z", ("anchor",), guard=True).join(F.broadcast(anchors.select("anchor", "positive")), "anchor")
+    d = V.with_zscore(similarities(items, anchors, "anchor"), "sim", "z", ("anchor",), guard=True, few=True).join(F.broadcast(anchors.select("anchor", "positive")), "anchor")
     pos = F.when(F.col("positive"), F.col("z"))
     s = d.groupBy("id", "brand").agg(F.max(pos).alias("mx"), F.avg(pos).alias("mean"), F.max(F.when(~F.col("positive"), F.col("z"))).alias("neg"), F.max_by("anchor", F.struct(pos, F.col("anchor"))).alias("because"))
     penalty = K.TASTE_PENALTY * F.greatest(F.coalesce("neg", F.lit(0.0)) - K.TASTE_NEG_Z, F.lit(0.0))
     return s.select("id", "brand", (K.TASTE_MAX * F.col("mx") + K.TASTE_MEAN * F.col("mean") - penalty).alias("score"), "because")
 
 
-def rank_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, per_brand: int = K.FEED_PER_BRAND, dedupe: float = K.FEED_DEDUPE, slice_rows: int = 1024) -> DataFrame:
+def rank_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, per_brand: int = K.FEED_PER_BRAND, dedupe: float = K.FEED_DEDUPE, slice_rows: int = 1000) -> DataFrame:
     """Greedy feed per profile from ``pid, id, brand, score, vec``: a cap per brand, no piece too like a chosen one.
 
     Every pick depends on the ones before, so a profile's candidates go through in slices of ``slice_rows`` in the order of
     score (null and NaN last) and id: a group holds a slice and the picks so far, never all items. Profiles that lack
-    picks after a slice that was full go on with the next one; the result doesn't depend on the slice's size. Rows without
+    picks after a slice that was full go on with the next one; the result doesn't depend on the slice's size. Spark cuts slices of
+    up to 1000 rows before the shuffle. Rows without
     a profile or a vector go; an empty table gives no rows."""
     spark, kinds = scored.sparkSession, dict(scored.dtypes)
     least = F.lit(float("-inf"))
@@ -172,37 +187,56 @@ def rank_feed(scored: DataFrame, limit: int = K.FEED_LIMIT, per_brand: int = K.F
 
 
 def lloyd_step(points: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One step of spherical k-means: assignments ``id, k`` and new centers ``k, q``."""
-    s = similarities(points.select("id", "vec"), centers, "k").groupBy("id").agg(F.max(F.struct(F.col("sim"), (-F.col("k")).alias("m"))).alias("b"))
-    assigned = s.select("id", (-F.col("b.m")).alias("k"))
-    return assigned, V.mean_vector(points.join(assigned, "id"), "vec", ["k"]).withColumnRenamed("vec", "q")
+    """One step of spherical k-means: the points with their center ``k``, the nearest (ties: the least ``k``), and new centers ``k, q``.
+
+    The few centers are an array beside each point, so nothing is shuffled but partial means. A center without points stays."""
+    listed = centers.agg(F.collect_list(F.struct("k", "q")).alias("_c"))
+    near = F.array_max(F.transform("_c", lambda c: F.struct(V.dot(F.col("vec"), c["q"]).alias("s"), (-c["k"]).alias("m"))))
+    assigned = points.crossJoin(F.broadcast(listed)).withColumn("k", -near["m"]).drop("_c")
+    means = V.mean_vector(assigned, "vec", ["k"]).withColumnRenamed("vec", "_q")
+    double = F.transform("q", lambda x: x.cast("double"))
+    return assigned, centers.join(means, "k", "left").select("k", F.coalesce("_q", double).alias("q"))
 
 
 def quiz(items: DataFrame, n: int = 20, seed: int = 0, iterations: int = K.QUIZ_ITERATIONS) -> DataFrame:
-    """The most typical piece of each cluster of a fixed-size sample, each of another brand."""
+    """The most typical piece of each cluster of a sample of QUIZ_POOL pieces, each of another brand: ``k, id, brand, title``.
+
+    Sample and first centers are drawn by a seeded hash. Each round writes its centers, and rounds end when no center
+    moves. Then clusters choose in turn: of each, the best pieces of its best ``n`` brands are candidates, as fewer than
+    ``n`` brands are taken before. Null brands count as one."""
+    spark = items.sparkSession
+    draw = lambda k: F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed + k}")))
     ok = items.where(F.col("available") & (F.coalesce("price", F.lit(0.0)) > 0) & (F.length("title") > 8) & ~F.col("title").rlike(K.PLACEHOLDER))
-    pool = ok.select("id", "brand", "title", "vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(K.QUIZ_POOL)
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        x = np.stack(pdf["vec"].to_list()).astype(np.float64)
-        rng = np.random.default_rng(seed)
-        centers = x[rng.choice(len(x), min(n, len(x)), replace=False)]
-        for _ in range(iterations):
-            own = (x @ centers.T).argmax(1)
-            sums = np.stack([x[own == k].sum(0) if (own == k).any() else c for k, c in enumerate(centers)])
-            centers = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-        taken, brands = [], set()
-        for k, c in enumerate(centers):
-            rows = np.flatnonzero(own == k)
-            new = [r for r in rows[np.argsort(-(x[rows] @ c), kind="stable")] if pdf["brand"][r] not in brands]
-            if new:
-                brands.add(pdf["brand"][new[0]])
-                taken.append(new[0])
-        return pdf.loc[taken, ["id", "brand", "title"]]
-
-    kinds = dict(pool.dtypes)
-    return pool.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(spread, f"id {kinds['id']}, brand string, title string")
+    path = files.scratch(spark, "quiz")
+    pool = ok.select("id", F.coalesce("brand", F.lit("")).alias("brand"), "title", "vec").orderBy(draw(0), "id").limit(K.QUIZ_POOL)
+    pool.write.parquet(f"{path}/pool")
+    pool = spark.read.schema(pool.schema).parquet(f"{path}/pool")
+    first = pool.orderBy(draw(1), "id").limit(n).withColumn("k", F.row_number().over(Window.orderBy(draw(1), "id")) - 1)  # n rows
+    centers = first.select("k", F.transform("vec", lambda x: x.cast("double")).alias("q"))
+    centers.write.parquet(f"{path}/0")
+    centers, before = spark.read.schema(centers.schema).parquet(f"{path}/0"), None
+    for step in range(1, iterations + 1):
+        _, new = lloyd_step(pool, centers)
+        new.write.parquet(f"{path}/{step}")
+        new, before = spark.read.schema(centers.schema).parquet(f"{path}/{step}"), centers
+        moved = new.join(centers.withColumnRenamed("q", "_q"), "k").where(F.exists(F.zip_with("q", "_q", lambda x, y: F.abs(x - y)), lambda x: x > 1e-12))
+        centers = new
+        if moved.isEmpty():
+            break
+    members = lloyd_step(pool, centers if before is None else before)[0].select("k", "id", "brand", "title", "vec").join(F.broadcast(centers), "k")
+    members = members.withColumn("sim", V.dot(F.col("vec"), F.col("q")))
+    best = members.groupBy("k", "brand").agg(F.min_by(F.struct("id", "title", "sim"), F.struct(-F.col("sim"), F.col("id"))).alias("b")).select("k", "brand", "b.*")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= n)
+    # n x n rows at most
+    ordered = best.agg(F.array_sort(F.collect_list(F.struct("k", "r", "id", "brand", "title"))).alias("all"))
+    kind = ordered.schema["all"].dataType.simpleString()
+    start = F.struct(F.array().cast(kind).alias("picks"), F.lit(-1).alias("last"))
+
+    def choose(s: Column, c: Column) -> Column:
+        taken = (c["k"] == s["last"]) | F.exists(s["picks"], lambda p: p["brand"] == c["brand"])
+        return F.when(taken, s).otherwise(F.struct(F.concat(s["picks"], F.array(c)).alias("picks"), c["k"].alias("last")))
+
+    return ordered.select(F.explode(F.aggregate("all", start, choose)["picks"]).alias("p")).select("p.k", "p.id", "p.brand", "p.title")
 
 
 def cold_start(items: DataFrame, limit: int = K.FEED_LIMIT, seed: int = 0) -> DataFrame:
@@ -214,7 +248,7 @@ def cold_start(items: DataFrame, limit: int = K.FEED_LIMIT, seed: int = 0) -> Da
 
 def coverage(items: DataFrame, known: DataFrame) -> DataFrame:
     """Per known brand (``name, q``): strong matches, their brands, and the first brands of the best fifty."""
-    d = V.with_zscore(similarities(items, known, "name"), "sim", "z", ("name",), guard=True)
+    d = V.with_zscore(similarities(items, known, "name"), "sim", "z", ("name",), guard=True, few=True)
     strong = F.col("z") > K.STRONG_Z
     counts = d.groupBy("name").agg(F.count_if(strong).alias("strong"), F.count_distinct(F.when(strong, F.col("brand"))).alias("brands"))
     best = d.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("z"), "id"))).where(F.col("_n") <= 12)

@@ -32,7 +32,7 @@ def brand_list(items: DataFrame, stores: DataFrame) -> DataFrame:
     """``name, domain, tags, count`` per brand of the items; brands that are not among ``stores`` (``name, domain, tags``)
     have no domain and no tags."""
     n = items.groupBy(F.col("brand").alias("name")).agg(F.count("*").alias("count"))
-    known = stores.groupBy("name").agg(F.max_by(F.struct("domain", "tags"), "domain").alias("_m"))
+    known = stores.groupBy("name").agg(F.max_by(F.struct("domain", "tags"), F.coalesce("domain", F.lit(""))).alias("_m"))
     return n.join(known, "name", "left").select("name", "_m.domain", F.coalesce("_m.tags", F.array().cast("array<string>")).alias("tags"), "count")
 
 

@@ -162,12 +162,17 @@ def similar(items: DataFrame, item_id, limit: int = 12, same_brand: bool = False
     return d.orderBy(F.desc("sim"), "id").limit(limit).drop("_v", "_b")
 
 
+# fixed texts of an explanation
+WHY_TITLE, WHY_TAG, WHY_LOOK = "title matches ", "tagged as a match", "looks like what you asked for"
+
+
 def explained(found: DataFrame, query_tokens: list[str]) -> DataFrame:
-    """Add ``why`` (which query words the title or tags hold, else that it looks alike) and ``price_usd``."""
+    """Add ``why``, a list with one reason (the query's words that the title holds, else that tags or description do, else that it
+    looks alike), and ``price_usd``."""
     asked = F.array(*[F.lit(t) for t in query_tokens]).cast("array<string>")
     in_title = F.array_intersect(asked, T.tokens("title"))
-    why = F.when(F.size(in_title) > 0, F.concat(F.lit("title: "), F.array_join(in_title, ", "))).when(F.col("text_score") > 0, "tagged").otherwise("looks like it")
-    return found.withColumns({"why": why, "price_usd": F.nullif(F.bround("usd", 2), F.lit(0.0))})
+    why = F.when(F.size(in_title) > 0, F.concat(F.lit(WHY_TITLE), F.array_join(in_title, ", "))).when(F.col("text_score") > 0, WHY_TAG).otherwise(WHY_LOOK)
+    return found.withColumns({"why": F.array(why), "price_usd": F.nullif(F.bround("usd", 2), F.lit(0.0))})
 
 
 def with_details(page: DataFrame, full: DataFrame) -> DataFrame:

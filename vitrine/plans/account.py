@@ -94,6 +94,47 @@ def curation_list(spark, d):
     return records.listed(view, "C", "D#2").unionByName(records.listed(view, "?").withColumn("decision", F.lit(None).cast("string")))
 
 
+_GRADED = """p AS (SELECT p_partkey AS id, p_brand AS brand, p_name AS title, p_retailprice AS price, p_size > 3 AS available, CASE WHEN p_size % 5 = 0 THEN upper(p_brand) WHEN p_size % 7 = 0 THEN '' ELSE p_type || ' ' || p_size % 3 END AS vendor FROM part),
+n AS (SELECT brand, id, left(title, 60) AS title, row_number() OVER (PARTITION BY brand ORDER BY id) AS n FROM p WHERE available),
+s AS (SELECT brand, string_agg('img' || id, '|' ORDER BY n) AS preview, string_agg(title, '|' ORDER BY n) FILTER (WHERE n <= 4) AS sample_titles FROM n WHERE n <= 6 GROUP BY brand),
+v AS (SELECT brand, vendor, count(*) AS n FROM p WHERE vendor <> '' GROUP BY ALL), o AS (SELECT brand, vendor, row_number() OVER (PARTITION BY brand ORDER BY n DESC, vendor) AS k FROM v WHERE lower(vendor) <> lower(brand)),
+w AS (SELECT brand, count(*) AS vendors FROM v GROUP BY brand), ov AS (SELECT brand, string_agg(vendor, '|' ORDER BY k) AS other_vendors FROM o WHERE k <= 5 GROUP BY brand),
+a AS (SELECT brand, count(*) AS items, round_even(median(price) FILTER (WHERE price >= 3), 0) AS median_usd, arg_min('shop' || id, id) AS domain FROM p GROUP BY brand)"""
+
+
+def _overview(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    return curate.overview(C._t(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"),
+        (F.col("p_size") > 3).alias("available"), F.expr(_VENDOR).alias("vendor"), F.concat(F.lit("shop"), key).alias("domain"), F.concat(F.lit("img"), key).alias("image"),
+    ))
+
+
+@query(f"""WITH {_GRADED} SELECT brand, lower(brand) AS key, domain, 'USD' AS currency, items, median_usd, coalesce(vendors, 0) AS vendors, coalesce(other_vendors, '') AS other_vendors, coalesce(preview, '') AS preview, coalesce(sample_titles, '') AS sample_titles
+FROM a LEFT JOIN s USING (brand) LEFT JOIN w USING (brand) LEFT JOIN ov USING (brand)""")
+def curation_overview(spark, d):
+    return _overview(spark, d).withColumns({c: F.array_join(c, "|") for c in ("other_vendors", "preview", "sample_titles")})
+
+
+@query(f"""WITH {C._TIERS}, g AS (SELECT brand, coalesce(tier, '?') AS tier, coalesce(verified, FALSE) AS verified, decision FROM b LEFT JOIN t ON t.key = lower(brand) LEFT JOIN rv ON rv.key = lower(brand))
+SELECT count(*) AS brands, (SELECT string_agg(tier || ':' || n, '|' ORDER BY tier) FROM (SELECT tier, count(*) AS n FROM g GROUP BY tier)) AS tiers, count(decision) AS decided,
+  count(*) FILTER (WHERE coalesce(decision = 'keep', NOT (tier = 'C' AND verified))) AS live, count(*) FILTER (WHERE verified) AS verified FROM g""")
+def curation_totals(spark, d):
+    _, tiers, review = C._tiers(spark, d)
+    more = {c: F.lit(c) for c in ("reason", "based_in", "evidence")}
+    view = curate.graded(_overview(spark, d), tiers.withColumns(more), review, tiers.select("key", F.array("tier").alias("traits")))
+    counts = F.transform(F.map_entries("tiers"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return curate.summary(view).withColumn("tiers", F.array_join(counts, "|"))
+
+
+@query(f"WITH {_STORES}, s AS ({C.oracle_sql()['brand_signals']}), z AS (SELECT p_brand AS brand, round_even(avg(CASE WHEN p_size > 7 THEN 1.0 ELSE 0 END), 2) AS sized FROM part GROUP BY ALL) SELECT brand, suspicion, p10_usd, sized, domain, CASE WHEN domain IS NULL THEN NULL ELSE 'GBP' END AS currency, CASE WHEN domain IS NULL THEN '' ELSE 'knit|' || lower(brand) END AS tags FROM s JOIN z USING (brand) LEFT JOIN m ON m.name = brand")
+def brand_audit(spark, d):
+    """Signals with what the store list says."""
+    p = C._signal_rows(spark, d).withColumn("sizes_offered", F.when(F.col("_size") > 7, F.array(F.lit("M"))).otherwise(F.when(F.col("_size") > 3, F.array().cast("array<string>"))))
+    s = curate.signals(p, _stores(spark, d).withColumn("currency", F.lit("GBP")))
+    return s.select("brand", "suspicion", "p10_usd", "sized", "domain", "currency", F.array_join("tags", "|").alias("tags"))
+
+
 @query(f"SELECT brand, suspicion FROM ({C.oracle_sql()['brand_signals']}) ORDER BY suspicion DESC, brand LIMIT 60")
 def suspicion_order(spark, d):
     return C.queries()["brand_signals"](spark, d).orderBy(F.desc("suspicion"), "brand").limit(60).select("brand", "suspicion")
@@ -149,12 +190,17 @@ def saved_cards(spark, d):
     return profiles.saved_cards(profiles.saved(C._log(spark, d), "purchase", "signup"), items).withColumn("position", F.col("position").cast("long"))
 
 
-@query("""WITH f AS (SELECT user_id AS pid, 'Brand#' || event_id % 40 AS brand, max(ts) AS last FROM events GROUP BY ALL), k AS (SELECT p_brand AS brand, count(*) FILTER (WHERE p_size > 3) AS n FROM part GROUP BY ALL)
-SELECT pid, f.brand, last, coalesce(n, 0) AS in_stock, row_number() OVER (PARTITION BY pid ORDER BY last DESC, f.brand) - 1 AS position FROM f LEFT JOIN k ON k.brand = f.brand""")
+@query(f"""WITH {_STORES}, f AS (SELECT user_id AS pid, 'Brand#' || event_id % 40 AS brand, max(ts) AS last FROM events GROUP BY ALL),
+s AS (SELECT p_brand AS brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_size > 3),
+k AS (SELECT brand, count(*) AS n, string_agg('img' || p_partkey, '|' ORDER BY n) FILTER (WHERE n <= 4) AS preview FROM s GROUP BY brand)
+SELECT pid, f.brand, last, m.domain, CASE WHEN m.domain IS NULL THEN '' ELSE 'knit|' || lower(f.brand) END AS tags, coalesce(n, 0) AS in_stock, coalesce(preview, '') AS preview, CASE WHEN f.brand < 'Brand#3' AND n > 0 THEN 'seen|' || lower(f.brand) ELSE '' END AS traits,
+  row_number() OVER (PARTITION BY pid ORDER BY last DESC, f.brand) - 1 AS position FROM f LEFT JOIN k ON k.brand = f.brand LEFT JOIN m ON m.name = f.brand""")
 def recent_brands(spark, d):
     found = profiles.discovered(C._log(spark, d)).select("pid", F.concat(F.lit("Brand#"), F.col("key").cast("string")).alias("brand"), "last")
-    items = C._t(spark, d, "part").select(F.col("p_brand").alias("brand"), (F.col("p_size") > 3).alias("available"))
-    return profiles.recent_brands(found, items).withColumn("position", F.col("position").cast("long"))
+    items = C._t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), (F.col("p_size") > 3).alias("available"), F.concat(F.lit("img"), F.col("p_partkey").cast("string")).alias("image"))
+    traits = items.where("available AND brand < 'Brand#3'").select(F.lower("brand").alias("key")).distinct().withColumn("traits", F.array(F.lit("seen"), F.col("key")))
+    out = profiles.recent_brands(found, items, _stores(spark, d), traits)
+    return out.withColumns({**{c: F.array_join(c, "|") for c in ("tags", "preview", "traits")}, "position": F.col("position").cast("long")})
 
 
 @query("SELECT url AS source, arg_max('pin ' || page_id, page_id) AS link FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url")

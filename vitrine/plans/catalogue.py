@@ -138,6 +138,13 @@ def hybrid_search_page0(spark, d):
     return search.first_page(_found(spark, d)).select("id", "brand", "title", F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_SCORED}, {_PAGE}, p AS (SELECT *, list_filter(['red', 'ring'], lambda x: list_contains({_tok('title')}, x)) AS hits FROM r ORDER BY (rk > 2), r.score DESC, id LIMIT 24)
+SELECT id, CASE WHEN len(hits) > 0 THEN 'title matches ' || array_to_string(hits, ', ') WHEN text_score > 0 THEN 'tagged as a match' ELSE 'looks like what you asked for' END AS why, round_even(price, 2) AS price_usd FROM p""")
+def search_explained(spark, d):
+    page = search.explained(search.first_page(_found(spark, d)), ["red", "ring"])
+    return page.select("id", F.array_join("why", "|").alias("why"), "price_usd")
+
+
 @query(f"WITH {_SCORED} SELECT id, round(price * 1.0, 2) AS usd, round(score, 6) AS score FROM kept WHERE price BETWEEN 10 AND 950 AND brand <> 'Brand#12' ORDER BY usd, kept.score DESC, id LIMIT 30")
 def price_sorted(spark, d):
     found = _found(spark, d, search.Query("red ring", min_usd=10.0, max_usd=950.0, exclude_brands=("Brand#12",), sort="price_asc"))
@@ -328,13 +335,6 @@ def curation_summary(spark, d):
     return curate.effective(*_tiers(spark, d)).groupBy("tier").agg(F.count("*").alias("brands"), F.count("decision").alias("decided"), F.count_if("live").alias("live"))
 
 
-@query(f"""WITH {_ITEMS}, n AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY available DESC, id) AS n FROM i)
-SELECT brand, count(*) AS items, round(median(price) FILTER (WHERE price >= 3), 4) AS median_usd, coalesce(string_agg(title, '|' ORDER BY n) FILTER (WHERE n <= 6 AND available), '') AS previews FROM n GROUP BY brand""")
-def curation_overview(spark, d):
-    o = curate.overview(_items(spark, d))
-    return o.select("brand", "items", F.round("median_usd", 4).alias("median_usd"), F.array_join("previews", "|").alias("previews"))
-
-
 _SEO = K.SEO_WORDS.replace("'", "''")
 
 
@@ -348,8 +348,12 @@ SELECT s.*, round_even(usd, 0) AS p10_usd, round_even(CASE WHEN median_usd < 25
   + CASE WHEN distinct_vendors >= 5 THEN 2 WHEN distinct_vendors >= 3 THEN 1 ELSE 0 END + CASE WHEN caps_titles >= 0.5 THEN 1 ELSE 0 END, 2) AS suspicion
 FROM s LEFT JOIN r ON r.brand = s.brand AND n = floor(c / 10) + 1""")
 def brand_signals(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_type")).alias("vendor"), F.split("p_name", " ").alias("tags"))
-    return curate.signals(p)
+    return curate.signals(_signal_rows(spark, d))
+
+
+def _signal_rows(spark: SparkSession, d: str) -> DataFrame:
+    vendor = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_type")).alias("vendor")
+    return _t(spark, d, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"), F.lit("USD").alias("currency"), vendor, F.split("p_name", " ").alias("tags"), F.col("p_size").alias("_size"))
 
 
 _TRAIT_IDS = [11, 23, 35, 47, 59, 71, 83, 95]
@@ -457,9 +461,25 @@ def quiz_step(spark, d):
     return assigned.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high"))
 
 
-@query()
+_QUIZ = f"""WITH RECURSIVE {_ITEMS},
+pool AS (SELECT * FROM i WHERE available AND price > 0 AND length(title) > 8 AND NOT regexp_matches(title, '[A-Z0-9_]{{6,}}')),
+c0 AS (SELECT row_number() OVER (ORDER BY md5(id || ':1'), id) - 1 AS k, vec AS q FROM pool ORDER BY md5(id || ':1'), id LIMIT 20),
+it(step, k, q) AS (SELECT 0, k, q FROM c0 UNION ALL
+  SELECT o.step + 1, o.k, coalesce(m.q, o.q) FROM it o LEFT JOIN (SELECT k, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS q FROM (SELECT k, list(x ORDER BY pos) AS v FROM (
+    SELECT k, pos, avg(x) AS x FROM (SELECT k, unnest(vec) AS x, generate_subscripts(vec, 1) AS pos FROM (SELECT arg_max(it.k, (list_inner_product(vec, q), -it.k)) AS k, any_value(vec) AS vec FROM pool, it GROUP BY pool.id)) GROUP BY ALL) GROUP BY k)) m ON m.k = o.k
+  WHERE o.step < 15),
+a AS (SELECT pool.id, any_value(brand) AS brand, any_value(title) AS title, any_value(vec) AS vec, arg_max(k, (list_inner_product(vec, q), -k)) AS k FROM pool, it WHERE step = 14 GROUP BY pool.id),
+s AS (SELECT a.k, a.id, brand, title, list_inner_product(vec, q) AS sim FROM a JOIN it ON it.k = a.k AND step = 15),
+l AS (SELECT k, list(struct_pack(id := id, brand := brand, title := title) ORDER BY sim DESC, id) AS cards FROM s GROUP BY k),
+g(k, picks, brands) AS (SELECT -1::BIGINT, []::STRUCT(k BIGINT, id BIGINT, brand VARCHAR, title VARCHAR)[], []::VARCHAR[] UNION ALL
+  SELECT k, CASE WHEN f IS NULL THEN picks ELSE list_append(picks, struct_pack(k := k, id := f.id, brand := f.brand, title := f.title)) END, CASE WHEN f IS NULL THEN brands ELSE list_append(brands, f.brand) END
+  FROM (SELECT g.k + 1 AS k, picks, brands, list_filter(cards, lambda x: NOT list_contains(brands, x.brand))[1] AS f FROM g LEFT JOIN l ON l.k = g.k + 1 WHERE g.k < 19))
+SELECT p.id, p.brand, p.title FROM (SELECT unnest(max_by(picks, k)) AS p FROM g)"""
+
+
+@query(_QUIZ)
 def quiz_spread(spark, d):
-    return recommend.quiz(_items(spark, d))
+    return recommend.quiz(_items(spark, d)).select("id", "brand", "title")
 
 
 @query(f"""WITH {_ITEMS}, k AS (SELECT 'known ' || vec_id AS name, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id BETWEEN 400 AND 409), s AS (SELECT name, id, brand, list_inner_product(vec, q) AS sim FROM i, k),
