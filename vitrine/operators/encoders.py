@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import text as T
@@ -61,13 +62,19 @@ class OnnxEncoder:
         return {**self.__dict__, "_made": None}
 
 
+@functools.cache
+def _tokenizer(path: str):
+    """Loaded once per worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def token_ids(texts: list[str], tokenizer: str, length: int = 77) -> np.ndarray:
     """Start id, ids and end id per text, cut to ``length`` with the end kept, padded with zeros."""
     import html
 
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer)
+    tok = _tokenizer(tokenizer)
     start, end = tok.token_to_id("<|startoftext|>"), tok.token_to_id("<|endoftext|>")
     out = np.zeros((len(texts), length), np.int64)
     for i, e in enumerate(tok.encode_batch([html.unescape(html.unescape(t)).strip() for t in texts], add_special_tokens=False)):
@@ -96,10 +103,15 @@ class TraitReader(Protocol):
 
 
 def brand_samples(items: DataFrame, titles: int = 80, types: int = 25) -> DataFrame:
-    """What a reader sees of a brand: its first titles and distinct types."""
-    by = items.groupBy(F.lower(F.trim("brand")).alias("key"))
-    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("id", "title"))), 1, titles), lambda s: s["title"])
-    return by.agg(first.alias("titles"), F.slice(F.array_sort(F.collect_set("product_type")), 1, types).alias("types"))
+    """What a reader sees of a brand: its first titles by id and its first distinct types by name. Both are cut by rank before the
+    shuffle, so a large brand is never gathered whole."""
+    rows = items.select(F.lower(F.trim("brand")).alias("key"), "id", "title", "product_type")
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("_n") <= titles)
+    first = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "title"))), lambda s: s["title"]).alias("titles"))
+    kinds = rows.where("product_type IS NOT NULL").groupBy("key", "product_type").agg(F.lit(1).alias("_one"))
+    kinds = kinds.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("product_type"))).where(F.col("_n") <= types)
+    kinds = kinds.groupBy("key").agg(F.array_sort(F.collect_list("product_type")).alias("types"))
+    return first.join(kinds, "key", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
 def brand_traits(names: DataFrame, cache: DataFrame, items: DataFrame, reader: TraitReader | None = None) -> tuple[DataFrame, DataFrame]:

@@ -83,9 +83,10 @@ def score_brands(items: DataFrame, traits: DataFrame, exclude: tuple[str, ...] =
         F.count_if("hit").alias("n_matched"),
         F.count("*").alias("n_traits"),
         (F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)) / F.sum("w") * 10 + 0.5 * F.sum(F.when(F.col("hit"), over).otherwise(0.0))).alias("score"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct((-over).alias("o"), "trait_id", "text", "best")))), lambda s: F.struct(s["trait_id"], s["text"], s["best"])).alias("matched"),
-        F.array_sort(F.collect_list(F.when(~F.col("hit"), F.col("text")))).alias("missing"),
+        F.array_sort(F.collect_list(F.when(F.col("hit"), F.struct((-over).alias("o"), "trait_id", "text", F.bround("strength", 2).alias("strength"), F.bround("bar", 2).alias("bar"), "best")))).alias("_m"),
+        F.transform(F.array_sort(F.collect_list(F.when(~F.col("hit"), F.struct("trait_id", "text")))), lambda s: s["text"]).alias("missing"),
     )
+    cards = cards.withColumn("matched", F.transform("_m", lambda s: s.dropFields("o"))).drop("_m")
     cards = cards.join(sizes, "brand").where(F.lit(bool(only)) | (F.col("n_matched") > 0))
     names = F.transform("matched", lambda x: x["text"])
     more = F.when(F.col("n_matched") > K.WHY_MAX, F.concat(F.lit(" (+"), (F.col("n_matched") - K.WHY_MAX).cast("string"), F.lit(" more)"))).otherwise("")
@@ -96,6 +97,26 @@ def score_brands(items: DataFrame, traits: DataFrame, exclude: tuple[str, ...] =
     return cards.orderBy(F.desc("score"), "brand").limit(limit)
 
 
+def with_stores(cards: DataFrame, stores: DataFrame) -> DataFrame:
+    """Cards with what the store list (``name, domain, currency, tags``) says of their brands: ``domain`` and ``url`` (null if unknown), ``currency`` (else
+    USD), ``tags`` (else none); and ``coverage`` in words. Cards are a page, so they are what is broadcast."""
+    known = stores.join(F.broadcast(cards.select(F.col("brand").alias("name"))), "name", "left_semi")
+    known = known.groupBy(F.col("name").alias("brand")).agg(F.max_by(F.struct("domain", "currency", "tags"), F.coalesce("domain", F.lit(""))).alias("_s"))
+    d = cards.join(known, "brand", "left").withColumns({"domain": F.col("_s.domain"), "currency": F.coalesce("_s.currency", F.lit("USD")), "tags": F.coalesce("_s.tags", F.array().cast("array<string>"))}).drop("_s")
+    of = F.concat(F.col("n_matched").cast("string"), F.lit(" of "), F.col("n_traits").cast("string"))
+    return d.withColumns({"url": F.concat(F.lit("https://"), "domain"), "coverage": of})
+
+
+def with_evidence(cards: DataFrame, items: DataFrame, *columns: str) -> DataFrame:
+    """Cards whose ``matched`` have ``evidence``: the ``columns`` of the piece that proves the trait best. Only the pieces of a page of
+    cards are looked up."""
+    hits = cards.select("brand", F.posexplode("matched").alias("_at", "_m"))
+    shown = items.select(F.col("id").alias("_id"), F.struct(*columns).alias("evidence")).join(F.broadcast(hits), F.col("_id") == F.col("_m.best"))
+    lists = shown.groupBy("brand").agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_m").withField("evidence", F.col("evidence")).alias("m")))).alias("_l"))
+    d = cards.drop("matched").join(lists, "brand", "left")
+    return d.withColumn("matched", F.coalesce(F.transform("_l", lambda x: x["m"]), F.array().cast(lists.select(F.transform("_l", lambda x: x["m"]).alias("x")).schema["x"].dataType))).drop("_l")
+
+
 def brand_items(items: DataFrame, brand: str, trait: DataFrame | None = None, limit: int = 12) -> DataFrame:
     """Pieces of a brand by similarity to a trait (one row ``q``), or in catalog order."""
     d = items.where(F.col("brand") == brand)

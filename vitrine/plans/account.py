@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators import curate, profiles, records, search
+from vitrine.operators import curate, encoders, profiles, records, search
 from vitrine.plans import catalogue as C
 
 _Q, _SQL = {}, {}
@@ -236,6 +236,55 @@ def profile_defaults(spark, d):
     return s.select("pid", F.col("m")["error"].alias("error"), F.col("m")["view"].alias("view"), F.size("m").alias("kept"))
 
 
+@query("""WITH t AS (SELECT lower(trim(p_brand)) AS key, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY lower(trim(p_brand)) ORDER BY p_partkey) AS n FROM part)
+SELECT key, string_agg(p_name, '|' ORDER BY n) FILTER (WHERE n <= 80) AS titles, (SELECT string_agg(p_type, '|' ORDER BY p_type) FROM (SELECT DISTINCT p_type FROM t x WHERE x.key = t.key)) AS types FROM t GROUP BY key""")
+def brand_samples(spark, d):
+    """What a reader sees of each brand: eighty titles and the types."""
+    items = C._t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_name").alias("title"), F.col("p_type").alias("product_type"))
+    return encoders.brand_samples(items).withColumns({c: F.array_join(c, "|") for c in ("titles", "types")})
+
+
+@query("""WITH w AS (SELECT DISTINCT lower(p_name) AS phrase FROM part WHERE p_size <= 10), n AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) AS phrase FROM part WHERE p_size > 40 UNION SELECT phrase FROM w WHERE phrase > 'n')
+SELECT phrase FROM w UNION ALL SELECT phrase FROM n WHERE phrase NOT IN (SELECT phrase FROM w)""")
+def learned_phrases(spark, d):
+    """A vocabulary and what a reader said beside it, cleaned; what is known isn't learned again."""
+    p, name = C._t(spark, d, "part"), F.lower("p_name")
+    words = p.where("p_size <= 10").select(name.alias("phrase")).distinct()
+    said = p.where("p_size > 40").select(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "), F.col("p_type"), F.lit(".")).alias("phrase")).union(words.where("phrase > 'n'"))
+    return encoders.learned(words, said)
+
+
+@query("""WITH c AS (SELECT event_id % 700 AS key, arg_max(CASE WHEN event_type = 'error' THEN NULL ELSE value END, event_id) AS v, arg_max(event_type, event_id) AS kind, max(event_id) AS n FROM events GROUP BY ALL),
+t AS (SELECT p_partkey AS key, p_retailprice AS value FROM part WHERE p_partkey < 1500)
+SELECT coalesce(t.key, c.key) AS key, CASE WHEN c.key IS NULL THEN t.value ELSE (SELECT e.value FROM events e WHERE e.event_id = c.n) END AS value FROM t FULL JOIN c ON c.key = t.key WHERE c.key IS NULL OR c.kind <> 'error'""")
+def keyed_upserts(spark, d):
+    """A table with the last change of each key; a change without a value deletes."""
+    t = C._t(spark, d, "part").where("p_partkey < 1500").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("value"), F.lit(-1).cast("long").alias("n"))
+    c = C._t(spark, d, "events").select((F.col("event_id") % 700).alias("key"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"), F.col("event_id").alias("n"))
+    return profiles.upserted(t, c, "key", "n").select("key", "value")
+
+
+@query(f"""WITH {C._SCORED}, {C._PAGE}, p AS (SELECT id FROM r ORDER BY (rk > 2), r.score DESC, id LIMIT 24)
+SELECT p_partkey AS id, p_name AS title, p_type AS product_type, p_size AS size FROM part SEMI JOIN p ON p.id = p_partkey""")
+def page_details(spark, d):
+    """The full rows of the first page."""
+    full = C._t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("product_type"), F.col("p_size").alias("size"))
+    return search.with_details(search.first_page(C._found(spark, d)), full)
+
+
+@query("""WITH t AS (SELECT DISTINCT 't' || event_id % 9 AS text FROM events WHERE event_type = 'signup'), n AS (SELECT DISTINCT 't' || event_id % 12 AS text, event_type AS kind, 'r' || user_id % 3 AS ref FROM events WHERE event_type <> 'signup')
+SELECT coalesce(t.text, n.text) AS text, string_agg(kind || ':' || ref, '|' ORDER BY kind, ref) AS sources FROM (SELECT text, 'base' AS kind, '0' AS ref FROM t UNION ALL SELECT * FROM n) n LEFT JOIN t ON FALSE GROUP BY ALL""")
+def merged_sources(spark, d):
+    """Traits with the sources that they have and those that entries bring."""
+    e = C._t(spark, d, "events")
+    name = lambda n: F.concat(F.lit("t"), (F.col("event_id") % n).cast("string")).alias("text")
+    base = F.array(F.struct(F.lit("base").alias("kind"), F.lit("0").alias("ref")))
+    traits = e.where("event_type = 'signup'").select(name(9)).distinct().withColumn("sources", base)
+    entries = e.where("event_type <> 'signup'").select(name(12), F.col("event_type").alias("kind"), F.concat(F.lit("r"), (F.col("user_id") % 3).cast("string")).alias("ref"))
+    out = profiles.with_sources(traits, entries)
+    return out.select("text", F.array_join(F.array_sort(F.transform("sources", lambda s: F.concat_ws(":", s["kind"], s["ref"]))), "|").alias("sources"))
+
+
 def queries() -> dict:
     return dict(_Q)
 

@@ -375,17 +375,37 @@ def trait_bars(spark, d):
     return above.select("trait_id", F.round("bar", 6).alias("bar"), "above")
 
 
-@query(f"""WITH {_Z}, a AS (SELECT brand, bool_or(available) AS has_any FROM i GROUP BY brand), stock AS (SELECT i.* FROM i JOIN a USING (brand) WHERE available OR NOT has_any),
+_CARDS = f"""WITH {_Z}, a AS (SELECT brand, bool_or(available) AS has_any FROM i GROUP BY brand), stock AS (SELECT i.* FROM i JOIN a USING (brand) WHERE available OR NOT has_any),
 al AS (SELECT brand, count(*) AS items FROM i GROUP BY brand),
 sz AS (SELECT brand, items, quantile_cont(nullif(price, 0), 0.15) AS lo, quantile_cont(nullif(price, 0), 0.85) AS hi FROM stock JOIN al USING (brand) GROUP BY ALL HAVING count(*) >= 3),
 tk AS (SELECT *, row_number() OVER (PARTITION BY brand, trait_id ORDER BY z DESC, id) AS n FROM tz WHERE id IN (SELECT id FROM stock)),
-tp AS (SELECT brand, trait_id, avg(z) AS strength FROM tk WHERE n <= 3 GROUP BY ALL),
-m AS (SELECT brand, tp.trait_id, strength - bar AS over, least(3.0, 1 + 0.5 * greatest(n_sources - 1, 0)) AS w FROM tp JOIN bars USING (trait_id) JOIN tr USING (trait_id)),
-c AS (SELECT brand, count(*) FILTER (WHERE over >= 0) AS n_matched, count(*) AS n_traits, coalesce(sum(w) FILTER (WHERE over >= 0), 0) / sum(w) * 10 + 0.5 * coalesce(sum(over) FILTER (WHERE over >= 0), 0) AS score FROM m GROUP BY brand)
-SELECT brand, items, n_matched, n_traits, round(score, 6) AS score, trunc(lo)::INT AS price_low, trunc(hi)::INT AS price_high FROM c JOIN sz USING (brand) WHERE n_matched > 0 AND brand <> 'Brand#13' ORDER BY c.score DESC, brand LIMIT 12""")
+tp AS (SELECT brand, trait_id, avg(z) AS strength, arg_min(id, n) AS best FROM tk WHERE n <= 3 GROUP BY ALL),
+m AS (SELECT brand, tp.trait_id, text, strength, bar, best, strength - bar AS over, least(3.0, 1 + 0.5 * greatest(n_sources - 1, 0)) AS w FROM tp JOIN bars USING (trait_id) JOIN tr USING (trait_id)),
+c AS (SELECT brand, count(*) FILTER (WHERE over >= 0) AS n_matched, count(*) AS n_traits, coalesce(sum(w) FILTER (WHERE over >= 0), 0) / sum(w) * 10 + 0.5 * coalesce(sum(over) FILTER (WHERE over >= 0), 0) AS score,
+  coalesce(list(text ORDER BY over DESC, trait_id) FILTER (WHERE over >= 0), []) AS names, coalesce(string_agg(text, '|' ORDER BY trait_id) FILTER (WHERE over < 0), '') AS missing FROM m GROUP BY brand)"""
+
+
+@query(_CARDS + f""" SELECT brand, items, n_matched, n_traits, round(score, 6) AS score, trunc(lo)::INT AS price_low, trunc(hi)::INT AS price_high, array_to_string(names, '|') AS matched, missing,
+'Carries ' || CASE WHEN n_matched = 1 THEN names[1] ELSE array_to_string(names[1:least(n_matched, {K.WHY_MAX}) - 1], ', ') || ' and ' || names[least(n_matched, {K.WHY_MAX})] END || CASE WHEN n_matched > {K.WHY_MAX} THEN ' (+' || n_matched - {K.WHY_MAX} || ' more)' ELSE '' END
+  || ' — ' || n_matched || ' of ' || n_traits || ' of your traits.' AS why FROM c JOIN sz USING (brand) WHERE n_matched > 0 AND brand <> 'Brand#13' ORDER BY c.score DESC, brand LIMIT 12""")
 def brand_recommend(spark, d):
     c = recommend.score_brands(_items(spark, d), _traits(spark, d), exclude=("Brand#13",))
-    return c.select("brand", "items", "n_matched", "n_traits", F.round("score", 6).alias("score"), "price_low", "price_high")
+    matched = F.array_join(F.transform("matched", lambda m: m["text"]), "|")
+    return c.select("brand", "items", "n_matched", "n_traits", F.round("score", 6).alias("score"), "price_low", "price_high", matched.alias("matched"), F.array_join("missing", "|").alias("missing"), "why")
+
+
+@query(_CARDS + """, k AS (SELECT brand, score FROM c JOIN sz USING (brand) WHERE n_matched > 0 ORDER BY c.score DESC, brand LIMIT 12)
+SELECT brand, CASE WHEN brand < 'Brand#4' THEN lower(brand) || '.com' END AS domain, CASE WHEN brand < 'Brand#4' THEN 'https://' || lower(brand) || '.com' END AS url, CASE WHEN brand < 'Brand#4' THEN 'EUR' ELSE 'USD' END AS currency, n_matched || ' of ' || n_traits AS coverage,
+  (SELECT string_agg(text || ':' || round_even(strength, 2) || ':' || round_even(bar, 2) || ':' || title || ':' || price, '|' ORDER BY over DESC, m.trait_id) FROM m JOIN i ON i.id = best WHERE m.brand = c.brand AND over >= 0) AS evidence
+FROM c SEMI JOIN k USING (brand)""")
+def brand_cards(spark, d):
+    """Cards of the best brands with their stores and the piece that proves each trait."""
+    items = _items(spark, d)
+    stores = items.where("brand < 'Brand#4'").select(F.col("brand").alias("name")).distinct()
+    stores = stores.withColumns({"domain": F.concat(F.lower("name"), F.lit(".com")), "currency": F.lit("EUR"), "tags": F.array(F.lit("knit"))})
+    c = recommend.with_evidence(recommend.with_stores(recommend.score_brands(items, _traits(spark, d)), stores), items, "title", "price")
+    told = F.transform("matched", lambda m: F.concat_ws(":", m["text"], m["strength"].cast("string"), m["bar"].cast("string"), m["evidence"]["title"], m["evidence"]["price"].cast("string")))
+    return c.select("brand", "domain", "url", "currency", "coverage", F.array_join(told, "|").alias("evidence"))
 
 
 @query(f"WITH {_ITEMS} SELECT id, round(list_inner_product(vec, (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 11)), 6) AS sim FROM i WHERE brand = (SELECT min(brand) FROM i) ORDER BY sim DESC, id LIMIT 12")
@@ -483,11 +503,12 @@ def quiz_spread(spark, d):
 
 
 @query(f"""WITH {_ITEMS}, k AS (SELECT 'known ' || vec_id AS name, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id BETWEEN 400 AND 409), s AS (SELECT name, id, brand, list_inner_product(vec, q) AS sim FROM i, k),
-z AS (SELECT *, (sim - avg(sim) OVER w) / CASE WHEN stddev_pop(sim) OVER w > 1e-6 THEN stddev_pop(sim) OVER w ELSE 1 END AS z FROM s WINDOW w AS (PARTITION BY name))
-SELECT name, count(*) FILTER (WHERE z > 2.5) AS strong, count(DISTINCT brand) FILTER (WHERE z > 2.5) AS brands FROM z GROUP BY name""")
+z AS (SELECT *, (sim - avg(sim) OVER w) / CASE WHEN stddev_pop(sim) OVER w > 1e-6 THEN stddev_pop(sim) OVER w ELSE 1 END AS z FROM s WINDOW w AS (PARTITION BY name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY z DESC, id) AS n FROM z), t AS (SELECT name, brand, min(n) AS n FROM r WHERE n <= 12 GROUP BY ALL)
+SELECT name, count(*) FILTER (WHERE z > 2.5) AS strong, count(DISTINCT brand) FILTER (WHERE z > 2.5) AS brands, (SELECT string_agg(brand, '|' ORDER BY n) FROM t WHERE t.name = r.name) AS top FROM r GROUP BY name""")
 def coverage_audit(spark, d):
     known = _vectors(spark, d, list(range(400, 410)), "k").select(F.concat(F.lit("known "), F.col("k").cast("string")).alias("name"), "q")
-    return recommend.coverage(_items(spark, d), known).select("name", "strong", "brands")
+    return recommend.coverage(_items(spark, d), known).withColumn("top", F.array_join("top", "|"))
 
 
 @query("""WITH e AS (SELECT event_type AS kind, 'm' || event_id % 3 AS model, cast(floor(abs(value)) AS BIGINT) AS i, event_id % 100 AS o FROM events),
@@ -500,9 +521,9 @@ def llm_usage(spark, d):
     return u.select(F.coalesce("kind", F.lit("total")).alias("kind"), "calls", "input_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"))
 
 
-@query("""WITH l AS (SELECT user_id AS pid, event_id % 40 AS key, event_type AS kind, ts, row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'purchase')) SELECT pid, key FROM l WHERE n = 1 AND kind = 'purchase'""")
+@query("""WITH l AS (SELECT user_id AS pid, event_id % 40 AS key, event_type AS kind, ts, row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('signup', 'purchase')) SELECT pid, key, ts FROM l WHERE n = 1 AND kind = 'purchase'""")
 def profile_saved(spark, d):
-    return profiles.saved(_log(spark, d), "purchase", "signup").select("pid", "key")
+    return profiles.saved(_log(spark, d), "purchase", "signup").select("pid", "key", "ts")
 
 
 @query("""WITH r AS (SELECT user_id, max((ts, event_id)) AS at FROM events WHERE event_type = 'error' GROUP BY user_id)
