@@ -1,10 +1,12 @@
 """Encoders, trait readers and taste."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import encoders, taste
+from vitrine.operators import encoders, profiles, taste
 
 
 def test_hash_encoder_as_a_column(spark):
@@ -27,8 +29,8 @@ def items(spark):
 
 def test_brand_traits(spark):
     class Reader:
-        def brand(self, name, titles, types):
-            return [f"{titles[0]}.", "boho"] if name != "c" else None
+        def brand(self, name, titles, types, description):
+            return [description] if not titles else [f"{titles[0]}.", "boho"] if name != "c" else None
 
     names = spark.createDataFrame([("A",), ("b ",), ("c",), ("zz",)], "brand string")
     cache = spark.createDataFrame([("b", ["linen"])], "key string, traits array<string>")
@@ -54,3 +56,61 @@ def test_taste(spark):
     out = {r["text"]: {tuple(s) for s in r["sources"]} for r in taste.refined(traits, spark.createDataFrame([("new",), ("y",)], "text string")).collect()}
     moved = {("image", "1"), ("pin", "2"), ("quiz", "3")}
     assert out == {"new": moved, "y": moved | {("brand", "A")}, "z": set()}
+
+
+def test_a_known_brand_is_read_by_its_description(spark):
+    class Reader:
+        def brand(self, name, titles, types, description):
+            return [f"{description}!"]
+
+    names = spark.createDataFrame([("Far",), ("none",)], "brand string")
+    known = spark.createDataFrame([(" FAR ", "linen suits"), ("A", "unused")], "name string, description string")
+    cache = spark.createDataFrame([], "key string, traits array<string>")
+    got, new = encoders.brand_traits(names, cache, items(spark), Reader(), known)
+    assert {r["key"]: r["traits"] for r in got.collect()} == {"far": ["linen suits"], "none": None} and new.count() == 1
+    assert encoders.brand_traits(names, cache, items(spark))[1].count() == 0
+
+
+def test_image_batches_are_read_once(spark):
+    class Reader:
+        def images(self, contents, captions):
+            return None if contents[0] == b"9" else [f"Trait {contents[0].decode()} of {len(contents)}", f"{captions[0]}"]
+
+        def polish(self, candidates, titles):
+            return [f"{c} like {titles[0]}" for c in candidates] if titles else None
+
+    rows = [("p", i, str(i).encode(), f"cap {i}") for i in range(10)] + [("q", i, str(i).encode(), "other") for i in range(8)] + [("r", 0, b"9", None)]
+    b = encoders.image_batches(spark.createDataFrame(rows, "pid string, n int, content binary, caption string"))
+    keys = {(r["pid"], r["batch"]): (r["key"], len(r["contents"])) for r in b.collect()}
+    sha = lambda x: hashlib.sha1(x).hexdigest()
+    want = sha("".join(sha(str(i).encode()) for i in range(8)).encode())
+    assert keys["p", 0] == keys["q", 0] == (want, 8) and keys["p", 1][1] == 2 and len(keys) == 4
+    cache = spark.createDataFrame([(keys["p", 1][0], ["cached"])], "key string, traits array<string>")
+    got, new = encoders.image_traits(b, cache, Reader())
+    found = {r["key"]: r["traits"] for r in got.collect()}
+    assert found[want][0] == "trait 0 of 8" and found[keys["p", 1][0]] == ["cached"] and found[keys["r", 0][0]] is None and [r["key"] for r in new.collect()] == [want]
+    c = spark.createDataFrame([("p", ["linen"], ["Silk"]), ("q", ["wool"], [])], "pid string, traits array<string>, titles array<string>")
+    assert {r["pid"]: r["traits"] for r in encoders.polished(c, Reader()).collect()} == {"p": ["linen like silk"], "q": ["wool"]}
+    assert {r["pid"]: r["traits"] for r in encoders.polished(c).collect()} == {"p": ["linen"], "q": ["wool"]}
+
+
+def test_an_unknown_brand_has_the_vector_of_its_description(spark):
+    it = items(spark)
+    none = spark.createDataFrame([], "id long, vec array<double>")
+    brands = spark.createDataFrame([("a",), (" Far ",), ("Near",), ("far",)], "brand string")
+    known = spark.createDataFrame([("near", "red silk")], "name string, description string")
+    a = {r["anchor"]: r["q"] for r in taste.anchors(it, brands, none, none, none, encoders.HashEncoder(8), known).collect()}
+    assert set(a) == {"brand:A", "brand:Far", "brand:Near"} or set(a) == {"brand:A", "brand:far", "brand:Near"}
+    assert np.allclose(a["brand:Near"], encoders.HashEncoder(8).texts(["red silk"])[0])
+
+
+def test_unmangled():
+    for text in ("café “quoted” — ŝ", "plain", "", "naïve", "日本"):
+        twice = text.encode().decode("latin-1")
+        assert encoders.unmangled(text) == text and encoders.unmangled(twice) == text and encoders.unmangled(twice.encode().decode("latin-1")) == text
+
+
+def test_quiz_picks(spark):
+    p = spark.createDataFrame([("p", [3, 1]), ("q", None), ("r", [7])], "pid string, quiz_picks array<long>")
+    picked = spark.createDataFrame([("p", 0, 2), ("p", 1, 1), ("p", 2, 999), ("q", 1, 5), ("q", 0, 6), ("q", 2, 5)], "pid string, n int, id long")
+    assert {r["pid"]: r["quiz_picks"] for r in profiles.with_picks(p, picked, items(spark)).collect()} == {"p": [3, 1, 2], "q": [6, 5], "r": [7]}

@@ -70,6 +70,17 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def unmangled(text: str) -> str:
+    """A text whose UTF-8 bytes were once read as a Western code page, as it was meant; any other stays."""
+    for page in ("cp1252", "latin-1"):
+        try:
+            meant = text.encode(page).decode("utf-8")
+        except UnicodeError:
+            continue
+        return unmangled(meant) if len(meant) < len(text) else text
+    return text
+
+
 def token_ids(texts: list[str], tokenizer: str, length: int = 77) -> np.ndarray:
     """Start id, ids and end id per text, cut to ``length`` with the end kept, padded with zeros."""
     import html
@@ -77,7 +88,7 @@ def token_ids(texts: list[str], tokenizer: str, length: int = 77) -> np.ndarray:
     tok = _tokenizer(tokenizer)
     start, end = tok.token_to_id("<|startoftext|>"), tok.token_to_id("<|endoftext|>")
     out = np.zeros((len(texts), length), np.int64)
-    for i, e in enumerate(tok.encode_batch([html.unescape(html.unescape(t)).strip() for t in texts], add_special_tokens=False)):
+    for i, e in enumerate(tok.encode_batch([html.unescape(html.unescape(unmangled(t))).strip() for t in texts], add_special_tokens=False)):
         ids = [start, *e.ids, end][:length]
         ids[-1] = end
         out[i, : len(ids)] = ids
@@ -98,8 +109,16 @@ def encoded(texts: Column, encoder: Encoder) -> Column:
 
 
 class TraitReader(Protocol):
-    def brand(self, name: str, titles: list[str], types: list[str]) -> list[str] | None:
-        """Traits of a brand, or None if it can't tell."""
+    """A paid reader. Each answer is a list of traits, or None where it can't tell."""
+
+    def brand(self, name: str, titles: list[str], types: list[str], description: str | None) -> list[str] | None:
+        """Traits of a brand by what it sells, or by what is said about it."""
+
+    def images(self, contents: list[bytes], captions: list[str | None]) -> list[str] | None:
+        """Traits that a batch of pictures shows."""
+
+    def polish(self, candidates: list[str], titles: list[str]) -> list[str] | None:
+        """Candidates in better words, beside titles of pieces that are near."""
 
 
 def brand_samples(items: DataFrame, titles: int = 80, types: int = 25) -> DataFrame:
@@ -114,21 +133,69 @@ def brand_samples(items: DataFrame, titles: int = 80, types: int = 25) -> DataFr
     return first.join(kinds, "key", "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
-def brand_traits(names: DataFrame, cache: DataFrame, items: DataFrame, reader: TraitReader | None = None) -> tuple[DataFrame, DataFrame]:
-    """Traits of ``names`` (``brand``) from the cache (``key, traits``), else from the reader; and the new cache rows.
-
-    Without a reader the misses are null."""
-    n = names.select(F.lower(F.trim("brand")).alias("key")).distinct()
-    hit = n.join(cache, "key")
-    miss = n.join(cache, "key", "left_anti").join(brand_samples(items), "key", "left")
+def _answers(misses: DataFrame, columns: list[str], ask, reader: TraitReader | None) -> DataFrame:
+    """``key, traits`` of rows ``key`` and ``columns``, which ``ask`` gets after the reader: cleaned answers, null without a reader or an answer."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [None if reader is None or t is None else reader.brand(k, list(t), list(y)) for k, t, y in zip(b["key"], b["titles"], b["types"])]
-            yield pd.DataFrame({"key": b["key"], "traits": pd.Series(got, dtype=object)})
+            got = [None if reader is None else ask(reader, *row) for row in b[["key", *columns]].itertuples(index=False, name=None)]
+            yield pd.DataFrame({"key": b["key"], "traits": pd.Series([None if g is None else list(g) for g in got], dtype=object)})
+
+    found = misses.select("key", *columns).mapInPandas(read, "key string, traits array<string>")
+    return found.withColumn("traits", T.clean_traits("traits"))
+
+
+def read_through(asked: DataFrame, cache: DataFrame, columns: list[str], ask, reader: TraitReader | None) -> tuple[DataFrame, DataFrame]:
+    """Traits of ``asked`` (``key`` and ``columns``, a row for each key) from the cache (``key, traits``), else from the reader; and the new
+    rows of the cache, those with at least one trait. Only misses reach the reader."""
+    hit = asked.join(cache.select("key", "traits"), "key").select("key", "traits")
+    new = _answers(asked.join(cache.select("key"), "key", "left_anti"), columns, ask, reader)
+    return hit.unionByName(new), new.where(F.size("traits") > 0)
+
+
+def brand_traits(names: DataFrame, cache: DataFrame, items: DataFrame, reader: TraitReader | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Traits of ``names`` (``brand``) from the cache, else from the reader, who sees samples of the brand's items, or of a brand without
+    items what ``known`` (``name, description``) says, if anything; and the new cache rows. Without a reader the misses are null."""
+    n = names.select(F.lower(F.trim("brand")).alias("key")).distinct().join(brand_samples(items), "key", "left")
+    n = n.withColumn("description", F.lit(None).cast("string"))
+    if known is not None:
+        said = known.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("description").alias("_said"))
+        n = n.join(said, "key", "left").withColumn("description", F.when(F.col("titles").isNull(), F.col("_said"))).drop("_said")
+
+    def ask(r, key, titles, types, description):
+        if titles is None and description is None:
+            return None
+        return r.brand(key, [] if titles is None else list(titles), [] if types is None else list(types), description)
+
+    return read_through(n, cache, ["titles", "types", "description"], ask, reader)
+
+
+#: Pictures that a reader sees at a time.
+BATCH = 8
+
+
+def image_batches(pictures: DataFrame, by: str = "pid", order: str = "n", size: int = BATCH) -> DataFrame:
+    """Batches of ``pictures`` (``by``, ``order``, ``content``) of ``size`` at most, as ``by, batch, key, contents, captions``: ``key`` is the hash of the
+    pictures' hashes in their order, so equal batches have equal keys. ``order`` counts a profile's pictures from 0. ``caption`` is optional."""
+    caption = F.col("caption") if "caption" in pictures.columns else F.lit(None).cast("string")
+    one = F.struct(F.col(order).alias("n"), F.sha1("content").alias("h"), F.col("content").alias("content"), caption.alias("caption"))
+    d = pictures.groupBy(by, F.floor(F.col(order) / size).cast("long").alias("batch")).agg(F.array_sort(F.collect_list(one)).alias("_p"))
+    part = lambda name: F.transform("_p", lambda p: p[name])
+    return d.select(by, "batch", F.sha1(F.array_join(part("h"), "").cast("binary")).alias("key"), part("content").alias("contents"), part("caption").alias("captions"))
+
+
+def image_traits(batches: DataFrame, cache: DataFrame, reader: TraitReader | None = None) -> tuple[DataFrame, DataFrame]:
+    """Traits of batches of pictures (as from ``image_batches``), by key: equal batches are read once."""
+    one = batches.groupBy("key").agg(F.any_value("contents").alias("contents"), F.any_value("captions").alias("captions"))
+    return read_through(one, cache, ["contents", "captions"], lambda r, _, c, t: r.images([bytes(x) for x in c], list(t)), reader)
+
 
-    new = miss.mapInPandas(read, "key string, traits array<string>").withColumn("traits", T.clean_traits("traits"))
-    return hit.select("key", "traits").unionByName(new), new.where("traits IS NOT NULL")
+def polished(candidates: DataFrame, reader: TraitReader | None = None) -> DataFrame:
+    """``pid, traits`` from ``candidates`` (``pid, traits, titles``): the reader's words, cleaned; the candidates stay where it has none."""
+    asked = candidates.select(F.col("pid").alias("key"), F.col("traits").alias("_c"), "titles")
+    got = _answers(asked, ["_c", "titles"], lambda r, _, c, t: r.polish(list(c), list(t)), reader)
+    d = candidates.join(got.select(F.col("key").alias("pid"), F.col("traits").alias("_new")), "pid", "left")
+    return d.select("pid", F.when(F.size("_new") > 0, F.col("_new")).otherwise(F.col("traits")).alias("traits"))
 
 
 def learned(vocabulary: DataFrame, phrases: DataFrame) -> DataFrame:

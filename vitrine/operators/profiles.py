@@ -117,6 +117,15 @@ def traits_deleted(traits: DataFrame, ids: DataFrame) -> DataFrame:
     return traits.join(ids.select("trait_id").distinct(), "trait_id", "left_anti")
 
 
+def with_picks(profiles: DataFrame, picked: DataFrame, items: DataFrame) -> DataFrame:
+    """Profiles (``pid, quiz_picks``) with the pieces picked in a quiz (``pid, n, id``) after those that they have, each once, in the order of ``n``;
+    unknown pieces don't count. A quiz shows a few dozen pieces, so picks are a short list."""
+    real = picked.join(items.select("id"), "id", "left_semi").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("_new"))
+    d = profiles.join(real, "pid", "left")
+    both = F.concat(F.coalesce("quiz_picks", F.array().cast(profiles.schema["quiz_picks"].dataType)), F.transform("_new", lambda x: x["id"]))
+    return d.withColumn("quiz_picks", F.when(F.col("_new").isNull(), F.col("quiz_picks")).otherwise(F.array_distinct(both))).drop("_new")
+
+
 def with_defaults(given: Column, defaults: Column) -> Column:
     """A map with the defaults of the keys that it lacks."""
     return F.map_zip_with(F.coalesce(given, F.create_map().cast("map<string,string>")), defaults, lambda k, a, b: F.coalesce(a, b))
