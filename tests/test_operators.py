@@ -274,3 +274,12 @@ def test_feed_slices_are_cut_before_the_shuffle(spark):
     slice_rows = inspect.signature(recommend.rank_feed).parameters["slice_rows"].default
     plan = d.withColumn("n", n).where(F.col("n") <= slice_rows)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_long_list_is_refused(spark, monkeypatch):
+    it = items(spark)
+    queries = it.limit(5).select(F.col("id").alias("k"), F.col("vec").alias("q"))
+    assert recommend.similarities(it, queries, "k").count() == 300 and recommend.similarities(it, queries.limit(0), "k").count() == 0
+    monkeypatch.setattr(recommend, "MAX_LIST", 4)
+    with pytest.raises(Exception, match="5 vectors are no list"):
+        recommend.similarities(it, queries, "k").collect()

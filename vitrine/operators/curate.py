@@ -13,8 +13,8 @@ from vitrine.operators import records
 def effective(brands: DataFrame, tiers: DataFrame, review: DataFrame) -> DataFrame:
     """Add ``tier, verified, decision, live`` to ``brands`` (``brand``): an owner's decision wins, else verified tier C is out."""
     key = F.lower(F.trim("brand")).alias("key")
-    d = brands.withColumn("key", key).join(F.broadcast(tiers.select("key", "tier", "verified")), "key", "left")
-    d = d.join(F.broadcast(review.select("key", "decision")), "key", "left")
+    d = brands.withColumn("key", key).join(tiers.select("key", "tier", "verified"), "key", "left")
+    d = d.join(review.select("key", "decision"), "key", "left")
     return d.withColumn("live", F.coalesce(F.col("decision") == "keep", ~((F.col("tier") == "C") & F.col("verified")), F.lit(True)))
 
 

@@ -23,7 +23,7 @@ def normalise_products(raw: DataFrame, brands: DataFrame) -> DataFrame:
     gift = F.lit(False)
     for w in K.SKIP_WORDS:
         gift = gift | F.contains(F.lower(title), F.lit(w))
-    b = F.broadcast(brands.select("domain", F.col("name").alias("brand"), F.coalesce("currency", F.lit("USD")).alias("currency")))
+    b = brands.select("domain", F.col("name").alias("brand"), F.coalesce("currency", F.lit("USD")).alias("currency"))
     d = raw.where((F.size("images") > 0) & ~gift).join(b, "domain")
     position = S.option_position(F.col("options"))
     label = lambda v: F.coalesce(F.when(position == 1, v["option1"]).when(position == 2, v["option2"]).when(position == 3, v["option3"]), F.when(F.size("variants") == 1, v["title"]))

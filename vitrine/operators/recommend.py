@@ -15,18 +15,29 @@ from vitrine.functions import vector as V
 from vitrine.sources import files
 
 
-def similarities(items: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """All pairs of items and a short list of query vectors (``key, q``): ``id, key, sim`` and the items' columns.
+#: Vectors of a list that goes to every executor, at most: a profile, prompts, a vocabulary. A longer one is refused.
+MAX_LIST = 20_000
+
+
+def listed(rows: DataFrame, *columns: str) -> DataFrame:
+    """A short table as one row with the array ``_l`` of its rows, for a broadcast; the job fails if they are more than MAX_LIST."""
+    one = rows.agg(F.collect_list(F.struct(*columns)).alias("_l"))
+    refused = F.raise_error(F.concat(F.size("_l").cast("string"), F.lit(f" vectors are no list: at most {MAX_LIST}")))
+    return one.select(F.when(F.size("_l") <= MAX_LIST, F.col("_l")).otherwise(refused).alias("_l"))
 
-    The query side is a profile, a prompt list or a vocabulary: a few hundred rows that don't grow with the catalog."""
-    return items.crossJoin(F.broadcast(queries.select(key, "q"))).withColumn("sim", V.dot(F.col("vec"), F.col("q"))).drop("q", "vec")
+
+def similarities(items: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """All pairs of items and a short list of query vectors (``key, q``): ``id, key, sim`` and the items' columns."""
+    d = items.crossJoin(F.broadcast(listed(queries, key, "q")))
+    sims = F.transform("_l", lambda x: F.struct(x[key].alias(key), V.dot(F.col("vec"), x["q"]).alias("sim")))
+    kept = [c for c in items.columns if c != "vec"]
+    return d.select(*kept, F.explode(sims).alias("_s")).select(*kept, F.col(f"_s.{key}"), F.col("_s.sim"))
 
 
 def categorise(items: DataFrame, prompts: DataFrame) -> DataFrame:
     """``id, category, margin``: the best prompt and its lead over the second."""
-    listed = prompts.agg(F.collect_list(F.struct("category", "q")).alias("_p"))  # one row: a fixed list of categories
-    sims = F.transform("_p", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("sim"), p["category"].alias("category")))
-    best = items.select("id", "vec").crossJoin(F.broadcast(listed)).select("id", F.sort_array(sims, False).alias("_s"))
+    sims = F.transform("_l", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("sim"), p["category"].alias("category")))
+    best = items.select("id", "vec").crossJoin(F.broadcast(listed(prompts, "category", "q"))).select("id", F.sort_array(sims, False).alias("_s"))
     return best.select("id", F.get("_s", F.lit(0))["category"].alias("category"), (F.get("_s", F.lit(0))["sim"] - F.get("_s", F.lit(1))["sim"]).alias("margin"))
 
 
@@ -131,9 +142,8 @@ def nearest_phrases(images: DataFrame, vocabulary: DataFrame, *keep: str) -> Dat
 
     Similarities to the ``vocabulary`` (``phrase, q``), a hand-kept list, are an array beside each image, and so are their mean and
     deviation: images are not multiplied out, and nothing is shuffled. Ties by phrase; null vectors have none."""
-    listed = vocabulary.agg(F.collect_list(F.struct("phrase", "q")).alias("_p"))
-    sims = F.transform("_p", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("s"), p["phrase"].alias("phrase")))
-    d = images.where("vec IS NOT NULL").crossJoin(F.broadcast(listed)).select(*keep, sims.alias("_s"))
+    sims = F.transform("_l", lambda p: F.struct(V.dot(F.col("vec"), p["q"]).alias("s"), p["phrase"].alias("phrase")))
+    d = images.where("vec IS NOT NULL").crossJoin(F.broadcast(listed(vocabulary, "phrase", "q"))).select(*keep, sims.alias("_s"))
     total = lambda f: F.aggregate("_s", F.lit(0.0), lambda a, x: a + f(x["s"]))
     d = d.withColumn("_m", F.try_divide(total(lambda s: s), F.size("_s")))
     d = d.withColumn("_sd", F.sqrt(F.try_divide(total(lambda s: (s - F.col("_m")) * (s - F.col("_m"))), F.size("_s"))) + 1e-6)
@@ -211,9 +221,8 @@ def lloyd_step(points: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFr
     """One step of spherical k-means: the points with their center ``k``, the nearest (ties: the least ``k``), and new centers ``k, q``.
 
     The few centers are an array beside each point, so nothing is shuffled but partial means. A center without points stays."""
-    listed = centers.agg(F.collect_list(F.struct("k", "q")).alias("_c"))
-    near = F.array_max(F.transform("_c", lambda c: F.struct(V.dot(F.col("vec"), c["q"]).alias("s"), (-c["k"]).alias("m"))))
-    assigned = points.crossJoin(F.broadcast(listed)).withColumn("k", -near["m"]).drop("_c")
+    near = F.array_max(F.transform("_l", lambda c: F.struct(V.dot(F.col("vec"), c["q"]).alias("s"), (-c["k"]).alias("m"))))
+    assigned = points.crossJoin(F.broadcast(listed(centers, "k", "q"))).withColumn("k", -near["m"]).drop("_l")
     means = V.mean_vector(assigned, "vec", ["k"]).withColumnRenamed("vec", "_q")
     double = F.transform("q", lambda x: x.cast("double"))
     return assigned, centers.join(means, "k", "left").select("k", F.coalesce("_q", double).alias("q"))

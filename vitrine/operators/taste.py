@@ -34,8 +34,8 @@ def anchors(items: DataFrame, liked_brands: DataFrame, images: DataFrame, liked:
 
 def feed(items: DataFrame, anchor: DataFrame, exclude_brands: DataFrame, exclude_ids: DataFrame, pid: str, limit: int = 48) -> DataFrame:
     """The ranked feed of a profile with the anchor that explains each piece; without anchors, the cold start."""
-    known = items.join(F.broadcast(exclude_brands.select(F.lower("brand").alias("_b")).distinct()), F.lower("brand") == F.col("_b"), "left_anti")
-    known = known.where("available").join(F.broadcast(exclude_ids.select("id").distinct()), "id", "left_anti")
+    known = items.join(exclude_brands.select(F.lower("brand").alias("_b")).distinct(), F.lower("brand") == F.col("_b"), "left_anti")
+    known = known.where("available").join(exclude_ids.select("id").distinct(), "id", "left_anti")
     if anchor.isEmpty():
         return recommend.cold_start(known, limit).select("id", "brand", F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("because"))
     # means and deviations are over the whole catalog

@@ -455,10 +455,16 @@ def taste_feed_scores(spark, d):
     return _taste(spark, d).select("id", "brand", F.round("score", 6).alias("score"), "because")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TASTE}, sc AS (SELECT id, brand, 0.6 * max(z) FILTER (WHERE positive) + 0.4 * avg(z) FILTER (WHERE positive) - 0.5 * greatest(coalesce(max(z) FILTER (WHERE NOT positive), 0) - 1.5, 0) AS score FROM z GROUP BY id, brand),
+r AS (SELECT sc.*, vec, row_number() OVER (ORDER BY score DESC, sc.id) AS n FROM sc JOIN i ON i.id = sc.id WHERE available),
+f(n, picks) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, brand VARCHAR, score DOUBLE, vec DOUBLE[])[] UNION ALL
+  SELECT r.n, CASE WHEN len(picks) < {K.FEED_LIMIT} AND len(list_filter(picks, lambda p: p.brand = r.brand)) < {K.FEED_PER_BRAND} AND len(list_filter(picks, lambda p: list_inner_product(p.vec, r.vec) > {K.FEED_DEDUPE})) = 0
+    THEN list_append(picks, struct_pack(id := id, brand := brand, score := score, vec := vec)) ELSE picks END FROM f JOIN r ON r.n = f.n + 1),
+p AS (SELECT unnest(picks) AS p, unnest(range(len(picks))) AS position FROM (SELECT max_by(picks, n) AS picks FROM f))
+SELECT 0 AS pid, p.id, p.brand, round(p.score, 6) AS score, position FROM p""")
 def taste_feed_rank(spark, d):
     items = _items(spark, d).where("available").select("id", "vec")
-    return recommend.rank_feed(_taste(spark, d).join(items, "id").withColumn("pid", F.lit(0)))
+    return recommend.rank_feed(_taste(spark, d).join(items, "id").withColumn("pid", F.lit(0))).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH m AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL),
