@@ -10,6 +10,7 @@ from vitrine.plans import catalogue
 from vitrine.sources import files, versions
 from vitrine.sources.keyed import KeyedTable
 from vitrine.sources.versions import Conflict, Versions
+from vitrine.streaming import jobs
 
 
 def plan_of(df):
@@ -161,3 +162,23 @@ def test_searches_read_the_buckets_of_their_tokens(spark, sf):
     before = index.versions.manifest().version
     assert catalogue._documents_index(spark, sf).versions.manifest().version == before
     assert K.FIELD_WEIGHTS and files.shared(spark)
+
+
+def test_an_index_that_grows_as_documents_arrive(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, COLUMNS)
+    src, ck = f"{tmp_path}/src", f"{tmp_path}/ck"
+    index = SearchIndex(spark, f"{tmp_path}/i", "id", FIELDS, buckets=2)
+
+    def run():
+        jobs.search_index(spark.readStream.schema(df.schema).parquet(src), index, ck).awaitTermination()
+
+    df.where("id < 4").write.parquet(src)
+    run()
+    first = index.versions.manifest().version
+    run()  # nothing new
+    assert index.versions.manifest().version == first and index.facts["n"] == 3
+    changed = df.where("id = 1").withColumn("title", F.lit("red scarf"))
+    df.where("id >= 4").unionByName(changed).unionByName(changed).write.mode("append").parquet(src)
+    run()
+    live = df.where("id <> 1").unionByName(changed)
+    assert index.facts["n"] == 6 and scores(index, "red", "scarf") == plain(live, "red", "scarf")

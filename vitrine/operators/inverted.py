@@ -109,9 +109,11 @@ class SearchIndex:
         row = mine.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0.0))).first()
         return row[0], row[1]
 
-    def merge(self, docs: DataFrame) -> Manifest:
-        """Add ``docs``; those whose key is there replace it. Reads the texts of ``docs`` alone, and lengths."""
+    def merge(self, docs: DataFrame, facts: dict | None = None) -> Manifest:
+        """Add ``docs``; those whose key is there replace it. Reads the texts of ``docs`` alone, and lengths. The first merge builds."""
         base = self.versions.manifest()
+        if not base.version:
+            return self.build(docs, facts)
         gen = base.facts["gen"] + 1
         postings, lengths, n, total = self._written(docs, gen)
         keys = self.versions.read("lengths", manifest=Manifest(tables={"lengths": lengths})).select(self.key)
@@ -120,7 +122,7 @@ class SearchIndex:
         if n_old:
             tables["gone"] = grown(base.tables["gone"], self._gone(keys, gen))
         f = base.facts
-        return self.versions.commit(base, tables, {**f, "n": f["n"] + n - n_old, "total": f["total"] + total - total_old, "gen": gen, "dead": f["dead"] + n_old})
+        return self.versions.commit(base, tables, {**f, "n": f["n"] + n - n_old, "total": f["total"] + total - total_old, "gen": gen, "dead": f["dead"] + n_old, **(facts or {})})
 
     def delete(self, keys: DataFrame) -> Manifest:
         """Documents that go; keys that aren't there count for nothing."""

@@ -146,7 +146,8 @@ def first_page(found: DataFrame, sort: str = "relevance", page: int = K.PAGE) ->
     by = [F.desc(c) if d else F.asc(c) for c, d in (("usd", sort == "price_desc"), ("score", True), ("id", False))][0 if sort != "relevance" else 1 :]
     ways = found.withColumn("_way", T.colourway("title"))
     one = ways.withColumn("_n", F.row_number().over(Window.partitionBy("brand", "_way").orderBy(*by))).where("_n = 1")
-    one = one.withColumn("_rank", F.row_number().over(Window.partitionBy("brand").orderBy(*by)))
+    # of a brand no more than a page can show
+    one = one.withColumn("_rank", F.row_number().over(Window.partitionBy("brand").orderBy(*by))).where(F.col("_rank") <= page)
     return one.orderBy((F.col("_rank") > K.PER_BRAND).asc(), *by).limit(page).drop("_way", "_n", "_rank")
 
 

@@ -210,6 +210,17 @@ def index_merge_search(spark, d):
     return _top20(index.search(["tion", "ing"]))
 
 
+@query(f"WITH {_DOCS} {_BM25_TOP}")
+def index_stream_search(spark, d):
+    """The same search over an index that grew document by document, as languages arrived one after another."""
+    src, docs = files.scratch(spark, "arriving"), _t(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
+    docs.repartition("lang").write.partitionBy("lang").parquet(src)
+    index = SearchIndex(spark, files.scratch(spark, "index"), "doc_id", {"text": 0.5}, 16)
+    stream = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(src)
+    jobs.search_index(stream, index, files.scratch(spark, "index-state")).awaitTermination()
+    return _top20(index.search(["tion", "ing"]))
+
+
 @query("SELECT vec_id, round(sim, 6) AS sim, round((sim - avg(sim) OVER ()) / (stddev_pop(sim) OVER () + 1e-6), 6) AS z FROM (SELECT vec_id, list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)) AS sim FROM embeddings) ORDER BY sim DESC, vec_id LIMIT 50")
 def vector_zscore(spark, d):
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vitrine.operators.inverted import SearchIndex
+
 
 def fold(events: DataFrame) -> DataFrame:
     """Per profile and key: events, first and last time, and the last kind; batch or stream."""
@@ -41,6 +43,24 @@ def incremental_index(products: DataFrame, cache_path: str, encode, checkpoint:
     return products.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def search_index(docs: DataFrame, index: SearchIndex, checkpoint: str) -> StreamingQuery:
+    """Merge documents into a search index as they arrive, and rewrite it when too much of it is dead.
+
+    The index knows the last batch that it holds, so one that is run again after a failure is not merged twice. Of a key that
+    stands twice in a batch the row with the greatest values counts; a later batch replaces an earlier one."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        done = index.facts.get("batches", {})
+        if done.get(checkpoint, -1) >= number or batch.isEmpty():
+            return
+        rest = [c for c in batch.columns if c != index.key]
+        one = batch.groupBy(index.key).agg(F.max(F.struct(*rest)).alias("_r")).select(index.key, "_r.*")
+        index.merge(one, {"batches": {**done, checkpoint: number}})
+        index.compact()
+
+    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run over all that is there and return the result as a table; for small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
