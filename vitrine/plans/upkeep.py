@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators import images, vocabulary
+from vitrine.functions import constants as K
+from vitrine.operators import images, ingest, recommend, vocabulary
 from vitrine.operators.encoders import HashEncoder
 from vitrine.plans import catalogue as C
 from vitrine.sources import feeds, files, sinks
@@ -140,6 +141,51 @@ def image_traits(spark: SparkSession, d: str) -> DataFrame:
     return t.select("pid", "text", "n_images", F.round("score", 6).alias("score"), F.array_min("sources.ref").alias("low"), F.array_max("sources.ref").alias("high"))
 
 
+_SAYS = ("silk dress", "wide trousers", "leather bag", "quiet luxury")
+_GOOD = "CASE kw " + " ".join(f"WHEN '{c}' THEN [{', '.join(repr(x) for x in ([c] if c in K.NON_CLOTHING else K.COMPATIBLE[c]))}]" for c in K.CATEGORIES) + " END"
+
+
+@query(f"""WITH {C._CAT}, {C._TRAITS}, t AS (SELECT trait_id, [{', '.join(map(repr, _SAYS))}][trait_id % 4 + 1] AS says, q FROM tr), w AS (SELECT *, {C._kw('says')} AS kw FROM t),
+s AS (SELECT id, trait_id, kw, list_inner_product(vec, q) AS sim FROM i, w), z AS (SELECT *, (sim - avg(sim) OVER g) / CASE WHEN stddev_pop(sim) OVER g > 1e-6 THEN stddev_pop(sim) OVER g ELSE 1 END AS z FROM s WINDOW g AS (PARTITION BY trait_id))
+SELECT id, trait_id, round(CASE WHEN margin > (SELECT quantile_cont(margin, 0.25) FROM ct) AND CASE WHEN kw IS NULL THEN ct.category IN ({', '.join(map(repr, K.NON_CLOTHING))}) ELSE NOT list_contains({_GOOD}, ct.category) END THEN -10.0 ELSE z END, 6) AS z FROM z JOIN ct USING (id)""")
+def trait_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every piece for every trait, those of the wrong category masked."""
+    items = C._items(spark, d)
+    both = items.join(recommend.categorise(items, C._prompts(spark, d)), "id")
+    says = F.element_at(F.array(*map(F.lit, _SAYS)), (F.col("trait_id") % 4 + 1).cast("int"))
+    z, _ = recommend.trait_scores(both, C._traits(spark, d).withColumn("text", says))
+    return z.select("id", "trait_id", F.round("z", 6).alias("z"))
+
+
+_LABELS = ("L", "S", "M", "XS")
+
+
+@query(f"""WITH v AS (SELECT p_partkey, p_brand, p_name, p_size, unnest(range(p_size % 4 + 1)) AS k, p_retailprice FROM part WHERE p_size % 5 > 0 AND p_partkey % 11 > 0),
+l AS (SELECT *, [{', '.join(map(repr, _LABELS))}][k + 1] AS label, (p_partkey + k) % 3 = 0 AS available, CASE WHEN k >= p_size % 2 THEN p_retailprice + k END AS price, [2, 0, 1, -1][k + 1] AS place FROM v)
+SELECT lower(p_brand) || '.com#' || p_partkey AS id, p_brand AS brand, any_value(p_name) AS title, arg_min(price, k) FILTER (WHERE price IS NOT NULL) AS price, bool_or(available) AS available,
+  coalesce(string_agg(label, '|' ORDER BY place) FILTER (WHERE available), '') AS sizes_in_stock, string_agg(label, '|' ORDER BY place) AS sizes_offered, 'https://' || lower(p_brand) || '.com/products/h' || p_partkey AS url FROM l GROUP BY p_partkey, p_brand""")
+def product_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Nested store records to products: no pictures and gift cards go, the first price that can be read, sizes from the variants."""
+    key, n = F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None).cast("string")
+
+    def variant(k):
+        price = F.when(k < n % 2, "n/a").otherwise((F.col("p_retailprice") + k).cast("string"))
+        label = F.element_at(F.array(*map(F.lit, _LABELS)), k + 1)
+        return F.struct(F.lit("t").alias("title"), price.alias("price"), ((key + k) % 3 == 0).alias("available"), label.alias("option1"), none.alias("option2"), none.alias("option3"))
+
+    option = F.struct(F.lit("Size").alias("name"), F.lit(1).alias("position"), F.array(*map(F.lit, _LABELS)).alias("values"))
+    raw = C._t(spark, d, "part").select(
+        F.concat(F.lower("p_brand"), F.lit(".com")).alias("domain"), key.alias("id"), F.when(key % 11 == 0, "Gift Card 50").otherwise(F.col("p_name")).alias("title"), F.concat(F.lit("h"), key.cast("string")).alias("handle"),
+        F.col("p_type").alias("product_type"), F.lit("v").alias("vendor"), F.lit("<p>text</p>").alias("body_html"), F.array(F.lit("t")).alias("tags"), none.alias("published_at"),
+        F.when(n % 5 == 0, F.array().cast("array<struct<src:string>>")).otherwise(F.array(F.struct(F.lit("i.jpg").alias("src")))).alias("images"), F.array(option).alias("options"),
+        F.transform(F.sequence(F.lit(0), n % 4), variant).alias("variants"),
+    )
+    brands = raw.select("domain").distinct().join(C._t(spark, d, "part").select(F.col("p_brand").alias("name"), F.concat(F.lower("p_brand"), F.lit(".com")).alias("domain")).distinct(), "domain").withColumn("currency", F.lit("USD"))
+    out = ingest.normalise_products(raw, brands)
+    return out.select("id", "brand", "title", "price", "available", F.array_join("sizes_in_stock", "|").alias("sizes_in_stock"), F.array_join("sizes_offered", "|").alias("sizes_offered"), "url")
+
+
 def queries() -> dict:
     return dict(_Q)
 
