@@ -243,3 +243,19 @@ def test_columns_of_any_name_stay(spark):
     found = spark.createDataFrame([(1, 2, 3, False), (1, 0, 2, True)], "doc_id long, start int, words int, kept boolean")
     got = {r["doc_id"]: (r["text"], *(r[n] for n in names), r["n_words"]) for r in substring_dedup.remove(df, found).collect()}
     assert got == {1: ("one two six seven eight nine ten eleven", *["mine"] * 9, 9), 2: (None, *["mine"] * 9, 9)}
+
+
+def test_domains_of_held_out_labels(spark):
+    """Each quarter of the labels is kept back in turn: the classifier must tell most of the toxic documents and leave clean ones alone."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality", "toxic", mixing.domain_label().alias("y"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    want, right = {r["doc_id"]: r["y"] for r in labels.collect()}, defaultdict(list)
+    for fold in range(4):
+        out = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == fold
+        model = mixing.fit(docs.where(~out), labels.where(~out), mixing.domain_label())
+        for r in mixing.posteriors(docs.where(out), model).collect():
+            right[want[r["doc_id"]]].append(mixing.DOMAINS[int(np.argmax(r["p"]))] == want[r["doc_id"]])
+    share = {k: round(float(np.mean(v)), 3) for k, v in right.items()}
+    print(share, {k: len(v) for k, v in right.items()})
+    assert share["toxic"] >= 0.8 and share["clean"] >= 0.99 and share["low"] >= 0.6

@@ -23,7 +23,9 @@ SAMPLE_ROWS = 10_000
 ERRORS, DEAD = 2.5, 1.0
 #: Documents that each word is taken to stand in besides, spread over the domains as the sample is: a word of few documents
 #: of a small domain is no evidence.
-PRIOR = 10.0
+PRIOR = 3.0
+#: Words that the classifier weighs, at most, the heaviest; they go to the driver and, as a map, to every executor.
+MAX_WORDS = 20_000
 ITERATIONS, PULL = 24, 0.02
 #: Iterations folded into one expression before the rates are written.
 FOLD = 8
@@ -84,8 +86,9 @@ def fit(docs: DataFrame, labels: DataFrame, domain: Column, domains: tuple[str,
         a, b = F.col(f"_{i}") + mine, F.col("n") - F.col(f"_{i}") + rest
         c, d = F.lit(size[k] + 2 * mine) - a, F.lit(total - size[k] + 2 * rest) - b
         weights.append((F.log(a / c) - F.log(b / d) - F.lit(ERRORS) * F.sqrt(1 / a + 1 / b + 1 / c + 1 / d) - F.lit(DEAD)).alias(f"w{i}"))
-    # a row of the sample has few words with weight, and the sample is bounded
-    found = counts.select("token", *weights).where(F.greatest(*[F.col(f"w{i}") for i in range(len(few))], F.lit(0.0)) > 0).orderBy("token").collect()
+    heaviest = F.greatest(*[F.col(f"w{i}") for i in range(len(few))], F.lit(0.0))
+    found = counts.select("token", *weights).where(heaviest > 0).orderBy(heaviest.desc(), "token").limit(MAX_WORDS).collect()
+    found.sort(key=lambda r: r["token"])
     for i, k in enumerate(few):
         model["of"][k]["words"] = {r["token"]: r[f"w{i}"] for r in found if r[f"w{i}"] > 0}
     held = sample.select("_y", *[F.size(F.array_intersect("has", _strings(list(model["of"][k]["words"])))).alias(f"_{i}") for i, k in enumerate(few)])
