@@ -264,6 +264,29 @@ def test_quiz_is_k_means_on_the_sample(spark):
     assert 1 <= len(few) <= 3 and recommend.quiz(df.limit(0)).count() == 0
 
 
+def test_quiz_takes_every_piece(spark):
+    """Of 4,400 pieces in four heaps all count, unless a sample is asked for."""
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    x = np.eye(4)[np.arange(4400) % 4] + 0.3 * rng.standard_normal((4400, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, f"b{i % 50}", f"long title {i}", 5.0, True, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, brand string, title string, price double, available boolean, vec array<double>")
+    centers = x[sorted(range(4400), key=lambda i: (hashlib.md5(f"{i}:1".encode()).hexdigest(), i))[:4]]
+    for _ in range(5):
+        own = (x @ centers.T).argmax(1)
+        centers = np.stack([x[own == k].mean(0) for k in range(4)])
+        centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    want = set()
+    for k in range(4):
+        best = sorted(np.flatnonzero(own == k).tolist(), key=lambda i: (-(x[i] @ centers[k]), i))
+        want.add(next(i for i in best if i % 50 not in {j % 50 for j in want}))
+    got = lambda **other: {r["id"] for r in recommend.quiz(df, n=4, iterations=5, **other).collect()}
+    assert got() == want
+    assert len(got(sample=40)) == 4 and got(sample=40) != want
+
+
 def test_feed_slices_are_cut_before_the_shuffle(spark):
     from pyspark.sql import Window
 

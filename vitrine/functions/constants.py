@@ -28,7 +28,7 @@ FLOOR, RELATIVE, TOP_K, REF_K, MIN_ITEMS, WHY_MAX, MASKED = 2.5, 0.85, 3, 10, 3,
 TASTE_MAX, TASTE_MEAN, TASTE_PENALTY, TASTE_NEG_Z = 0.6, 0.4, 0.5, 1.5
 FEED_LIMIT, FEED_PER_BRAND, FEED_DEDUPE = 48, 3, 0.95
 VOCAB_PER_IMAGE, VOCAB_MIN_Z, VOCAB_MAX, TRAIT_MAX_WORDS = 3, 1.5, 6, 8
-QUIZ_POOL, QUIZ_ITERATIONS, STRONG_Z = 4000, 15, 2.5
+QUIZ_ITERATIONS, STRONG_Z = 15, 2.5
 SKIP_WORDS = ["gift card", "giftcard", "e-gift", "gift voucher"]
 MAX_IMAGES, IMAGE_WIDTH, STORED_DESCRIPTION = 6, 512, 700
 BANNED_TRAITS = (
