@@ -4,7 +4,8 @@ Repeated passages start and end anywhere, so paragraphs are cut where the words
 smallest among its neighbours on either side. A passage is then cut alike in every document, but for its ends. Equal
 paragraphs are one; distinct ones that collide in a band of MinHashes are joined, verified by the exact Jaccard similarity
 of their shingles or, as one changed word changes five shingles, for short ones by the edit distance of their words, and
-clustered by connected components. The first paragraph of a cluster stays, the others are removed.
+clustered by connected components. In keys of three or more only pairs that share one of their rarest shingles are
+compared, which leaves out no similar one. The first paragraph of a cluster stays, the others are removed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import components, fresh, mix, rolled, slices, word_hashes, written
@@ -162,6 +163,50 @@ def _verified(pairs: DataFrame, words: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(_verify(percent), "a long, b long")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over (h, w): the number of words and the distinct shingles of each paragraph."""
+    for batch in batches:
+        for part in slices(batch, "w"):
+            h, at = word_hashes(part.column("w"))
+            windows = rolled(h, SHINGLE).view(np.int64)
+            sets = [np.unique(windows[a : max(a, b - SHINGLE + 1)]) for a, b in zip(at, at[1:])]
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            shingles = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(np.diff(at).astype(np.int32)), shingles], ["h", "words", "shingles"])
+
+
+def _most(words: Column) -> Column:
+    """The edits that a paragraph may be from another one, which may have more words."""
+    longest = [max((m // PER_EDIT for m in range(n, SHORT + 1) if m - n <= m // PER_EDIT), default=0) for n in range(SHORT + 1)]
+    return F.coalesce(F.get(F.array(*map(F.lit, longest)), words), F.lit(0))
+
+
+def _rest(sets: DataFrame, links: DataFrame, words: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) that join, with ``links``, all similar pairs of ``sets`` (``h``, ``words``, ``shingles``).
+
+    With shingles in one order for all, a similar pair shares one among the first of both: as many as one may lack of the
+    other's, and one more. An edit changes SHINGLE of them. The order is by frequency, so what unlike paragraphs have in
+    common comes last and few pairs meet. Equal sets are linked to their first; pairs that are joined already are passed over."""
+    same = sets.withColumn("low", F.min("h").over(Window.partitionBy("shingles"))).where("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b"))
+    same = written(same, "equal-sets")
+    joined = components(links.unionByName(same)).withColumnRenamed("node", "h")
+    each = sets.select("h", F.explode("shingles").alias("x"))
+    often = each.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    order = each.join(often, "x", "left").groupBy("h").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "x"))).alias("o"))
+    rows = order.join(sets.select("h", "words"), "h").join(joined, "h", "left").withColumns({"m": F.size("o"), "c": F.coalesce("component", "h")})
+    lacks = F.greatest(F.floor(F.col("m") * (100 - percent) / 100), SHINGLE * _most(F.col("words")))
+    first = rows.select("h", "words", "m", "c", F.posexplode(F.slice("o", F.lit(1), (lacks + 1).cast("int"))).alias("i", "s")).where("s.n > 1")
+    first = written(first.select(F.col("s.x").alias("x"), "h", "words", "m", "c", "i"), "rarest")
+    a, b = (first.select("x", *(F.col(k).alias(k + side) for k in ("h", "words", "m", "c", "i"))) for side in "ab")
+    # the first shingle that both have: what stands before it the other one lacks
+    both, longer = F.least(F.col("ma") - F.col("ia"), F.col("mb") - F.col("ib")), F.greatest("wordsa", "wordsb")
+    edit = F.floor(longer / PER_EDIT)
+    near = (longer <= SHORT) & (edit > 0) & (F.abs(F.col("wordsa") - F.col("wordsb")) <= edit) & (F.greatest("ia", "ib") <= SHINGLE * edit)
+    may = (100 * both >= percent * (F.col("ma") + F.col("mb") - both)) | near
+    pairs = a.join(b, "x").where((F.col("ha") > F.col("hb")) & (F.col("ca") != F.col("cb")) & may).select(F.col("ha").alias("a"), F.col("hb").alias("b")).distinct()
+    return same.unionByName(_verified(pairs, words, percent))
+
+
 def repeats(docs: DataFrame, percent: int = 80, own: bool = False) -> DataFrame:
     """Repeated passages of ``docs`` (``doc_id`` long, ``text``).
 
@@ -171,31 +216,28 @@ def repeats(docs: DataFrame, percent: int = 80, own: bool = False) -> DataFrame:
     Words are runs of non-white-space, A-Z lower-cased; paragraphs under MIN_WORDS words are passed over, so documents with
     fewer words, null or empty texts give no rows. Rows with a null id take no part; repeated rows repeat their
     passages, and one of them is kept. Further columns are ignored; an empty table gives no rows. Equal paragraphs are
-    always found, similar ones with the chance of the bands, if in some shared key they are neighbours or one is the first:
-    README has the recall measured."""
+    always found, similar ones with the chance of the bands: whatever shares a key is compared, or joined through others."""
     text = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = "doc_id long, start int, words int, h long"
     paragraphs = text.mapInArrow(_paragraphs(own, True), f"{made}, bands array<long>")
-    place = F.struct("doc_id", "start", "words", "h")
-    units = paragraphs.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.first("bands").alias("bands"))
+    units = paragraphs.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "words")).alias("at"), F.first("bands").alias("bands"))
     units = written(units, "units")
 
-    # in a band, each unit meets the first of its key and its neighbour in the order of the next band's key, which is one
-    # that shares both if there is any; so a key that mixes clusters still joins the units of each, in linear work
-    keys = units.select("h", "bands", F.posexplode("bands").alias("b", "key")).select("h", "key", F.element_at("bands", (F.col("b") + 1) % BANDS + 1).alias("next"))
-    whole = Window.partitionBy("key")
-    met = keys.select("h", F.lag("h").over(whole.orderBy("next", "h")).alias("before"), F.min("h").over(whole).alias("low"), F.max("h").over(whole).alias("high")).where("low <> high")
-    met = met.select(F.col("h").alias("x"), F.explode(F.array_distinct(F.array("before", "low"))).alias("y")).where("x <> y")
-    pairs = met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    pairs = written(pairs, "candidates")
-    asked = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    want = units.join(asked, "h").select("at.doc_id", F.struct("at.start", "at.words", "h").alias("w"))
+    # each unit meets the first of its key; what similar pairs a key of three or more still holds, their rarest shingles tell
+    key = Window.partitionBy("key")
+    keys = units.select("h", F.explode("bands").alias("key"))
+    met = keys.select("h", F.min("h").over(key).alias("low"), F.max("h").over(key).alias("high"), F.count("*").over(key).alias("n")).where("low <> high")
+    met = written(met.groupBy("h", "low").agg(F.max("n").alias("n")), "met")
+    want = units.join(met.select("h").distinct(), "h").select("at.doc_id", F.struct("at.start", "at.words", "h").alias("w"))
     want = want.groupBy("doc_id").agg(F.collect_list("w").alias("want"))  # places in one document
     found = text.join(want, "doc_id").select("text", "want").mapInArrow(_texts, "h long, w string")
-    words = written(found.dropDuplicates(["h"]), "candidate-texts")
-    of = components(_verified(pairs, words, percent))
+    words = written(found.dropDuplicates(["h"]), "met-texts")
+    links = written(_verified(met.where("h <> low").select(F.col("h").alias("a"), F.col("low").alias("b")), words, percent), "links")
+    sets = words.join(met.where("n > 2").select("h").distinct(), "h", "left_semi").mapInArrow(_sets, "h long, words int, shingles array<long>")
+    more = _rest(written(sets, "sets"), links, words, percent)
+    of = components(links.unionByName(more))
 
-    clusters = units.select("h", "n", "at").join(of.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster_id", F.coalesce("component", "h"))
+    clusters = units.select("h", "n", F.struct("at.*", "h").alias("at")).join(of.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster_id", F.coalesce("component", "h"))
     total = clusters.groupBy("cluster_id").agg(F.sum("n").alias("total"), F.min("at").alias("first")).where("total > 1")
     clusters = written(clusters.join(total, "cluster_id").select("h", "cluster_id", "first"), "clusters")
     out = text.mapInArrow(_paragraphs(own, False), made).join(clusters, "h")
