@@ -214,9 +214,11 @@ def index_merge_search(spark, d):
 def index_stream_search(spark, d):
     """The same search over an index that grew document by document, as languages arrived one after another."""
     src, docs = files.scratch(spark, "arriving"), _t(spark, d, "documents").select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    docs.repartition("lang").write.partitionBy("lang").parquet(src)
+    docs.hint("rebalance", F.col("lang")).write.partitionBy("lang").parquet(src)  # a large language is written by several tasks
     index = SearchIndex(spark, files.scratch(spark, "index"), "doc_id", {"text": 0.5}, 16)
-    stream = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 2).parquet(src)
+    names = spark.read.parquet(src).inputFiles()
+    two = max(2, round(2 * len(names) / max(1, len({n.rsplit("/", 2)[1] for n in names}))))  # a batch is as many files as two languages have
+    stream = spark.readStream.schema("doc_id long, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", two).parquet(src)
     jobs.search_index(stream, index, files.scratch(spark, "index-state")).awaitTermination()
     return _top20(index.search(["tion", "ing"]))
 
