@@ -237,7 +237,8 @@ def repeats(docs: DataFrame, percent: int = 80, own: bool = False) -> DataFrame:
     more = _rest(written(sets, "sets"), links, words, percent)
     of = components(links.unionByName(more))
 
-    clusters = units.select("h", "n", F.struct("at.*", "h").alias("at")).join(of.withColumnRenamed("node", "h"), "h", "left").withColumn("cluster_id", F.coalesce("component", "h"))
+    clusters = units.select("h", "n", F.struct("at.*", "h").alias("at")).join(of.withColumnRenamed("node", "h"), "h", "left").where("n > 1 OR component IS NOT NULL")
+    clusters = clusters.withColumn("cluster_id", F.coalesce("component", "h"))
     total = clusters.groupBy("cluster_id").agg(F.sum("n").alias("total"), F.min("at").alias("first")).where("total > 1")
     clusters = written(clusters.join(total, "cluster_id").select("h", "cluster_id", "first"), "clusters")
     out = text.mapInArrow(_paragraphs(own, False), made).join(clusters, "h")
