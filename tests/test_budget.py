@@ -50,3 +50,15 @@ def test_batch_form_and_limits(spark, calls):
         assert got == plain(calls, round(limit * budget.MICRO))
     assert spark.createDataFrame([(0.0000015,)], "cost_usd double").select(budget.micro()).first()[0] == 2
     assert budget.admitted_batch(d.limit(0), 1.0).count() == 0 and F
+
+
+def test_accounts_share_state_by_buckets(spark, tmp_path):
+    """The stream's keys don't grow with the accounts, and each account keeps its own number."""
+    src, out, ck = (f"{tmp_path}/{x}" for x in ("src", "out", "ck"))
+    rows = spark.range(6000).select((F.col("id") % 3000).cast("string").alias("account"), F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.lit("read").alias("kind"), (F.col("id") % 3000).alias("cost"))
+    rows.write.parquet(src)
+    run = budget.write(budget.admitted(spark.readStream.schema(SCHEMA).parquet(src), 0.001), out, ck)
+    run.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) <= budget.BUCKETS
+    got = {r["event_id"]: (r["spent"], r["admitted"]) for r in spark.read.parquet(out).collect()}
+    assert got == {i: (i % 3000 if i >= 3000 else 0, i < 3000 or i % 3000 < 1000) for i in range(6000)}
